@@ -2,9 +2,9 @@
 
 Documents with equal sets form a class, and only one of each class goes on.
 A forest of TREES sorted orders of the signatures gives candidates: in each
-order a document meets the next NEIGHBOURS that share a prefix of at least
-MIN_DEPTH values, which are the ones with the longest common prefix; so sparse
-regions are read at MIN_DEPTH, dense ones as deep as their members agree.
+order a document meets up to NEIGHBOURS next ones that share a prefix of at
+least MIN_DEPTH values.  The depth adapts to the region: a sparse one is read at
+MIN_DEPTH, in a dense one only the longest common prefix of either side counts.
 Candidates that the whole signatures don't rule out are confirmed on full sets.
 Documents that met a group but were not linked to it are then compared with its
 hubs, the members with most links: where members differ from one original, each
@@ -105,13 +105,20 @@ def _candidates(reps: DataFrame) -> DataFrame:
             if left is not None:
                 tree, key, ids = (np.concatenate(p) for p in zip(left, (tree, key, ids), strict=True))
             new = 0 if left is None else len(left[0])
-            found = []
+            deep = np.where(tree[1:] == tree[:-1], np.cumprod(key[1:] == key[:-1], axis=1).sum(axis=1), 0)
+            longest = np.maximum(np.concatenate(([0], deep)), np.concatenate((deep, [0])))
+            region = np.concatenate(([0], np.cumsum(deep < MIN_DEPTH)))
+            sparse = np.bincount(region)[region] <= NEIGHBOURS + 1
+            shared, found = deep, []
             for gap in range(1, NEIGHBOURS + 1):
                 if len(ids) <= gap:
                     break
-                same = (tree[gap:] == tree[:-gap]) & (key[gap:, :MIN_DEPTH] == key[:-gap, :MIN_DEPTH]).all(axis=1)
-                same &= np.arange(gap, len(ids)) >= new  # pairs inside what was left over are told already
-                x, y = ids[:-gap][same], ids[gap:][same]
+                if gap > 1:
+                    shared = np.minimum(shared[:-1], deep[gap - 1 :])
+                # in a dense region only the longest common prefix of either side counts
+                good = (shared >= MIN_DEPTH) & (sparse[gap:] | (shared >= np.minimum(longest[gap:], longest[:-gap])))
+                good &= np.arange(gap, len(ids)) >= new  # pairs inside what was left over are told already
+                x, y = ids[:-gap][good], ids[gap:][good]
                 found.append(np.stack([np.minimum(x, y), np.maximum(x, y)]))
             left = (tree[-NEIGHBOURS:], key[-NEIGHBOURS:], ids[-NEIGHBOURS:])
             if found:
@@ -183,7 +190,12 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").filter(F.col("id").isNotNull()).dropDuplicates(["id"]) \
         if _repeated(docs) else docs.select(F.col("doc_id").cast("long").alias("id"), "text")
     near, _ = written(_agreement(_candidates(reps), reps).filter(F.col("agree") >= LEAST_NEAR))
-    links, _ = written(_confirmed(near.filter(F.col("agree") >= LEAST_AGREE), texts, width))
+    # the likeliest partners of each document first: most other pairs then lie inside a component and need no proof
+    strong = near.filter(F.col("agree") >= LEAST_AGREE)
+    first, _ = written(_confirmed(_likeliest(strong), texts, width))
+    rest = _apart(strong, components(first)).join(_likeliest(strong).select("a", "b"), ["a", "b"], "left_anti")
+    second, _ = written(_confirmed(rest, texts, width))
+    links = first.unionAll(second)
     groups, _ = written(components(links))
     more, _ = written(_confirmed(_to_hubs(near, links, groups, reps), texts, width))
     found = components(links.unionAll(more).unionAll(_shared_ids(mapped))).withColumnRenamed("node", "rep")
@@ -194,6 +206,19 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     )
 
 
+def _likeliest(pairs: DataFrame, each: int = 2) -> DataFrame:
+    """The pairs that are among the ``each`` with most agreement for either side."""
+    sides = pairs.select("a", "b", "agree", F.explode(F.array("a", "b")).alias("node"))
+    rank = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("agree"), "a", "b"))
+    return sides.withColumn("rank", rank).filter(F.col("rank") <= each).select("a", "b").distinct()
+
+
+def _apart(pairs: DataFrame, groups: DataFrame) -> DataFrame:
+    """The pairs whose sides are not in one component, with their components (null outside of any)."""
+    sides = pairs.join(groups.toDF("a", "c_a"), "a", "left").join(groups.toDF("b", "c_b"), "b", "left")
+    return sides.filter(~F.coalesce(F.col("c_a") == F.col("c_b"), F.lit(False)))
+
+
 def _repeated(docs: DataFrame) -> bool:
     ids = docs.select("doc_id")
     return ids.count() != ids.distinct().count()
@@ -210,9 +235,7 @@ def _to_hubs(near: DataFrame, links: DataFrame, groups: DataFrame, reps: DataFra
     degree = links.select(F.col("a").alias("node")).unionAll(links.select("b")).groupBy("node").agg(F.count("*").alias("links"))
     rank = F.row_number().over(Window.partitionBy("component").orderBy(F.desc("links"), "node"))
     hubs = groups.join(degree, "node").withColumn("rank", rank).filter(F.col("rank") <= HUBS).select(F.col("component").alias("at"), F.col("node").alias("hub"))
-    home = groups.select(F.col("node"), F.col("component"))
-    sides = near.join(home.toDF("a", "c_a"), "a", "left").join(home.toDF("b", "c_b"), "b", "left")
-    apart = sides.filter(~F.coalesce(F.col("c_a") == F.col("c_b"), F.lit(False)))
+    apart, _ = written(_apart(near, groups))
     to_b = apart.filter(F.col("c_b").isNotNull()).select(F.col("a").alias("x"), F.col("c_b").alias("at"))
     to_a = apart.filter(F.col("c_a").isNotNull()).select(F.col("b").alias("x"), F.col("c_a").alias("at"))
     met = to_a.unionAll(to_b).distinct().join(hubs, "at")
