@@ -31,7 +31,7 @@ FOLDS, HELD_OUT = 5, 1
 END, START = np.uint64(0x51A7E5EED0000001), np.uint64(0x51A7E5EED0000002)
 #: Distinct training words (12 bytes each) up to this many are broadcast; more are met by shuffled joins.
 BROADCAST_WORDS = 8_000_000
-EVENTS_PER_SHARD = 4_000_000
+EVENTS_PER_SHARD = 2_000_000
 #: Bytes of text that are packed together.
 PACK_BYTES = 4 << 20
 BUCKETS = 24
@@ -91,8 +91,12 @@ def held_out_histogram(pair: np.ndarray, context: np.ndarray, word: np.ndarray,
 
 
 def log10_mix(weights: np.ndarray, pair: np.ndarray, context: np.ndarray, word: np.ndarray, n: int, v: int) -> np.ndarray:
-    w = weights[buckets(context)]
-    return np.log10(w[:, 0] * pair / np.maximum(context, 1) + w[:, 1] * word / max(n, 1) + w[:, 2] / (v + 1))
+    out = np.empty(len(word))
+    for lo in range(0, len(word), 1 << 18):  # in blocks, for small temporaries
+        part = slice(lo, lo + (1 << 18))
+        b, c = buckets(context[part]), np.maximum(context[part], 1)
+        out[part] = np.log10(weights[b, 0] * pair[part] / c + weights[b, 1] * word[part] / max(n, 1) + weights[b, 2] / (v + 1))
+    return out
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -259,11 +263,12 @@ def score(docs: DataFrame, broadcast_words: int = BROADCAST_WORDS) -> DataFrame:
     if distinct > broadcast_words:
         return score_by_joins(docs)
     spark = docs.sparkSession
-    local = counts.toPandas()
-    keys = local["word"].to_numpy().view(np.uint64)
+    local = counts.toArrow()  # columns, not row objects
+    keys, seen = local["word"].to_numpy().view(np.uint64), np.minimum(local["c"].to_numpy(), 0xFFFFFFFF).astype(np.uint32)
+    del local
     order = np.argsort(keys)
-    sent = spark.sparkContext.broadcast((keys[order], np.minimum(local["c"].to_numpy()[order], 0xFFFFFFFF).astype(np.uint32)))
-    del local, keys, order
+    sent = spark.sparkContext.broadcast((keys[order], seen[order]))
+    del keys, seen, order
     shards = max(1, -(-total * FOLDS // (FOLDS - 1) // EVENTS_PER_SHARD))
     numbered = texts.select(F.monotonically_increasing_id().alias("row"), "doc_id", "held_out", "text")
     packed = numbered.mapInPandas(Events(sent, training, total, distinct, shards), "shard long, payload binary")
@@ -287,7 +292,9 @@ def score(docs: DataFrame, broadcast_words: int = BROADCAST_WORDS) -> DataFrame:
             yield struct.unpack("<qq", head)[0], (table, None)
         heads, docs_here, key, place, train, c_v, c_w = _opened(payloads)
         _, at = np.unique(key, return_inverse=True)
-        n = np.bincount(at, weights=train)[at] if len(key) else np.zeros(0)
+        del key
+        n = np.bincount(at, weights=train)[at] if len(at) else np.zeros(0)
+        del at, train
         sums = np.bincount(place, weights=log10_mix(weights, n, c_v, c_w, total, distinct), minlength=docs_here)
         for batch, lo, size in heads:
             yield batch, (None, sums[lo : lo + size])
