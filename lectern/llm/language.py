@@ -202,7 +202,7 @@ def fit(docs: DataFrame, per_lang: int = SAMPLE_PER_LANG, chars: int = SAMPLE_CH
     start = 1 + h % F.greatest(F.length("text") - chars, F.lit(1))
     pieces = known.select("lang", F.xxhash64("doc_id").alias("rank"), F.substring("text", start.cast("int"), F.lit(chars)).alias("piece"))
     ranked = pieces.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("rank", "piece"))).filter(F.col("n") <= per_lang)
-    got = ranked.select("lang", "n", "piece").filter(F.col("piece").rlike(r"\p{L}")).toPandas().sort_values(["lang", "n"], kind="stable")
+    got = ranked.select("lang", "n", "piece").filter(F.col("piece").rlike(r"\p{L}")).toArrow().to_pandas().sort_values(["lang", "n"], kind="stable")
     return train(list(got["piece"]), list(got["lang"]))
 
 

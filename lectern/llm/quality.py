@@ -145,7 +145,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS) -
             yield pd.DataFrame({"doc_id": b["doc_id"], "good": b["good"], "x": list(indicators(list(b["text"])))})
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    got = docs.select("doc_id", "text").join(chosen, "doc_id").mapInPandas(coded, f"doc_id {kind}, good boolean, x array<int>").toPandas()
+    got = docs.select("doc_id", "text").join(chosen, "doc_id").mapInPandas(coded, f"doc_id {kind}, good boolean, x array<int>").toArrow().to_pandas()
     got["n"] = [len(x) for x in got["x"]]
     got = got.sort_values(["doc_id", "n"], kind="stable").drop_duplicates("doc_id")
     return fit_rows([np.asarray(x) for x in got["x"]], np.where(got["good"], 1.0, -1.0))
