@@ -192,8 +192,9 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     near, _ = written(_agreement(_candidates(reps), reps).filter(F.col("agree") >= LEAST_NEAR))
     # the likeliest partners of each document first: most other pairs then lie inside a component and need no proof
     strong = near.filter(F.col("agree") >= LEAST_AGREE)
-    first, _ = written(_confirmed(_likeliest(strong), texts, width))
-    rest = _apart(strong, components(first)).join(_likeliest(strong).select("a", "b"), ["a", "b"], "left_anti")
+    likeliest, _ = written(_likeliest(strong))
+    first, _ = written(_confirmed(likeliest, texts, width))
+    rest = _apart(strong, components(first)).join(likeliest, ["a", "b"], "left_anti")
     second, _ = written(_confirmed(rest, texts, width))
     links = first.unionAll(second)
     groups, _ = written(components(links))
