@@ -18,6 +18,12 @@ SINGLE = rf"{WORD_START}{_UP}{_NAME}{{2,30}}{WORD_END}"
 DATE_LIKE = r"^(?:\d{1,2}[/-]\d{1,2}[/-]\d{2,4}|\d{4}[/-]\d{1,2}[/-]\d{1,2})$"
 #: Phrases that look like names and are not.
 STOP_PHRASES = ("Microsoft Teams", "Teams Meeting", "From Sent", "Subject Re", "Page Number", "Table Of")
+#: Single capitalised words that are not names.
+SINGLE_STOP_WORDS = tuple(
+    "Account Attachment Body Call Category CIN Core DOCX Date Email Footer From Header ID January February March April May June July August "
+    "September October November December Monday Tuesday Wednesday Thursday Friday Saturday Sunday Meeting Message Microsoft Page Participant "
+    "Phone Re Sent Subject Table Teams Word".split()
+)
 #: (type, pattern, confidence, rank); the rank is the order in which the first one sets a candidate's attributes.
 DETECTORS = (
     ("email", EMAIL, "high", 0), ("phone", PHONE, "medium", 1), ("cin", NINE_DIGITS, "high", 2),
@@ -40,15 +46,20 @@ def candidate_key(kind: Column, text: Column) -> Column:
 def _kept(kind: Column, text: Column, block: Column, start: Column, end: Column) -> Column:
     """Whether a match survives the filters of its type."""
     around = F.lower(F.substring(block, F.greatest(start - 15, F.lit(0)) + 1, end - start + 30))
-    number = ~text.rlike(DATE_LIKE) & ~around.contains("page ")
-    person = ~squeeze(text).isin(*STOP_PHRASES) & ~text.contains("@")
+    number = ~F.trim(text).rlike(DATE_LIKE) & ~((F.length(digits(text)) <= 4) & around.contains("page"))
+    person = ~text.isin(*STOP_PHRASES)  # the name patterns have no room for an address
     return F.when(kind == "phone", number).when(kind == "long_numeric_id", number & (F.length(digits(text)) >= 10)).when(kind == "person", person).otherwise(True)
 
 
 def occurrences(block_rows: DataFrame) -> DataFrame:
     """Every match of every detector: one pass over the blocks, one array of matches for each."""
+    # cheap tests spare most blocks the patterns that can't match them
+    likely = {EMAIL: F.col("text").contains("@"), LAST_FIRST: F.col("text").contains(","), SEQUENCE: F.lit(True)}
+    none = F.expr("cast(array() as array<struct<start:int,end:int,text:string>>)")
+
     def told(kind: str, pattern: str, confidence: str, rank: int) -> Column:
-        return F.transform(matches(F.col("text"), pattern), lambda m: F.named_struct(
+        seen = likely.get(pattern, F.col("text").rlike("[0-9][^A-Za-z]*[0-9][^A-Za-z]*[0-9]"))
+        return F.transform(F.when(seen, matches(F.col("text"), pattern)).otherwise(none), lambda m: F.named_struct(
             F.lit("detected_type"), F.lit(kind), F.lit("confidence"), F.lit(confidence), F.lit("rank"), F.lit(rank),
             F.lit("start"), m["start"], F.lit("end"), m["end"], F.lit("match"), m["text"],
         ))
@@ -77,8 +88,8 @@ def single_names(block_rows: DataFrame, least: int = 2) -> DataFrame:
     rows = block_rows.select("doc_id", "block_order", "text", F.explode(matches(F.col("text"), SINGLE)).alias("m"))
     before = F.substring("text", F.lit(1), F.col("m.start"))
     after = F.substring("text", F.col("m.end") + 1, F.length("text"))
-    alone = ~before.rlike(rf"{_UP}{_NAME}*\s+$") & ~after.rlike(rf"^\s+{_UP}")
-    named = rows.filter(alone).select("doc_id", F.lower("m.text").alias("name"))
+    alone = ~before.rlike(rf"{_UP}{_NAME}{{1,30}},?\s*$") & ~after.rlike(rf"^\s*,?\s*{_UP}{_NAME}{{1,30}}{WORD_END}")
+    named = rows.filter(alone & ~F.col("m.text").isin(*SINGLE_STOP_WORDS)).select("doc_id", F.lower("m.text").alias("name"))
     return named.groupBy("doc_id", "name").agg(F.count("*").alias("n")).filter(F.col("n") >= least)
 
 

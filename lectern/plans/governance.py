@@ -41,8 +41,8 @@ def residual_scan(spark, sf_dir):
 @query(r"""
 WITH d AS (SELECT DISTINCT doc_id, lower(unnest(regexp_extract_all(text, '\b[A-Za-z0-9._%+-]+@([A-Za-z0-9.-]+\.[A-Za-z]{2,})\b', 1))) AS item FROM documents)
 SELECT item, count(*) AS n_docs, min(doc_id) AS first_doc, max(doc_id) AS last_doc FROM d
-WHERE item NOT IN ('gmail.com', 'yahoo.com', 'outlook.com', 'hotmail.com', 'icloud.com', 'aol.com') GROUP BY 1
-""")
+WHERE item NOT IN (DOMAINS) GROUP BY 1
+""".replace("DOMAINS", ", ".join(f"'{d}'" for d in corpus.GENERIC_DOMAINS)))
 def shared_domains(spark, sf_dir):
     """Private mail domains with the documents that share them."""
     return corpus.email_domains(_docs(spark, sf_dir)).groupBy(F.col("domain").alias("item")).agg(
