@@ -120,3 +120,25 @@ def test_every_oracle_has_a_query():
     import __spark_entry__
 
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_entry_imports_without_a_session():
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    code = "import __spark_entry__ as e; assert e.queries() and e.oracle_sql()"
+    subprocess.run([sys.executable, "-c", code], cwd=Path(__file__).resolve().parents[1], check=True, timeout=120)
+
+
+def test_person_groups_and_cliques(spark):
+    from lectern.operators import relate, resolve
+
+    rows = [("person", "low", "Smith, John", 2, "Strong"), ("person", "low", "John Smith", 1, "Strong"), ("person", "low", "J. Smith", 1, "Possible"), ("person", "low", "Ann Lee", 1, "Strong")]
+    people = spark.createDataFrame([(1, f"person:{v.lower()}", *r[:2], v, n, r[4]) for r in rows for v, n in [(r[2], r[3])]], "doc_id long, candidate_key string, detected_type string, confidence string, display_value string, n_occurrences long, quality string")
+    got = resolve.person_groups(people).collect()
+    assert {r.candidate_key for r in got} == {"person:smith, john", "person:john smith", "person:j. smith"}
+    assert {r.group_id for r in got} == {"person:smith:j"} and {r.canonical_name for r in got} == {"John Smith"}
+    pairs = spark.createDataFrame([(1, 2, 0.5), (2, 3, 0.6), (1, 3, 0.5), (3, 4, 0.9), (7, 8, 0.46)], "a long, b long, score double")
+    clusters = {(r.cluster, r.doc_id) for r in relate.cliques(pairs, relate.labels(pairs)).collect()}
+    assert clusters == {(1, 1), (1, 2), (1, 3), (7, 7), (7, 8)}
