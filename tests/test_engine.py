@@ -142,3 +142,19 @@ def test_person_groups_and_cliques(spark):
     pairs = spark.createDataFrame([(1, 2, 0.5), (2, 3, 0.6), (1, 3, 0.5), (3, 4, 0.9), (7, 8, 0.46)], "a long, b long, score double")
     clusters = {(r.cluster, r.doc_id) for r in relate.cliques(pairs, relate.labels(pairs)).collect()}
     assert clusters == {(1, 1), (1, 2), (1, 3), (7, 7), (7, 8)}
+
+
+def test_relations_between_values(spark):
+    from lectern.operators import resolve
+
+    schema = "doc_id long, candidate_key string, detected_type string, confidence string, display_value string, n_occurrences long, quality string"
+    rows = [(1, f"{t}:{v.lower()}", t, "low", v, 1, "Strong") for t, v in [
+        ("person", "Ana Maria Lopez"), ("person", "Ana Maria"), ("person", "Degree Verify Unit"), ("cin", "AB-1234"), ("cin", "CD-9876"), ("phone", "555-1234"),
+    ]]
+    scored = spark.createDataFrame(rows, schema)
+    singles = spark.createDataFrame([(1, "ana", 3), (2, "ana", 2), (1, "bob", 2)], "doc_id long, name string, n long")
+    assert {(r.name, r.full_name) for r in resolve.ambiguous_short_names(singles, scored).collect()} == {("ana", "Ana Maria Lopez"), ("ana", "Ana Maria")}
+    acronyms = spark.createDataFrame([(1, "DVU", 2), (1, "XX", 2)], "doc_id long, acronym string, n long")
+    assert [(r.acronym, r.value) for r in resolve.acronym_expansions(acronyms, scored).collect()] == [("DVU", "Degree Verify Unit")]
+    assert [(r.signature, r.n, r.kind) for r in resolve.identifier_patterns(scored).collect()] == [("AA-####", 2, "alphanumeric-identifier")]
+    assert [(r.key, r.long_key) for r in resolve.truncated_variants(scored).collect()] == [("person:ana maria", "person:ana maria lopez")]
