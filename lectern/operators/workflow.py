@@ -7,15 +7,15 @@ while a candidate is unreviewed.  Decisions are Redact, Rename, Keep and Ignore.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterable
-from difflib import SequenceMatcher
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lectern.operators.evidence import could_reach
+from lectern.operators.resolve import ratio
+
 #: Decisions from the strongest to the weakest.
 PRECEDENCE = ("Redact", "Rename", "Keep", "Ignore")
 #: Evidence categories of organizations, and the likelihood that counts as high.
@@ -232,37 +232,13 @@ def similar_keys(wanted: DataFrame, known: DataFrame) -> DataFrame:
     often = gb.groupBy("type", "gram").agg(F.count("*").alias("often"))
     met = _prefix(ga, "candidate_key", often, least).join(_prefix(gb, "source_key", often, least), ["type", "gram"]).select("candidate_key", "source_key").distinct()
     near = met.join(a.select("candidate_key", "a_text"), "candidate_key").join(b.select("source_key", "b_text", "decision", "replacement"), "source_key")
-    short, both = F.least(F.length("a_text"), F.length("b_text")), F.length("a_text") + F.length("b_text")
-    scored = near.filter(2 * short >= least * both).withColumn("ratio", _ratio_from(least)(F.col("a_text"), F.col("b_text"))).filter(F.col("ratio") > least - 1e-9)
+    scored = near.filter(could_reach(F.col("a_text"), F.col("b_text"), least)).withColumn("ratio", ratio(F.col("a_text"), F.col("b_text"))).filter(F.col("ratio") > least - 1e-9)
     by = Window.partitionBy("candidate_key").orderBy(F.desc("ratio"), "source_key")
     ranked = scored.withColumn("second", F.lead("ratio").over(by)).withColumn("place", F.row_number().over(by))
     good = (F.col("place") == 1) & (F.col("ratio") >= SIMILAR) & (F.col("second").isNull() | (F.col("ratio") - F.col("second") >= LEAD))
     return ranked.filter(good).select("candidate_key", "source_key", "decision", "replacement", "ratio")
 
 
-def _ratio_from(least: float):
-    """The ratio of two texts, or nought where lengths or shared letters, repeats counted, already keep it below ``least``."""
-
-    @F.pandas_udf("double")
-    def run(a: pd.Series, b: pd.Series) -> pd.Series:
-        letters = {t: Counter(t) for t in {*a, *b}}
-        matcher, out, last = SequenceMatcher(None), [], None
-        for x, y in zip(a, b, strict=True):
-            counts, other = letters[x], letters[y]
-            common = sum(min(n, other[c]) for c, n in counts.items() if c in other)
-            if 2 * common < least * (len(x) + len(y)):
-                out.append(0.0)
-                continue
-            if y != last:
-                matcher.set_seq2(y)
-                last = y
-            matcher.set_seq1(x)
-            out.append(matcher.ratio())
-        return pd.Series(out, index=a.index, dtype="float64")
-
-    return run
-
-
 def _letter_pairs(rows: DataFrame, key: str, text: str) -> DataFrame:
     """``(type, key, n, gram)``: neighbouring letters of a text, the i-th repeat of a pair numbered, so that sets count repeats."""
     pairs = F.transform(F.sequence(F.lit(1), F.length(text) - 1), lambda i: F.substring(text, i, F.lit(2)))
