@@ -198,3 +198,35 @@ def test_rewritten_documents(spark):
     assert list(docx.blocks_of(bytes(got["d3"].content))) == list(docx.blocks_of(raw)) and got["d3"].n_applied == 0
     with zipfile.ZipFile(io.BytesIO(bytes(got["d1"].content))) as z:
         assert z.read("word/media/a.bin") == b"\x00\x01"
+
+
+def test_scores_and_groupings(spark):
+    from lectern.operators import scores
+
+    c = spark.createDataFrame([(1, str(i), "person", v) for i, v in enumerate(["Red Fox", "Red Hen", "Red Cat", "Old Cat", "Solo"])] + [(2, "9", "person", "Red Fox")], "doc_id long, candidate_key string, detected_type string, display_value string")
+    assert rows(scores.shared_words(c), "candidate_key", "shared_word", "rules") == [
+        ("0", "red", ["token_recurrence"]), ("1", "red", ["token_recurrence"]), ("2", "red", ["token_recurrence", "head_noun_paradigm"]), ("3", "cat", ["head_noun_paradigm"]),
+    ]
+    f = spark.createDataFrame([(1, 1, None, 1, 4, 1, True, 1, None), (2, None, None, None, None, None, None, 9, 9)], "doc_id long, warnings int, unsupported int, images int, items int, resolved int, passed boolean, output_warnings int, output_blockers int")
+    assert rows(scores.document_scores(f)) == [(1, 92.0, 25.0, 46.4), (2, 100.0, 100.0, 85.0)]
+    k = spark.createDataFrame([("a", 1), ("a", 2), ("b", 3), ("c", 4)], "cluster string, doc_id long")
+    p = spark.createDataFrame([(1, 3, 0.5), (3, 2, 0.6), (1, 4, 0.9), (2, 4, 0.1)], "a long, b long, score double")
+    assert rows(scores.mergeable(k, p, spark.createDataFrame([("a", "b"), ("c", "a"), ("a", "z")], "a string, b string"), 0.45)) == [("a", "b", True), ("a", "z", False), ("c", "a", False)]
+    s = spark.createDataFrame([(1, [[1], [2, 3]]), (2, [[1], [2]]), (3, [[1, 2, 3], []]), (4, [[1, 1], [2, 3]])], "i int, p array<array<int>>")
+    assert rows(s.select("i", scores.valid_split(F.col("p"), F.array(F.lit(3), F.lit(2), F.lit(1))))) == [(1, True), (2, False), (3, False), (4, False)]
+
+
+def test_streams_of_decisions(spark, tmp_path):
+    from lectern.streaming import decisions
+
+    log = [("s", 1, "redact", "a"), ("s", 2, "import-keep", "a"), ("s", 3, "import-keep", "b"), ("s", 4, "reset", "b"), ("s", 5, "reset", "b"), ("t", 6, "keep", "a"), ("t", 7, "keep", "a")]
+    schema = "session_id string, seq long, kind string, candidate_key string"
+    for i, part in enumerate((log[:3], log[3:])):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in" / f"p={i}"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(str(tmp_path / "in"))
+    got = {}
+    sink = lambda batch, _: got.update({r.session_id: tuple(r)[1:] for r in batch.collect()})
+    decisions.fold(stream).writeStream.outputMode("update").option("checkpointLocation", str(tmp_path / "c")).foreachBatch(sink).trigger(availableNow=True).start().awaitTermination()
+    assert got == {"s": (1, 3, 2), "t": (1, 1, 1)}
+    e = spark.createDataFrame([("k", "Keep", 5, 1), ("k", "Redact", 6, 3), ("k", "Ignore", 6, 2)], "candidate_key string, decision string, ts long, event_id long")
+    assert rows(decisions.latest(e), "candidate_key", "decision") == [("k", "Ignore")]
