@@ -8,7 +8,10 @@ MIN_DEPTH, in a dense one only the longest common prefix of either side counts.
 Candidates that the whole signatures don't rule out are confirmed on full sets.
 Documents that met a group but were not linked to it are then compared with its
 hubs, the members with most links: where members differ from one original, each
-is nearest to the least changed ones.  Every step is linear in the documents.
+is nearest to the least changed ones.  Last, the documents of dense regions that
+are not in one component yet meet by an exact prefix-filter join, rarest
+shingles first, so that a pair which shares MIN_DEPTH values in any tree is
+found however many others share them.
 """
 
 from __future__ import annotations
@@ -36,6 +39,12 @@ LEAST_NEAR = 40
 HUBS = 12
 #: Ids (16 bytes each) up to this many are broadcast to pick texts.
 BROADCAST_IDS = 1_000_000
+#: Shingles of so many dense documents are put last in the order of the prefix filter ...
+COMMON = 4
+#: ... up to so many of them, the commonest (16 bytes each); any order gives the same pairs.
+MOST_COMMON = 1_000_000
+#: Longer lists of documents with one shingle are met block by block.
+LONG_LIST = 64
 
 _rng = np.random.default_rng(20_240_229)
 _MULTIPLY = _rng.integers(0, 1 << 63, VALUES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -87,7 +96,7 @@ def _signed(docs: DataFrame, width: int) -> DataFrame:
 
 
 def _candidates(reps: DataFrame) -> DataFrame:
-    """Distinct pairs ``(a, b)``, a < b, of neighbours in the trees."""
+    """Distinct pairs ``(a, b)``, a < b, of neighbours in the trees, and ``(a, a)`` for documents of dense regions."""
     trees = F.array(*[
         F.struct(F.lit(t).alias("tree"), F.concat(*[F.substring("sig", 2 * c + 1, 2) for c in order]).alias("key"))
         for t, order in enumerate(_ORDERS)
@@ -108,7 +117,10 @@ def _candidates(reps: DataFrame) -> DataFrame:
             deep = np.where(tree[1:] == tree[:-1], np.cumprod(key[1:] == key[:-1], axis=1).sum(axis=1), 0)
             longest = np.maximum(np.concatenate(([0], deep)), np.concatenate((deep, [0])))
             region = np.concatenate(([0], np.cumsum(deep < MIN_DEPTH)))
-            sparse = np.bincount(region)[region] <= NEIGHBOURS + 1
+            sizes = np.bincount(region)
+            sparse = sizes[region] <= NEIGHBOURS + 1
+            # a region at the edge of a batch or partition can go on beyond it, so it counts as dense
+            crowd = ids[~sparse | (region == 0) | (region == region[-1])] if len(ids) else ids
             shared, found = deep, []
             for gap in range(1, NEIGHBOURS + 1):
                 if len(ids) <= gap:
@@ -121,11 +133,11 @@ def _candidates(reps: DataFrame) -> DataFrame:
                 x, y = ids[:-gap][good], ids[gap:][good]
                 found.append(np.stack([np.minimum(x, y), np.maximum(x, y)]))
             left = (tree[-NEIGHBOURS:], key[-NEIGHBOURS:], ids[-NEIGHBOURS:])
-            if found:
-                out = np.unique(np.concatenate(found, axis=1), axis=1)
-                yield pd.DataFrame({"a": out[0], "b": out[1]})
+            found.append(np.stack([crowd, crowd]))
+            out = np.unique(np.concatenate(found, axis=1), axis=1)
+            yield pd.DataFrame({"a": out[0], "b": out[1]})
 
-    return dealt.mapInPandas(run, "a long, b long").filter("a <> b").distinct()
+    return dealt.mapInPandas(run, "a long, b long").distinct()
 
 
 def _agreement(pairs: DataFrame, reps: DataFrame) -> DataFrame:
@@ -168,6 +180,97 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, width: int) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").mapInPandas(run, "a long, b long")
 
 
+def _meet(key: np.ndarray, rows: np.ndarray, most: int = LONG_LIST) -> np.ndarray:
+    """Pairs of ids that can reach PERCENT if a shared key is the first one they share.
+
+    ``key`` is sorted; ``rows`` holds id, component, size and the key's position
+    in the document's order.  Pairs inside a component are left out.
+    """
+    node, group, n, rest = rows[:, 0], rows[:, 1], rows[:, 2], rows[:, 2] - rows[:, 3]
+
+    def good(i, j):
+        left = np.minimum(rest[i], rest[j])
+        return (group[i] != group[j]) & ((100 + PERCENT) * left >= PERCENT * (n[i] + n[j]))
+
+    edge = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+    length = np.diff(np.concatenate((edge, [len(key)])))
+    found = [np.zeros((0, 2), np.int64)]
+    short = np.repeat(length <= most, length)
+    last = np.repeat(edge + length, length)
+    i = np.flatnonzero(short & (last - np.arange(len(key)) > 1))
+    gap = 1
+    while len(i):
+        keep = good(i, i + gap)
+        found.append(np.stack([node[i[keep]], node[i[keep] + gap]], axis=1))
+        gap += 1
+        i = i[i + gap < last[i]]
+    for lo, size in zip(edge[length > most], length[length > most], strict=True):
+        if (group[lo : lo + size] == group[lo]).all():
+            continue
+        all_ = np.arange(lo, lo + size)
+        step = max(1, 4_000_000 // size)
+        for at in range(0, size, step):
+            x, y = np.nonzero(good(all_[at : at + step, None], all_[None, at:]) & (all_[at : at + step, None] < all_[None, at:]))
+            found.append(np.stack([node[lo + at + x], node[lo + at + y]], axis=1))
+    out = np.concatenate(found)
+    return np.unique(np.sort(out, axis=1), axis=0)
+
+
+def _in_crowds(dense: DataFrame, groups: DataFrame, texts: DataFrame, width: int) -> DataFrame:
+    """Pairs ``(a, b)`` of the documents ``dense(id)`` outside of one component that may reach PERCENT; none that does is left out."""
+    spark = dense.sparkSession
+    picked = texts.join(broadcast_if_small(dense, BROADCAST_IDS), "id", "left_semi")
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            x, k = np.unique(np.concatenate([np.zeros(0, np.uint64), *_sets(list(b["text"]), width)]), return_counts=True)
+            yield pd.DataFrame({"s": x.astype(np.int64), "k": k})
+
+    counts = picked.mapInPandas(count, "s long, k long").groupBy("s").agg(F.sum("k").alias("k")).filter(F.col("k") >= COMMON)
+    common = counts.orderBy(F.desc("k"), "s").limit(MOST_COMMON).toArrow()
+    names = common["s"].to_numpy().astype(np.uint64)
+    order = np.argsort(names)
+    sent = spark.sparkContext.broadcast((names[order], common["k"].to_numpy()[order]))
+    placed = picked.join(groups.toDF("id", "c"), "id", "left").select("id", F.coalesce("c", "id").alias("c"), "text")
+
+    def prefixes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known, often = sent.value
+        for b in batches:
+            out = [np.zeros((0, 5), np.int64)]
+            for node, c, x in zip(b["id"], b["c"], _sets(list(b["text"]), width), strict=True):
+                n = len(x)
+                if not n:
+                    continue
+                rank = np.zeros(n, np.int64)
+                if len(known):
+                    at = np.minimum(np.searchsorted(known, x), len(known) - 1)
+                    rank = np.where(known[at] == x, often[at], 0)
+                head = np.lexsort((x, rank))[: n + 1 - -(-PERCENT * n // 100)]
+                row = np.empty((len(head), 5), np.int64)
+                row[:, 0], row[:, 1], row[:, 2], row[:, 3], row[:, 4] = x[head].astype(np.int64), node, c, n, np.arange(len(head))
+                out.append(row)
+            yield pd.DataFrame(np.concatenate(out), columns=["s", "id", "c", "n", "at"])
+
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = placed.mapInPandas(prefixes, "s long, id long, c long, n long, at long")
+    dealt = rows.repartition(parts, "s").sortWithinPartitions("s")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        left = np.zeros((0, 5), np.int64)
+        for b in batches:
+            all_ = np.concatenate([left, b.to_numpy(np.int64)])
+            if not len(all_):
+                continue
+            # the last list can go on in the next batch
+            end = int(np.searchsorted(all_[:, 0], all_[-1, 0]))
+            left = all_[end:]
+            yield pd.DataFrame(_meet(all_[:end, 0], all_[:end, 1:]), columns=["a", "b"])
+        if len(left):
+            yield pd.DataFrame(_meet(left[:, 0], left[:, 1:]), columns=["a", "b"])
+
+    return dealt.mapInPandas(run, "a long, b long").distinct()
+
+
 def near_duplicates(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """Per row of ``docs``: doc_id, n_shingles, component_id, kept.
 
@@ -189,7 +292,8 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     # a row for each class; where rows share a doc_id, one of them stands for it
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").filter(F.col("id").isNotNull()).dropDuplicates(["id"]) \
         if _repeated(docs) else docs.select(F.col("doc_id").cast("long").alias("id"), "text")
-    near, _ = written(_agreement(_candidates(reps), reps).filter(F.col("agree") >= LEAST_NEAR))
+    met, _ = written(_candidates(reps))
+    near, _ = written(_agreement(met.filter("a <> b"), reps).filter(F.col("agree") >= LEAST_NEAR))
     # the likeliest partners of each document first: most other pairs then lie inside a component and need no proof
     strong = near.filter(F.col("agree") >= LEAST_AGREE)
     likeliest, _ = written(_likeliest(strong))
@@ -199,7 +303,11 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     links = first.unionAll(second)
     groups, _ = written(components(links))
     more, _ = written(_confirmed(_to_hubs(near, links, groups, reps), texts, width))
-    found = components(links.unionAll(more).unionAll(_shared_ids(mapped))).withColumnRenamed("node", "rep")
+    links = links.unionAll(more).unionAll(_shared_ids(mapped))
+    groups, _ = written(components(links))
+    crowds = _in_crowds(met.filter("a = b").select(F.col("a").alias("id")), groups, texts, width)
+    dense, _ = written(_confirmed(_agreement(crowds, reps).filter(F.col("agree") >= LEAST_AGREE), texts, width))
+    found = components(links.unionAll(dense)).withColumnRenamed("node", "rep")
     joined = mapped.select("doc_id", "n", "rep").join(found, "rep", "left").select("doc_id", "n", F.coalesce("component", "rep").alias("c"))
     alone = signed.filter(F.col("doc_id").isNull() | (F.col("n") == 0)).select("doc_id", "n", F.col("doc_id").alias("c"))
     return joined.unionAll(alone).select(

@@ -225,6 +225,20 @@ def test_near_duplicates_against_brute_force(spark):
     assert got == exact_components(rows)
 
 
+def test_near_duplicates_in_a_crowd(spark):
+    # all share boilerplate (150 of 178 shingles, similarity 0.728); 60 pairs among them share 3 more (0.754)
+    rng = random.Random(8)
+    fresh = lambda n: [f"o{rng.randint(0, 10**12)}" for _ in range(n)]
+    common = fresh(154)
+    texts = [" ".join(common + fresh(28)) for _ in range(1500)]
+    for _ in range(60):
+        own = fresh(28)
+        texts += [" ".join(common + own), " ".join(common + own[:3] + fresh(25))]
+    ids = rng.sample(range(len(texts)), len(texts))
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(docs_of(spark, texts, ids)).collect()}
+    assert got == {d: min(d, ids[i ^ 1]) if i >= 1500 else d for i, d in enumerate(ids)}
+
+
 def test_near_duplicate_rows(spark):
     rows = minhash.near_duplicates(docs_of(spark, ["a b c d e f", "A B c d e f", "a b c d e f", "q r", "q r"], [3, 2, None, 9, 9])).collect()
     got = sorted((r.doc_id is None, r.doc_id or 0, r.component_id, r.kept) for r in rows)
