@@ -4,7 +4,9 @@ Fixed masks ignore selected positions of a window of tokens.  The hashes of the
 tokens that a mask keeps, at every position of every document and of every
 benchmark item, meet in an equi-join.  A hit fixes how item and document are
 aligned; the whole item is then compared token by token along that alignment,
-so that substituted tokens cost only themselves.
+so that substituted tokens cost only themselves.  The alignments of one item in
+one document are chained: going from one to another costs the tokens inserted or
+dropped between them.  A long run of agreeing tokens counts by itself.
 """
 
 from __future__ import annotations
@@ -19,6 +21,8 @@ MASKS = ((0, 1, 2, 3, 4), (0, 1, 3, 4, 6), (0, 2, 3, 5, 7))
 SPAN = 1 + max(p for m in MASKS for p in m)
 #: Least share of an item's tokens that agree along the alignment.
 OVERLAP = 0.75
+#: A passage of so many agreeing tokens without a break is held, whatever its share of the item.
+RUN = 13
 #: Seeds (24 bytes each) up to this many are broadcast; more are joined by shuffle.
 BROADCAST_SEEDS = 2_000_000
 #: Documents with hits (16 bytes each) up to this many are broadcast to pick their texts.
@@ -58,9 +62,11 @@ def item_seeds(items: DataFrame) -> tuple[DataFrame, list[tuple[int, ...]]]:
 def overlaps(docs: DataFrame, items: DataFrame, overlap: float = OVERLAP) -> DataFrame:
     """``(doc_id, item_id, n_tokens, n_matched, position)``: documents that hold an item of a benchmark.
 
-    A document holds an item if, for some alignment found by a seed, at least
-    ``overlap`` of the item's tokens agree with the document's; the best
-    alignment is given, the first of equal ones.  Tokens are the words with
+    A document holds an item if at least ``overlap`` of the item's tokens agree
+    with the document's along alignments found by seeds, less one for each token
+    inserted or dropped between two of them (this is n_matched), or if RUN
+    tokens in a row agree; position is the alignment with most agreeing tokens,
+    the first of equal ones.  Tokens are the words with
     A-Z folded.  Null or empty texts hold nothing and are held by nothing;
     rows with one doc_id or one item_id count as one, by their best; null ids
     are values like any other; other columns are ignored; empty tables give
@@ -87,18 +93,29 @@ def overlaps(docs: DataFrame, items: DataFrame, overlap: float = OVERLAP) -> Dat
         broadcast_if_small(aligned.select("doc_id").distinct(), BROADCAST_IDS), F.col("d_id").eqNullSafe(F.col("doc_id")), "left_semi",
     ).select("d_id", _tokens(F.col("text")).alias("h"))
     full = met.join(held, F.col("doc_id").eqNullSafe(F.col("d_id")))
-    start = F.greatest(F.col("shift"), F.lit(0))
-    skipped = start - F.col("shift")
-    facing = F.zip_with(
-        F.slice("t", skipped + 1, F.greatest(F.size("t") - skipped, F.lit(0))), F.slice("h", start + 1, F.size("t")),
-        lambda a, b: F.coalesce((a == b).cast("int"), F.lit(0)),
+    agree = F.transform("t", lambda x, i: F.coalesce(F.get("h", i + F.col("shift")) == x, F.lit(False)).cast("int"))
+    one = full.select("doc_id", "item_id", "shift", F.size("t").alias("n"), agree.alias("agree"), F.xxhash64("h", "t").alias("texts"))
+    run = F.aggregate("agree", F.array(F.lit(0), F.lit(0)), lambda s, x: F.array((s[0] + 1) * x, F.greatest(s[1], (s[0] + 1) * x)), lambda s: s[1])
+    found = one.select("doc_id", "item_id", "texts", "shift", "n", "agree", F.aggregate("agree", F.lit(0), lambda s, x: s + x).alias("same"), run.alias("run"))
+    # rows that share an id are chained each by itself
+    best = found.groupBy("doc_id", "item_id", "texts").agg(
+        F.max("n").alias("n"), F.max("run").alias("run"), F.max(F.struct("same", (-F.col("shift")).alias("back"))).alias("best"),
+        F.sort_array(F.collect_list(F.struct("shift", "agree"))).alias("ways"),
+    )
+    # score of the best chain that ends in each alignment, after each token of the item
+    ways = F.col("ways")
+    chain = F.aggregate(
+        F.sequence(F.lit(0), F.col("n") - 1), F.transform(ways, lambda w: F.lit(0).cast("long")),
+        lambda at, i: F.transform(ways, lambda w: F.get(w["agree"], i) + F.array_max(
+            F.zip_with(at, ways, lambda score, v: score - F.abs(v["shift"] - w["shift"]))
+        )), F.array_max,
+    )
+    scored = best.withColumn("n_matched", F.when(F.size("ways") > 1, chain).otherwise(F.col("best.same").cast("long")))
+    held_items = scored.filter((F.col("n_matched") >= F.lit(overlap) * F.col("n")) | (F.col("run") >= RUN))
+    out = held_items.groupBy("doc_id", "item_id").agg(F.max(F.struct("n_matched", "best.back", "n")).alias("best"))
+    return out.select(
+        "doc_id", "item_id", F.col("best.n").cast("long").alias("n_tokens"), "best.n_matched", (-F.col("best.back")).cast("long").alias("position"),
     )
-    scored = full.select(
-        "doc_id", "item_id", "shift", F.size("t").cast("long").alias("n_tokens"),
-        F.aggregate(facing, F.lit(0), lambda s, x: s + x).cast("long").alias("n_matched"),
-    ).filter(F.col("n_matched") >= F.lit(overlap) * F.col("n_tokens"))
-    best = scored.groupBy("doc_id", "item_id").agg(F.max(F.struct("n_matched", (-F.col("shift")).alias("back"), "n_tokens")).alias("best"))
-    return best.select("doc_id", "item_id", "best.n_tokens", "best.n_matched", (-F.col("best.back")).cast("long").alias("position"))
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, overlap: float = OVERLAP) -> DataFrame:

@@ -355,6 +355,21 @@ def test_overlaps_against_brute_force(spark):
     assert decontaminate.overlaps(docs, bench.limit(0)).count() == 0
 
 
+def test_overlaps_of_parts_and_shifted_tokens(spark):
+    rng = random.Random(9)
+    fresh = lambda n: [f"v{rng.randint(0, 10**9)}" for _ in range(n)]
+    long, mid = fresh(59), fresh(24)
+    around = lambda *parts: " ".join([*fresh(20), *sum(parts, []), *fresh(20)])
+    texts = [
+        around(long[:44]), around(long[:20], long[39:]), around(mid[:12], ["new"], mid[12:]), around(mid[:12], mid[13:]),
+        around(mid[:8], ["new"], mid[8:16], ["more"], mid[16:]),
+        around(long[:12]), around(mid[:12], fresh(30), mid[12:]), around(["a"] * 5),
+    ]
+    items = spark.createDataFrame([(0, " ".join(long)), (1, " ".join(mid)), (2, "a " * 8)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): (r.n_matched, r.n_tokens) for r in decontaminate.overlaps(docs_of(spark, texts), items).collect()}
+    assert got == {(0, 0): (44, 59), (1, 0): (21, 59), (2, 1): (23, 24), (3, 1): (22, 24), (4, 1): (22, 24)}
+
+
 # --- quality -----------------------------------------------------------------------------------
 
 
