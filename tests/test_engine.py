@@ -158,3 +158,11 @@ def test_relations_between_values(spark):
     assert [(r.acronym, r.value) for r in resolve.acronym_expansions(acronyms, scored).collect()] == [("DVU", "Degree Verify Unit")]
     assert [(r.signature, r.n, r.kind) for r in resolve.identifier_patterns(scored).collect()] == [("AA-####", 2, "alphanumeric-identifier")]
     assert [(r.key, r.long_key) for r in resolve.truncated_variants(scored).collect()] == [("person:ana maria", "person:ana maria lopez")]
+
+
+def test_labels_that_do_not_settle_raise(spark):
+    from lectern.operators import relate
+
+    pairs = spark.createDataFrame([(i, i + 1) for i in range(1, 40)], "a long, b long")
+    with pytest.raises(RuntimeError, match="did not settle"):
+        relate.labels(pairs, rounds=2)
