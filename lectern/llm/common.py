@@ -34,21 +34,25 @@ def words(text: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that driver and executors share: spark.checkpoint.dir; in local mode, where it is unset, one of our own."""
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("lectern.checkpoint.dir", None)
     if not path:
-        path = spark.conf.get("lectern.checkpoint.dir", None)
-        if not path:
-            path = tempfile.mkdtemp(prefix="lectern-")
-            spark.conf.set("lectern.checkpoint.dir", path)
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        path = tempfile.mkdtemp(prefix="lectern-")
+        spark.conf.set("lectern.checkpoint.dir", path)
     return path.rstrip("/")
 
 
+_made: list[str] = []
+
+
 def written(df: DataFrame) -> tuple[DataFrame, str]:
     """The frame written as a table in the shared folder and read again, and its path; this cuts the lineage."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lectern-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _made.append(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
@@ -58,6 +62,31 @@ def dropped(spark: SparkSession, *paths: str) -> None:
     for path in paths:
         target = jvm.org.apache.hadoop.fs.Path(path)
         target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+        if path in _made:
+            _made.remove(path)
+
+
+def cleared(spark: SparkSession) -> None:
+    """Removes all tables that operators wrote in this process; for use when their results have been read."""
+    dropped(spark, *list(_made))
+
+
+#: At most so many keys are split off by ``joined_by_weight`` and broadcast.
+HOT_KEYS = 1_000
+
+
+def joined_by_weight(rows: DataFrame, found: DataFrame, keys: list[str], weight: str) -> DataFrame:
+    """``rows`` joined with ``found``, which has each key once and in ``weight`` the number of rows that have it.
+
+    Keys that hold more than one in HOT_KEYS of all rows, which can't be more
+    than HOT_KEYS, are broadcast and met where their rows are; the others are
+    joined by shuffle.  Both frames should be tables, as they are read twice.
+    """
+    total = found.agg(F.sum(weight)).first()[0] or 0
+    hot = F.col(weight) > max(total // HOT_KEYS, 1)
+    often, seldom = found.filter(hot).drop(weight), found.filter(~hot).drop(weight)
+    rest = rows.join(F.broadcast(often.select(*keys)), keys, "left_anti")
+    return rows.join(F.broadcast(often), keys).unionByName(rest.join(seldom, keys))
 
 
 def small_enough(df: DataFrame, rows: int) -> bool:

@@ -11,7 +11,7 @@ hubs, the members with most links: where members differ from one original, each
 is nearest to the least changed ones.  Last, the documents of dense regions that
 are not in one component yet meet by an exact prefix-filter join, rarest
 shingles first, so that a pair which shares MIN_DEPTH values in any tree is
-found however many others share them.
+found however many others share them.  ``exact`` joins all documents that way.
 """
 
 from __future__ import annotations
@@ -20,10 +20,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.llm.common import broadcast_if_small, written
+from lectern.llm.common import broadcast_if_small, joined_by_weight, written
 from lectern.llm.components import components
 from lectern.llm.tokens import chunks, mix64, shingles, word_hashes
 
@@ -37,7 +38,7 @@ LEAST_AGREE = 66
 #: Pairs that agree at least so much can still lead to a group's hubs.
 LEAST_NEAR = 40
 HUBS = 12
-#: Ids (16 bytes each) up to this many are broadcast to pick texts.
+#: Documents (some 50 bytes each) up to this many are broadcast to pick their texts.
 BROADCAST_IDS = 1_000_000
 #: Shingles of so many dense documents are put last in the order of the prefix filter ...
 COMMON = 4
@@ -62,17 +63,6 @@ def signature(x: np.ndarray) -> bytes:
     return (mix64(low) >> np.uint64(48)).astype(">u2").tobytes()
 
 
-def short_set(x: np.ndarray) -> bytes:
-    """A set of shingles as sorted 40-bit numbers."""
-    return np.unique(x >> np.uint64(24)).astype(">u8").view(np.uint8).reshape(-1, 8)[:, 3:].tobytes()
-
-
-def read_set(raw: bytes) -> np.ndarray:
-    out = np.zeros((len(raw) // 5, 8), np.uint8)
-    out[:, 3:] = np.frombuffer(raw, np.uint8).reshape(-1, 5)
-    return out.view(">u8").ravel().astype(np.uint64)
-
-
 def _sets(texts: list[str | None], width: int) -> Iterator[np.ndarray]:
     for _, _, encoded in chunks(texts):
         hashes, first = word_hashes(encoded)
@@ -80,19 +70,39 @@ def _sets(texts: list[str | None], width: int) -> Iterator[np.ndarray]:
             yield shingles(hashes[first[k] : first[k + 1]], width)
 
 
+def _named(x: np.ndarray) -> tuple[int, int]:
+    """128 bits that name a set: two sums of its mixed hashes."""
+    return int(mix64(x).sum(dtype=np.uint64).astype(np.int64)), int(mix64(x ^ _FLIP[0]).sum(dtype=np.uint64).astype(np.int64))
+
+
 def _signed(docs: DataFrame, width: int) -> DataFrame:
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n, one, two, sig = [], [], [], []
-            for x in _sets(list(b["text"]), width):
+            n, names, sig = [], [], []
+            for x in _sets(b.column(1).to_pylist(), width):
                 n.append(len(x))
-                one.append(int(mix64(x).sum(dtype=np.uint64).astype(np.int64)))
-                two.append(int(mix64(x ^ _FLIP[0]).sum(dtype=np.uint64).astype(np.int64)))
+                names.append(_named(x))
                 sig.append(signature(x) if len(x) else b"")
-            yield pd.DataFrame({"doc_id": b["doc_id"], "n": n, "one": one, "two": two, "sig": sig})
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), pa.array(n, pa.int64()), *[pa.array([x[i] for x in names], pa.int64()) for i in (0, 1)], pa.array(sig, pa.binary())],
+                ["doc_id", "n", "one", "two", "sig"],
+            )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, n long, one long, two long, sig binary")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n long, one long, two long, sig binary")
+
+
+def _texts_of(ids: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """``(id, one, two, text)``: the texts of the documents that stand for the classes ``ids(id)``."""
+    wanted = classes.join(broadcast_if_small(ids, BROADCAST_IDS), "id", "left_semi").select("id", "one", "two", F.col("rep").alias("doc_id"))
+    return docs.select("doc_id", "text").join(broadcast_if_small(wanted, BROADCAST_IDS), "doc_id").select("id", "one", "two", "text")
+
+
+def _sets_of(b: pd.DataFrame, width: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Class and set of the rows that are of their class: another row of the same doc_id can have another text."""
+    for id_, one, two, x in zip(b["id"], b["one"], b["two"], _sets(list(b["text"]), width), strict=True):
+        if (one, two) == _named(x):
+            yield id_, x
 
 
 def _candidates(reps: DataFrame) -> DataFrame:
@@ -104,7 +114,7 @@ def _candidates(reps: DataFrame) -> DataFrame:
     rows = reps.select("id", F.explode(trees).alias("x")).select("x.tree", "x.key", "id")
     spark = reps.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.repartitionByRange(parts, "tree", "key").sortWithinPartitions("tree", "key", "id")
+    dealt = rows.repartitionByRange(parts, "tree", "key", "id").sortWithinPartitions("tree", "key", "id")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         left = None
@@ -154,29 +164,31 @@ def _agreement(pairs: DataFrame, reps: DataFrame) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").mapInPandas(run, "a long, b long, agree int")
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, width: int) -> DataFrame:
-    """The pairs whose full sets reach PERCENT."""
+def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int) -> DataFrame:
+    """The pairs of classes whose full sets reach PERCENT."""
     pairs, _ = written(pairs.select("a", "b"))
     ids = pairs.select(F.col("a").alias("id")).unionAll(pairs.select("b")).distinct()
 
     def coded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            sets = list(_sets(list(b["text"]), width))
-            yield pd.DataFrame({"id": b["id"], "n": [len(x) for x in sets], "s": [short_set(x) for x in sets]})
+            got = list(_sets_of(b, width))
+            yield pd.DataFrame({"id": [i for i, _ in got], "s": [x.tobytes() for _, x in got]})
 
-    texts = docs.join(broadcast_if_small(ids, BROADCAST_IDS), "id", "left_semi")
-    sets, _ = written(texts.mapInPandas(coded, "id long, n long, s binary"))
+    sets, _ = written(_texts_of(ids, classes, docs).mapInPandas(coded, "id long, s binary"))
+    if sets.count() != sets.select("id").distinct().count():
+        sets = sets.dropDuplicates(["id"])  # several rows of one doc_id can be of one class
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             keep = []
-            for x, y, n, m in zip(b["s_a"], b["s_b"], b["n_a"], b["n_b"], strict=True):
-                both = len(np.intersect1d(read_set(x), read_set(y), assume_unique=True))
-                keep.append(100 * both >= PERCENT * (n + m - both))
+            for x, y in zip(b["s_a"], b["s_b"], strict=True):
+                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(100 * both >= PERCENT * (len(x) + len(y) - both))
             yield b.loc[keep, ["a", "b"]]
 
-    one = sets.select(F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("s").alias("s_a"))
-    two = sets.select(F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("s").alias("s_b"))
+    one = sets.select(F.col("id").alias("a"), F.col("s").alias("s_a"))
+    two = sets.select(F.col("id").alias("b"), F.col("s").alias("s_b"))
     return pairs.join(one, "a").join(two, "b").mapInPandas(run, "a long, b long")
 
 
@@ -216,14 +228,14 @@ def _meet(key: np.ndarray, rows: np.ndarray, most: int = LONG_LIST) -> np.ndarra
     return np.unique(np.sort(out, axis=1), axis=0)
 
 
-def _in_crowds(dense: DataFrame, groups: DataFrame, texts: DataFrame, width: int) -> DataFrame:
-    """Pairs ``(a, b)`` of the documents ``dense(id)`` outside of one component that may reach PERCENT; none that does is left out."""
+def _in_crowds(dense: DataFrame, groups: DataFrame, classes: DataFrame, docs: DataFrame, width: int) -> DataFrame:
+    """Pairs ``(a, b)`` of the classes ``dense(id)`` outside of one component that may reach PERCENT; none that does is left out."""
     spark = dense.sparkSession
-    picked = texts.join(broadcast_if_small(dense, BROADCAST_IDS), "id", "left_semi")
+    picked = _texts_of(dense, classes, docs)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            x, k = np.unique(np.concatenate([np.zeros(0, np.uint64), *_sets(list(b["text"]), width)]), return_counts=True)
+            x, k = np.unique(np.concatenate([np.zeros(0, np.uint64), *[x for _, x in _sets_of(b, width)]]), return_counts=True)
             yield pd.DataFrame({"s": x.astype(np.int64), "k": k})
 
     counts = picked.mapInPandas(count, "s long, k long").groupBy("s").agg(F.sum("k").alias("k")).filter(F.col("k") >= COMMON)
@@ -231,16 +243,15 @@ def _in_crowds(dense: DataFrame, groups: DataFrame, texts: DataFrame, width: int
     names = common["s"].to_numpy().astype(np.uint64)
     order = np.argsort(names)
     sent = spark.sparkContext.broadcast((names[order], common["k"].to_numpy()[order]))
-    placed = picked.join(groups.toDF("id", "c"), "id", "left").select("id", F.coalesce("c", "id").alias("c"), "text")
+    placed = picked.join(groups.toDF("id", "c"), "id", "left").select("id", "one", "two", F.coalesce("c", "id").alias("c"), "text")
 
     def prefixes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known, often = sent.value
         for b in batches:
             out = [np.zeros((0, 5), np.int64)]
-            for node, c, x in zip(b["id"], b["c"], _sets(list(b["text"]), width), strict=True):
-                n = len(x)
-                if not n:
-                    continue
+            group = dict(zip(b["id"], b["c"], strict=True))
+            for node, x in _sets_of(b, width):
+                c, n = group[node], len(x)
                 rank = np.zeros(n, np.int64)
                 if len(known):
                     at = np.minimum(np.searchsorted(known, x), len(known) - 1)
@@ -271,48 +282,71 @@ def _in_crowds(dense: DataFrame, groups: DataFrame, texts: DataFrame, width: int
     return dealt.mapInPandas(run, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, width: int = WIDTH) -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = WIDTH, exact: bool = False) -> DataFrame:
     """Per row of ``docs``: doc_id, n_shingles, component_id, kept.
 
     A text's set: its distinct shingles of ``width`` words (A-Z folded); with
     fewer words the whole sequence as one; without words, or null, empty and
     linked with nothing.  component_id is the smallest doc_id reachable over
     links of at least PERCENT; ``kept`` marks doc_id = component_id.  Rows
-    with one doc_id are one document to links, and equal rows are all kept or
-    not.  A null doc_id links with nothing: its component_id is null and it is
-    kept.  Other columns are ignored; no rows give no rows.
+    with one doc_id are one document to links, whatever their texts, and equal
+    rows are all kept or not.  A null doc_id links with nothing: its
+    component_id is null and it is kept.  Ids may be of any type that sorts.
+    Other columns are ignored; no rows give no rows.
+
+    The forest misses a pair at 0.75 only if the two share MIN_DEPTH values in
+    no tree, or fewer than LEAST_AGREE in all.  With ``exact`` all documents
+    are joined by their rarest shingles instead, so that no pair is missed.
     """
+    docs = docs.select("doc_id", "text")
     signed, _ = written(_signed(docs, width))
     real = signed.filter(F.col("doc_id").isNotNull() & (F.col("n") > 0))
-    classes = real.groupBy("one", "two", "n").agg(F.min("doc_id").alias("rep"))
-    mapped, _ = written(real.join(classes, ["one", "two", "n"]).select(
-        "doc_id", "n", "rep", F.when(F.col("doc_id") == F.col("rep"), F.col("sig")).alias("sig")
+    grouped = real.groupBy("one", "two", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("rows"))
+    classes, _ = written(grouped.withColumn("id", F.monotonically_increasing_id()))
+    mapped, _ = written(joined_by_weight(real, classes, ["one", "two", "n"], "rows").select(
+        "doc_id", "n", "id", F.when(F.col("doc_id") == F.col("rep"), F.col("sig")).alias("sig")
     ))
-    reps = mapped.filter(F.col("sig").isNotNull()).select(F.col("rep").cast("long").alias("id"), "sig", "n").dropDuplicates(["id"])
-    # a row for each class; where rows share a doc_id, one of them stands for it
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").filter(F.col("id").isNotNull()).dropDuplicates(["id"]) \
-        if _repeated(docs) else docs.select(F.col("doc_id").cast("long").alias("id"), "text")
+    reps = mapped.filter(F.col("sig").isNotNull()).select("id", "sig", "n")
+    repeated = mapped.count() != mapped.select("doc_id").distinct().count()
+    if repeated:
+        reps = reps.dropDuplicates(["id"])
+    shared = _shared_ids(mapped) if repeated else None
+    if exact:
+        alone = mapped.limit(0).select(F.col("id").alias("node"), F.col("id").alias("component"))
+        links, _ = written(_confirmed(_in_crowds(classes.select("id"), alone, classes, docs, width), classes, docs, width))
+    else:
+        links = _links_of_forest(reps, shared, classes, docs, width)
+    if repeated:
+        links = links.unionAll(shared)
+    found = components(links)
+    nodes, _ = written(classes.join(found, F.col("id") == F.col("node"), "left").select("id", "rep", "rows", F.coalesce("component", "id").alias("c")))
+    lows, _ = written(nodes.groupBy("c").agg(F.min("rep").alias("component_id"), F.count("*").alias("members")))
+    labels, _ = written(joined_by_weight(nodes.select("id", "rows", "c"), lows, ["c"], "members").select("id", "rows", "component_id"))
+    joined = joined_by_weight(mapped.select("doc_id", "n", "id"), labels, ["id"], "rows").select("doc_id", "n", "component_id")
+    alone = signed.filter(F.col("doc_id").isNull() | (F.col("n") == 0)).select("doc_id", "n", F.col("doc_id").alias("component_id"))
+    return joined.unionAll(alone).select(
+        "doc_id", F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept")
+    )
+
+
+def _links_of_forest(reps: DataFrame, shared: DataFrame | None, classes: DataFrame, docs: DataFrame, width: int) -> DataFrame:
+    """Confirmed links ``(a, b)`` of classes that join all which the trees bring together."""
     met, _ = written(_candidates(reps))
     near, _ = written(_agreement(met.filter("a <> b"), reps).filter(F.col("agree") >= LEAST_NEAR))
     # the likeliest partners of each document first: most other pairs then lie inside a component and need no proof
     strong = near.filter(F.col("agree") >= LEAST_AGREE)
     likeliest, _ = written(_likeliest(strong))
-    first, _ = written(_confirmed(likeliest, texts, width))
+    first, _ = written(_confirmed(likeliest, classes, docs, width))
     rest = _apart(strong, components(first)).join(likeliest, ["a", "b"], "left_anti")
-    second, _ = written(_confirmed(rest, texts, width))
+    second, _ = written(_confirmed(rest, classes, docs, width))
     links = first.unionAll(second)
     groups, _ = written(components(links))
-    more, _ = written(_confirmed(_to_hubs(near, links, groups, reps), texts, width))
-    links = links.unionAll(more).unionAll(_shared_ids(mapped))
-    groups, _ = written(components(links))
-    crowds = _in_crowds(met.filter("a = b").select(F.col("a").alias("id")), groups, texts, width)
-    dense, _ = written(_confirmed(_agreement(crowds, reps).filter(F.col("agree") >= LEAST_AGREE), texts, width))
-    found = components(links.unionAll(dense)).withColumnRenamed("node", "rep")
-    joined = mapped.select("doc_id", "n", "rep").join(found, "rep", "left").select("doc_id", "n", F.coalesce("component", "rep").alias("c"))
-    alone = signed.filter(F.col("doc_id").isNull() | (F.col("n") == 0)).select("doc_id", "n", F.col("doc_id").alias("c"))
-    return joined.unionAll(alone).select(
-        "doc_id", F.col("n").alias("n_shingles"), F.col("c").alias("component_id"), F.coalesce(F.col("doc_id") == F.col("c"), F.lit(True)).alias("kept")
-    )
+    more, _ = written(_confirmed(_to_hubs(near, links, groups, reps), classes, docs, width))
+    links = links.unionAll(more)
+    groups, _ = written(components(links if shared is None else links.unionAll(shared)))
+    crowds = _in_crowds(met.filter("a = b").select(F.col("a").alias("id")), groups, classes, docs, width)
+    dense, _ = written(_confirmed(_agreement(crowds, reps).filter(F.col("agree") >= LEAST_AGREE), classes, docs, width))
+    return links.unionAll(dense)
 
 
 def _likeliest(pairs: DataFrame, each: int = 2) -> DataFrame:
@@ -328,15 +362,10 @@ def _apart(pairs: DataFrame, groups: DataFrame) -> DataFrame:
     return sides.filter(~F.coalesce(F.col("c_a") == F.col("c_b"), F.lit(False)))
 
 
-def _repeated(docs: DataFrame) -> bool:
-    ids = docs.select("doc_id")
-    return ids.count() != ids.distinct().count()
-
-
 def _shared_ids(mapped: DataFrame) -> DataFrame:
     """Links between the classes that the rows with one doc_id belong to."""
-    spread = mapped.groupBy("doc_id").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).filter("low <> high")
-    return mapped.join(spread, "doc_id").filter("rep <> low").select(F.col("low").alias("a"), F.col("rep").alias("b"))
+    spread = mapped.groupBy("doc_id").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low <> high")
+    return mapped.join(spread, "doc_id").filter("id <> low").select(F.col("low").alias("a"), F.col("id").alias("b"))
 
 
 def _to_hubs(near: DataFrame, links: DataFrame, groups: DataFrame, reps: DataFrame) -> DataFrame:
