@@ -8,31 +8,32 @@ maximisation on held-out counts: each training token is held out in turn, so
 its estimates are those of the training tokens without it.  A text is its words
 and one end; the first word's context is a start.
 
-All counts cover all training documents.  The events (v, w) are dealt once, as
-packed arrays, to shards by a hash of the pair: a shard sees all events of its
-pairs, counts them, and adds up its part of every document's score.
+All counts cover all training documents, and there is one way for all sizes.
+Documents are encoded in packs.  A pack asks for the counts of its distinct
+words and pairs: its own counts of them are dealt to shards by hash, a shard
+sums them over all packs and answers each.  With the answers a pack has all
+that its documents' scores need, so neither vocabulary nor counts are ever in
+one place, and what is sent grows with the distinct words and pairs of packs.
 """
 
 from __future__ import annotations
 
-import struct
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import crc_mod, words, written
+from lectern.llm.common import crc_mod, dropped, written
 from lectern.llm.tokens import mix64, word_hashes
 
 FOLDS, HELD_OUT = 5, 1
 END, START = np.uint64(0x51A7E5EED0000001), np.uint64(0x51A7E5EED0000002)
-#: Distinct training words (12 bytes each) up to this many are broadcast; more are met by shuffled joins.
-BROADCAST_WORDS = 8_000_000
-EVENTS_PER_SHARD = 2_000_000
-#: Bytes of text that are packed together.
+#: Tokens for each shard; it sees at most so many different words and pairs of packs at once, some 60 bytes each.
+TOKENS_PER_SHARD = 3_000_000
+#: Bytes of text that are packed together; a longer text is a pack of its own.
 PACK_BYTES = 4 << 20
 BUCKETS = 24
 _STEPS = 20  # cells per factor of ten, for the histogram of estimates
@@ -81,13 +82,13 @@ def learn_weights(cells: np.ndarray, counts: np.ndarray, uniform: float, rounds:
     return out / out.sum(axis=1, keepdims=True)
 
 
-def held_out_histogram(pair: np.ndarray, context: np.ndarray, word: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Cells and counts of distinct training pairs, each with its count taken once less, from their counts."""
+def held_out_histogram(pair: np.ndarray, context: np.ndarray, word: np.ndarray, n: int, weights: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Cells and counts of training pairs, each with its count taken once less, from their counts; ``weights`` tells how often each is held out."""
     p2 = (pair - 1) / np.maximum(context - 1, 1)
     p1 = (word - 1) / max(n - 1, 1)
     cells = (buckets(context - 1) * (_FLOOR + 1) + _cells(p2)) * (_FLOOR + 1) + _cells(p1)
     keys, at = np.unique(cells, return_inverse=True)
-    return keys, np.bincount(at, weights=pair, minlength=len(keys))
+    return keys, np.bincount(at, weights=pair if weights is None else weights, minlength=len(keys))
 
 
 def log10_mix(weights: np.ndarray, pair: np.ndarray, context: np.ndarray, word: np.ndarray, n: int, v: int) -> np.ndarray:
@@ -104,21 +105,6 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", (mod == HELD_OUT).alias("held_out"), F.coalesce("text", F.lit("")).alias("text"))
 
 
-def word_counts(texts: DataFrame) -> DataFrame:
-    """``(word, c)`` over the training documents, with the end as a word; words as hashes."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            if len(b):
-                found = [np.unique(h, return_counts=True) for h, _, _ in _packs(list(b["text"]))]
-                keys = np.concatenate([x for x, _ in found] + [np.array([END])])
-                counts = np.concatenate([x for _, x in found] + [np.array([len(b)])])
-                keys, at = np.unique(keys, return_inverse=True)
-                yield pd.DataFrame({"word": keys.view(np.int64), "c": np.bincount(at, weights=counts).astype(np.int64)})
-
-    return texts.filter(~F.col("held_out")).select("text").mapInPandas(run, "word long, c long").groupBy("word").agg(F.sum("c").alias("c"))
-
-
 def _packs(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, slice]]:
     """Word hashes, first words and the slice of the texts, for about PACK_BYTES at a time."""
     lo, size, part = 0, 0, []
@@ -151,210 +137,193 @@ def _hashed(part: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _planes(x: np.ndarray) -> bytes:
-    """Whole numbers below 2^32, byte by byte of significance, compressed."""
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes())
+    """Whole numbers, byte by byte of significance, compressed."""
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x.astype("<i8").view(np.uint8).reshape(-1, 8).T).tobytes())
 
 
 def _unplanes(raw: bytes) -> np.ndarray:
     flat = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8)
-    return np.ascontiguousarray(flat.reshape(4, -1).T).view("<u4").ravel()
+    return np.ascontiguousarray(flat.reshape(8, -1).T).view("<i8").ravel()
 
 
-def _frame(*parts: bytes) -> bytes:
-    return struct.pack(f"<{len(parts)}q", *map(len, parts)) + b"".join(parts)
+def encoded(texts: DataFrame) -> DataFrame:
+    """Packs: their documents, sizes in tokens, distinct words (hashes, ascending) and tokens as places among these."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            row = b.column(0).to_numpy()
+            for h, first, at in _packs(b.column(3).to_pylist()):
+                sizes = np.diff(first) + 1
+                word = np.full(int(sizes.sum()), END)
+                inner = np.ones(len(word), bool)
+                inner[np.cumsum(sizes) - 1] = False
+                word[inner] = h
+                vocabulary, places = np.unique(word, return_inverse=True)
+                one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
+                width = at.stop - at.start
+                yield pa.RecordBatch.from_arrays([
+                    pa.array([row[at.start]], pa.int64()),  # rows are numbered without repeats, so the first one names the pack
+                    one(b.column(1).slice(at.start, width)), one(b.column(2).slice(at.start, width)), one(pa.array(sizes, pa.int64())),
+                    pa.array([vocabulary.tobytes()], pa.binary()), pa.array([_planes(places)], pa.binary()),
+                ], ["pack", "doc_id", "held_out", "sizes", "vocabulary", "places"])
+
+    kind = texts.schema["doc_id"].dataType.simpleString()
+    numbered = texts.select(F.monotonically_increasing_id().alias("row"), "doc_id", "held_out", "text")
+    return numbered.mapInArrow(run, f"pack long, doc_id array<{kind}>, held_out array<boolean>, sizes array<long>, vocabulary binary, places binary")
 
-def _unframe(raw: bytes, n: int) -> list[bytes]:
-    at, out = 8 * n, []
-    for size in struct.unpack_from(f"<{n}q", raw):
-        out.append(raw[at : at + size])
-        at += size
-    return out
 
+class Pack:
+    """A pack's tokens ``w``, their contexts ``v`` (``start``: none), its distinct pairs and how often training documents have them."""
+
+    def __init__(self, held: np.ndarray, sizes: np.ndarray, places: np.ndarray, start: int):
+        self.w, self.start = places, start
+        self.owner = np.repeat(np.arange(len(sizes)), sizes)
+        self.training = ~held[self.owner]
+        self.v = np.empty_like(places)
+        self.v[1:] = places[:-1]
+        self.v[np.cumsum(sizes) - sizes] = start
+        self.pairs, self.pair = np.unique(self.v * (start + 1) + self.w, return_inverse=True)
+
+    def counts(self) -> np.ndarray:
+        """Of the distinct words, then of the distinct pairs."""
+        return np.concatenate([np.bincount(self.w[self.training], minlength=self.start), np.bincount(self.pair[self.training], minlength=len(self.pairs))])
 
-class Events:
-    """Packs the events of documents for shards; the callable of the first pass."""
+    def keys(self, vocabulary: np.ndarray) -> np.ndarray:
+        v, w = np.append(vocabulary, START)[self.pairs // (self.start + 1)], vocabulary[self.pairs % (self.start + 1)]
+        return np.concatenate([mix64(vocabulary), mix64(mix64(v) * np.uint64(0x9E3779B97F4A7C15) + w)])
 
-    def __init__(self, counts, training: int, total: int, distinct: int, shards: int):
-        self.counts, self.training, self.total, self.distinct, self.shards = counts, training, total, distinct, shards
 
-    def __call__(self, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        keys, counts = self.counts.value
+def _shards_of(keys: np.ndarray, shards: int) -> np.ndarray:
+    return ((keys >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
+
+
+def _opened(b: pa.RecordBatch, start: list[int]) -> Iterator[Pack]:
+    held, sizes, places = (b.column(b.schema.get_field_index(x)) for x in ("held_out", "sizes", "places"))
+    for i in range(b.num_rows):
+        yield Pack(held[i].values.to_numpy(zero_copy_only=False).astype(bool), sizes[i].values.to_numpy(), _unplanes(places[i].as_py()), start[i])
+
+
+def answered(packs: DataFrame, shards: int) -> DataFrame:
+    """``(pack, shard, counts, v, n)``: a shard's answer to a pack, and with a null pack its number of training words, distinct and in all."""
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            row, held = b["row"].to_numpy(), b["held_out"].to_numpy()
-            for h, first, at in _packs(list(b["text"])):
-                yield from self.packed(h, np.diff(first), row[at], b["doc_id"][at], held[at], keys, counts)
-
-    def packed(self, h, sizes, row, doc_id, held, keys, counts):
-        docs = len(row)
-        owner = np.repeat(np.arange(docs), sizes + 1)
-        ends = np.cumsum(sizes + 1) - 1
-        inner = np.ones(len(owner), bool)
-        inner[ends] = False
-        word = np.full(len(owner), END)
-        word[inner] = h
-        starts = ends - sizes
-        if len(keys):
-            place = np.minimum(np.searchsorted(keys, word), len(keys) - 1)
-            c_word = np.where(keys[place] == word, counts[place], 0).astype(np.int64)
-        else:
-            c_word = np.zeros(len(owner), np.int64)
-        context, c_context = np.roll(word, 1), np.roll(c_word, 1)
-        context[starts], c_context[starts] = START, self.training
-        known = np.bincount(owner, weights=c_word > 0, minlength=docs).astype(np.int64)
-        base = np.bincount(owner, weights=np.log10((c_word + 0.5) / (self.total + 0.5 * (self.distinct + 1))), minlength=docs)
-        pair = mix64(context * np.uint64(0x9E3779B97F4A7C15) + word)
-        shard = ((pair >> np.uint64(48)) * np.uint64(self.shards) >> np.uint64(16)).astype(np.int64)
-        order = np.argsort(shard, kind="stable")
-        cuts = np.searchsorted(shard[order], np.arange(self.shards + 1))
-        batch = int(row[0])  # rows are numbered without repeats, so this names the batch
-        low = (pair & np.uint64((1 << 48) - 1)).astype(">u8").view(np.uint8).reshape(-1, 8)[:, 2:]
-        flags = np.packbits(held.astype(bool)).tobytes()
-        shards, payloads = [], []
-        for k in range(self.shards):
-            pick = order[cuts[k] : cuts[k + 1]]
-            if len(pick):
-                per_doc = np.bincount(owner[pick], minlength=docs)
-                shards.append(k)
-                payloads.append(_frame(struct.pack("<qq", batch, docs), flags, _planes(per_doc), low[pick].tobytes(), _planes(c_context[pick]), _planes(c_word[pick])))
-        yield pd.DataFrame({"shard": shards, "payload": payloads})
-        facts = pd.DataFrame({"row": row, "doc_id": doc_id.to_numpy(), "held_out": held, "n_tokens": sizes + 1, "n_known": known, "base": base})
-        yield pd.DataFrame({"shard": [-1 - batch % self.shards], "payload": [_frame(struct.pack("<qq", batch, docs), facts.to_parquet())]})
-
-
-def _opened(payloads: list[bytes]):
-    """Of a shard's payloads: batch and size of each, and of all events the key, place of the document, training, c(v), c(w)."""
-    heads, keys, places, training, c_v, c_w, at = [], [], [], [], [], [], 0
-    for raw in payloads:
-        head, flags, per_doc, low, context, word = _unframe(raw, 6)
-        batch, docs = struct.unpack("<qq", head)
-        held = np.unpackbits(np.frombuffer(flags, np.uint8), count=docs).astype(bool)
-        per_doc = _unplanes(per_doc)
-        key = np.zeros((int(per_doc.sum()), 8), np.uint8)
-        key[:, 2:] = np.frombuffer(low, np.uint8).reshape(-1, 6)
-        keys.append(key.view(">u8").ravel().astype(np.uint64))
-        places.append(np.repeat(np.arange(at, at + docs, dtype=np.int32), per_doc))
-        training.append(np.repeat(~held, per_doc))
-        c_v.append(_unplanes(context))
-        c_w.append(_unplanes(word))
-        heads.append((batch, at, docs))
-        at += docs
-    join = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
-    return heads, at, join(keys), join(places), join(training).astype(bool), join(c_v).astype(np.int64), join(c_w).astype(np.int64)
-
-
-def _merged(a, b):
-    keys, at = np.unique(np.concatenate([a[0], b[0]]), return_inverse=True)
-    return keys, np.bincount(at, weights=np.concatenate([a[1], b[1]]), minlength=len(keys))
-
-
-def score(docs: DataFrame, broadcast_words: int = BROADCAST_WORDS) -> DataFrame:
+            names, words = b.column(0), [np.frombuffer(x.as_py(), np.uint64) for x in b.column(b.schema.get_field_index("vocabulary"))]
+            for i, pack in enumerate(_opened(b, [len(x) for x in words])):
+                keys, counts = pack.keys(words[i]), pack.counts()
+                shard = _shards_of(keys, shards)
+                order = np.argsort(shard, kind="stable")
+                cuts = np.searchsorted(shard[order], np.arange(shards + 1)) if shards < len(keys) else None
+                used = np.unique(shard) if cuts is None else np.flatnonzero(np.diff(cuts))
+                lo, hi = (cuts[used], cuts[used + 1]) if cuts is not None else (np.searchsorted(shard[order], used), np.searchsorted(shard[order], used, "right"))
+                parts = [order[x:y] for x, y in zip(lo, hi, strict=True)]
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(used, pa.int64()), pa.array(np.full(len(used), names[i].as_py()), pa.int64()),
+                    pa.array([int((p < len(words[i])).sum()) for p in parts], pa.int64()),
+                    pa.array([keys[p].tobytes() for p in parts], pa.binary()), pa.array([_planes(counts[p]) for p in parts], pa.binary()),
+                ], ["shard", "pack", "words", "keys", "counts"])
+
+    def total(table: pa.Table) -> pa.Table:
+        raw = table.column("keys").to_pylist()
+        sizes = np.array([len(x) // 8 for x in raw])
+        keys = np.frombuffer(b"".join(raw), np.uint64)
+        del raw
+        counts = np.concatenate([_unplanes(x) for x in table.column("counts").to_pylist()])
+        ends = np.cumsum(sizes)
+        is_word = np.arange(len(keys)) - np.repeat(ends - sizes, sizes) < np.repeat(table.column("words").to_numpy(), sizes)
+        distinct, at = np.unique(keys, return_inverse=True)
+        # sums of whole numbers: exact, as they are below 2^53
+        sums = np.bincount(at, weights=counts, minlength=len(distinct)).astype(np.int64)
+        of_words = np.zeros(len(distinct), bool)
+        of_words[at[is_word]] = True
+        known = sums[of_words & (sums > 0)]
+        every = sums[at]
+        shard = table.column("shard")[0].as_py()
+        return pa.table({
+            "pack": pa.array([*table.column("pack").to_pylist(), None], pa.int64()), "shard": pa.array([shard] * (len(sizes) + 1), pa.int64()),
+            "counts": pa.array([*[_planes(every[e - n : e]) for e, n in zip(ends, sizes, strict=True)], None], pa.binary()),
+            "v": pa.array([*[None] * len(sizes), len(known)], pa.int64()), "n": pa.array([*[None] * len(sizes), int(known.sum())], pa.int64()),
+        })
+
+    asked = packs.mapInArrow(ask, "shard long, pack long, words long, keys binary, counts binary")
+    return asked.groupBy("shard").applyInArrow(total, "pack long, shard long, counts binary, v long, n long")
+
+
+def counted(packs: DataFrame, answers: DataFrame, shards: int) -> DataFrame:
+    """Packs without words, with ``known``: the training counts of their distinct words, then of their distinct pairs."""
+    each = answers.filter(F.col("pack").isNotNull()).groupBy("pack").agg(F.sort_array(F.collect_list(F.struct("shard", "counts"))).alias("answers"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            words = [np.frombuffer(x.as_py(), np.uint64) for x in b.column(b.schema.get_field_index("vocabulary"))]
+            got, known = b.column(b.schema.get_field_index("answers")), []
+            for i, pack in enumerate(_opened(b, [len(x) for x in words])):
+                order = np.argsort(_shards_of(pack.keys(words[i]), shards), kind="stable")
+                out = np.empty(len(order), np.int64)
+                out[order] = np.concatenate([_unplanes(x["counts"].as_py()) for x in got[i]])
+                known.append(_planes(out))
+            kept = [b.column(b.schema.get_field_index(x)) for x in ("doc_id", "held_out", "sizes", "places")]
+            yield pa.RecordBatch.from_arrays(
+                [*kept, pa.array([len(x) for x in words], pa.int64()), pa.array(known, pa.binary())], ["doc_id", "held_out", "sizes", "places", "start", "known"]
+            )
+
+    kind = packs.schema["doc_id"].dataType.simpleString()
+    return packs.join(each, "pack").mapInArrow(run, f"doc_id {kind}, held_out array<boolean>, sizes array<long>, places binary, start long, known binary")
+
+
+def _with_counts(b: pa.RecordBatch) -> Iterator[tuple[int, Pack, np.ndarray, np.ndarray]]:
+    """Number, pack, and the training counts of its words and of its distinct pairs."""
+    start, known = b.column(b.schema.get_field_index("start")).to_pylist(), b.column(b.schema.get_field_index("known"))
+    for i, pack in enumerate(_opened(b, start)):
+        c = _unplanes(known[i].as_py())
+        yield i, pack, c[: pack.start], c[pack.start :]
+
+
+def score(docs: DataFrame, tokens_per_shard: int = TOKENS_PER_SHARD) -> DataFrame:
     """Per row of ``docs``: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Learns from documents whose crc32(doc_id) mod 5 is not 1.  A null text is
     empty: one end.  Without training documents every estimate but the uniform
     is 0.  Repeated rows are scored, and counted, one by one; null ids are
-    scored like any other; other columns are ignored; no rows give none.
+    scored like any other; ids may be of any type; other columns are ignored;
+    no rows give none.
     """
-    texts = _texts(docs)
-    counts, _ = written(word_counts(texts))
-    facts = counts.agg(F.count("*"), F.coalesce(F.sum("c"), F.lit(0)), F.coalesce(F.max(F.when(F.col("word") == int(END.astype(np.int64)), F.col("c"))), F.lit(0))).first()
-    distinct, total, training = (int(x) for x in facts)
-    if distinct > broadcast_words:
-        return score_by_joins(docs)
-    spark = docs.sparkSession
-    local = counts.toArrow()  # columns, not row objects
-    keys, seen = local["word"].to_numpy().view(np.uint64), np.minimum(local["c"].to_numpy(), 0xFFFFFFFF).astype(np.uint32)
-    del local
-    order = np.argsort(keys)
-    sent = spark.sparkContext.broadcast((keys[order], seen[order]))
-    del keys, seen, order
-    shards = max(1, -(-total * FOLDS // (FOLDS - 1) // EVENTS_PER_SHARD))
-    numbered = texts.select(F.monotonically_increasing_id().alias("row"), "doc_id", "held_out", "text")
-    packed = numbered.mapInPandas(Events(sent, training, total, distinct, shards), "shard long, payload binary")
-    dealt = packed.rdd.map(lambda r: (int(r[0]) if r[0] >= 0 else -int(r[0]) - 1, (r[0] < 0, bytes(r[1])))).partitionBy(shards, int)
-
-    def histogram(part):
-        _, _, key, _, train, c_v, c_w = _opened([raw for _, (fact, raw) in part if not fact])
-        key, c_v, c_w = key[train], c_v[train], c_w[train]
-        _, at, n = np.unique(key, return_index=True, return_counts=True)
-        yield held_out_histogram(n, c_v[at], c_w[at], total)
-
-    cells, seen = dealt.mapPartitions(histogram).treeReduce(_merged)
-    weights = learn_weights(cells, seen, 1.0 / (distinct + 1))
-
-    def parts(part):
-        payloads, facts = [], []
-        for _, (fact, raw) in part:
-            (facts if fact else payloads).append(raw)
-        for raw in facts:
-            head, table = _unframe(raw, 2)
-            yield struct.unpack("<qq", head)[0], (table, None)
-        heads, docs_here, key, place, train, c_v, c_w = _opened(payloads)
-        _, at = np.unique(key, return_inverse=True)
-        del key
-        n = np.bincount(at, weights=train)[at] if len(at) else np.zeros(0)
-        del at, train
-        sums = np.bincount(place, weights=log10_mix(weights, n, c_v, c_w, total, distinct), minlength=docs_here)
-        for batch, lo, size in heads:
-            yield batch, (None, sums[lo : lo + size])
-
-    def added(a, b):
-        return a[0] or b[0], b[1] if a[1] is None else a[1] if b[1] is None else a[1] + b[1]
-
-    whole = dealt.mapPartitions(parts).reduceByKey(added, shards)
-
-    def rows(part):
-        import io
-
-        for _, (table, sums) in part:
-            f = pd.read_parquet(io.BytesIO(table))
-            for d, h, n, k, b, s in zip(f["doc_id"], f["held_out"], f["n_tokens"], f["n_known"], f["base"], sums, strict=True):
-                yield None if pd.isna(d) else int(d), bool(h), int(n), int(k), total, float(b), float(s)
+    packs, packs_at = written(encoded(_texts(docs)))
+    tokens = packs.select(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda s, x: s + x))).first()[0] or 0
+    shards = max(1, -(-tokens // tokens_per_shard))
+    answers, answers_at = written(answered(packs, shards))
+    facts = answers.filter(F.col("pack").isNull()).agg(F.coalesce(F.sum("v"), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    distinct, total = int(facts[0]), int(facts[1])
+    ready, _ = written(counted(packs, answers, shards))
+    dropped(docs.sparkSession, packs_at, answers_at)
+    training = _texts(docs).filter(~F.col("held_out")).count()
+
+    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for _, pack, words, pairs in _with_counts(b):
+                own = pack.counts()[pack.start :]
+                pick = np.flatnonzero(own)
+                v, w = pack.pairs[pick] // (pack.start + 1), pack.pairs[pick] % (pack.start + 1)
+                k, n = held_out_histogram(pairs[pick], np.append(words, training)[v], words[w], total, own[pick])
+                yield pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), pa.array(n.astype(np.int64), pa.int64())], ["cell", "n"])
+
+    # bounded by the number of cells
+    seen = ready.mapInArrow(cells, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).orderBy("cell").toArrow()
+    weights = learn_weights(seen["cell"].to_numpy(), seen["n"].to_numpy(), 1.0 / (distinct + 1))
+
+    def scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i, pack, words, pairs in _with_counts(b):
+                v, w = pack.pairs // (pack.start + 1), pack.pairs % (pack.start + 1)
+                p = log10_mix(weights, pairs, np.append(words, training)[v], words[w], total, distinct)
+                sizes = b.column(2)[i].values
+                n = len(sizes)
+                base = np.log10((words + 0.5) / (total + 0.5 * (distinct + 1)))
+                add = lambda x: np.bincount(pack.owner, weights=x, minlength=n)  # noqa: B023, E731
+                yield pa.RecordBatch.from_arrays([
+                    b.column(0)[i].values, b.column(1)[i].values, sizes, pa.array(add((words > 0)[pack.w]).astype(np.int64)),
+                    pa.array(np.full(n, total), pa.int64()), pa.array(add(base[pack.w])), pa.array(add(p[pack.pair])),
+                ], ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return spark.createDataFrame(
-        whole.mapPartitions(rows), f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    )
-
-
-def _bucket(context: Column) -> Column:
-    return F.when(context > 0, F.least(F.length(F.bin(context)), F.lit(BUCKETS - 1))).otherwise(F.lit(0))
-
-
-def score_by_joins(docs: DataFrame) -> DataFrame:
-    """The same scores where the words are too many to broadcast: events are joined with the counts by shuffle."""
-    spark = docs.sparkSession
-    texts = _texts(docs).withColumn("row", F.monotonically_increasing_id())
-    start, end = F.lit(int(START.astype(np.int64))), F.lit(int(END.astype(np.int64)))
-    h = F.concat(F.array(start), F.transform(words(F.col("text")), lambda w: F.xxhash64(w)), F.array(end))
-    events, _ = written(texts.select("row", "doc_id", "held_out", h.alias("h")).select(
-        "row", "doc_id", "held_out", "h", F.posexplode("h").alias("i", "w")
-    ).filter("i > 0").select("row", "doc_id", "held_out", "w", F.get("h", F.col("i") - 1).alias("v")))
-    train = events.filter(~F.col("held_out"))
-    uni, _ = written(train.groupBy("w").agg(F.count("*").alias("c_w")))
-    distinct, total = (int(x or 0) for x in uni.agg(F.count("*"), F.sum("c_w")).first())
-    training = train.filter(F.col("w") == end).count()
-    contexts = uni.select(F.col("w").alias("v"), F.col("c_w").alias("c_v"))
-    c_v = F.when(F.col("v") == start, F.lit(training)).otherwise(F.coalesce("c_v", F.lit(0)))
-    types, _ = written(events.groupBy("v", "w").agg(F.count_if(~F.col("held_out")).alias("c_vw")).join(uni, "w", "left").join(contexts, "v", "left").select(
-        "v", "w", "c_vw", F.coalesce("c_w", F.lit(0)).alias("c_w"), c_v.alias("c_v")
-    ))
-
-    def cell(p: Column) -> Column:
-        return F.when(p > 0, F.least(F.rint(-F.log10(p) * _STEPS), F.lit(_FLOOR - 1))).otherwise(F.lit(_FLOOR)).cast("long")
-
-    p2 = (F.col("c_vw") - 1) / F.greatest(F.col("c_v") - 1, F.lit(1))
-    p1 = (F.col("c_w") - 1) / F.lit(max(total - 1, 1))
-    cells = (_bucket(F.col("c_v") - 1).cast("long") * (_FLOOR + 1) + cell(p2)) * (_FLOOR + 1) + cell(p1)
-    got = types.filter("c_vw > 0").groupBy(cells.alias("cell")).agg(F.sum("c_vw").alias("n")).toPandas()  # bounded: BUCKETS * (_FLOOR + 1)^2 cells
-    weights = learn_weights(got["cell"].to_numpy(np.int64), got["n"].to_numpy(float), 1.0 / (distinct + 1))
-    w = spark.createDataFrame([(k, *map(float, x)) for k, x in enumerate(weights)], "k int, l2 double, l1 double, l0 double")
-    mixed = types.join(F.broadcast(w), F.col("k") == _bucket(F.col("c_v"))).select("v", "w", "c_w", F.log10(
-        F.col("l2") * F.col("c_vw") / F.greatest("c_v", F.lit(1)) + F.col("l1") * F.col("c_w") / F.lit(max(total, 1)) + F.col("l0") / F.lit(distinct + 1)
-    ).alias("p"))
-    base = F.log10((F.col("c_w") + 0.5) / F.lit(total + 0.5 * (distinct + 1)))
-    return events.join(mixed, ["v", "w"]).groupBy("row").agg(
-        F.first("doc_id").alias("doc_id"), F.first("held_out").alias("held_out"), F.count("*").alias("n_tokens"),
-        F.count_if(F.col("c_w") > 0).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), F.sum(base).alias("base_score"), F.sum("p").alias("score"),
-    ).drop("row")
+    return ready.mapInArrow(scores, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

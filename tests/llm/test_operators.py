@@ -52,13 +52,55 @@ def test_main_text_rows(spark):
 # --- language model ----------------------------------------------------------------------------
 
 
-def test_lm_paths_agree_and_base_is_exact(spark):
+def exact_lm(texts, held):
+    """Scores by counts of token tuples and expectation maximisation over single held-out tokens."""
+    tokens = [[*words_of(t), None] for t in texts]
+    uni, bi, contexts, total = {}, {}, {}, 0
+    for i, ws in enumerate(tokens):
+        if not held[i]:
+            for v, w in zip([0, *ws], ws, strict=False):
+                uni[w], bi[v, w], contexts[v] = uni.get(w, 0) + 1, bi.get((v, w), 0) + 1, contexts.get(v, 0) + 1
+                total += 1
+    bucket = lambda c: min(1 + int(math.log2(c)), lm.BUCKETS - 1) if c > 0 else 0
+    rough = lambda p: 10 ** (-min(round(-math.log10(p) * 20), 299) / 20) if p > 0 else 0.0
+    seen = {}
+    for (v, w), c in bi.items():
+        b = bucket(contexts[v] - 1)
+        p2 = rough((c - 1) / max(contexts[v] - 1, 1)) if b else 0.0
+        seen.setdefault(b, []).append((p2, rough((uni[w] - 1) / max(total - 1, 1)), 1 / (len(uni) + 1), c))
+
+    def em(rows):
+        l = [1 / 3] * 3
+        for _ in range(100):
+            new = [0.0] * 3
+            for *p, c in rows:
+                mix = sum(x * y for x, y in zip(l, p, strict=True))
+                for k in range(3):
+                    new[k] += c * l[k] * p[k] / mix
+            l = [x / sum(new) for x in new]
+        return l
+
+    whole = em([r for rows in seen.values() for r in rows])
+    weights = {}
+    for b in range(lm.BUCKETS):
+        l = [max(x, 1e-6) for x in (em(seen[b]) if b in seen else whole)]
+        l[0] = l[0] if b else 0.0
+        weights[b] = [x / sum(l) for x in l]
+    for ws in tokens:
+        out = 0.0
+        for v, w in zip([0, *ws], ws, strict=False):
+            c = contexts.get(v, 0)
+            l = weights[bucket(c)]
+            out += math.log10(l[0] * bi.get((v, w), 0) / max(c, 1) + l[1] * uni.get(w, 0) / total + l[2] / (len(uni) + 1))
+        yield out
+
+
+@pytest.mark.parametrize("tokens_per_shard", [lm.TOKENS_PER_SHARD, 50])
+def test_lm_against_brute_force(spark, tokens_per_shard, monkeypatch):
     rng = random.Random(3)
     vocabulary = [f"w{i}" for i in range(60)]
     texts = [*EDGES, *[" ".join(rng.choices(vocabulary, k=rng.randint(1, 60))) for _ in range(80)]]
-    docs = docs_of(spark, texts)
-    a = {r.doc_id: r for r in lm.score(docs).collect()}
-    b = {r.doc_id: r for r in lm.score(docs, broadcast_words=0).collect()}
+    got = {r.doc_id: r for r in lm.score(docs_of(spark, texts), tokens_per_shard).collect()}
     held = {i: zlib.crc32(str(i).encode()) % 5 == 1 for i in range(len(texts))}
     counts, total = {}, 0
     for i, t in enumerate(texts):
@@ -66,15 +108,18 @@ def test_lm_paths_agree_and_base_is_exact(spark):
             for w in [*words_of(t), None]:
                 counts[w] = counts.get(w, 0) + 1
                 total += 1
-    for i, t in enumerate(texts):
+    for i, (t, score) in enumerate(zip(texts, exact_lm(texts, held), strict=True)):
         tokens = [*words_of(t), None]
         base = sum(math.log10((counts.get(w, 0) + 0.5) / (total + 0.5 * (len(counts) + 1))) for w in tokens)
-        for got in (a[i], b[i]):
-            assert (got.held_out, got.n_tokens, got.train_tokens) == (held[i], len(tokens), total)
-            assert got.n_known == sum(w in counts for w in tokens)
-            assert got.base_score == pytest.approx(base, abs=1e-6)
-        assert a[i].score == pytest.approx(b[i].score, abs=1e-6)
-        assert math.isfinite(a[i].score)
+        assert (got[i].held_out, got[i].n_tokens, got[i].train_tokens) == (held[i], len(tokens), total)
+        assert got[i].n_known == sum(w in counts for w in tokens)
+        assert got[i].base_score == pytest.approx(base, abs=1e-6)
+        assert got[i].score == pytest.approx(score, rel=1e-6)
+
+
+def test_lm_text_ids(spark):
+    rows = spark.createDataFrame([("a", "x y"), (None, None), ("b", "x y")], "doc_id string, text string")
+    assert sorted((r.doc_id or "", r.n_tokens) for r in lm.score(rows).collect()) == [("", 1), ("a", 3), ("b", 3)]
 
 
 def test_lm_edges(spark):
