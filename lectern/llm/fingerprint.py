@@ -22,8 +22,10 @@ LIKE_LANES = 128
 SHINGLE = 3
 _EQUAL_HEX, _LIKE_HEX = 8, 6
 _LIKE_POWER = 1 << 4 * _LIKE_HEX
-#: Text per bucket of neighbouring ids, in characters.
+#: Text per bucket of neighbouring ids, in characters ...
 BUCKET_CHARS = 8_000_000
+#: ... where that gives no more buckets than this, as their bounds are part of the plan; else buckets are larger.
+MOST_BUCKETS = 65_536
 
 
 def _long(hexadecimal: Column) -> Column:
@@ -118,13 +120,15 @@ def with_next(docs: DataFrame, bucket_chars: int = BUCKET_CHARS) -> DataFrame:
     the head of a bucket is sent to the bucket before it as well.
     """
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    total = docs.agg(F.sum(F.length("text"))).first()[0] or 0
-    n = max(1, total // bucket_chars)
+    total, rows = docs.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)), F.count("*")).first()
+    n = min(max(1, total // bucket_chars), MOST_BUCKETS)
     bounds: list[int] = []
     if n > 1:
         shares = [(i + 1) / n for i in range(n)]
         shares[-1] = 1.0
-        bounds = sorted(set(docs.agg(F.percentile_approx("doc_id", shares, F.lit(max(10_000, 20 * n)))).first()[0] or []))
+        # a text of so many mean lengths counts so many times, so that buckets hold like amounts of text
+        weighed = docs.select(F.explode(F.array_repeat("doc_id", (1 + F.floor(F.length("text") * F.lit(rows) / F.lit(total))).cast("int"))).alias("doc_id"))
+        bounds = sorted(set(weighed.agg(F.percentile_approx("doc_id", shares, F.lit(max(10_000, 20 * n)))).first()[0] or []))
     if not bounds:
         top = docs.agg(F.max("doc_id")).first()[0]
         bounds = [] if top is None else [top]
@@ -159,7 +163,7 @@ def fingerprint_edits(docs: DataFrame, bucket_chars: int = BUCKET_CHARS) -> Data
     the first as many (or all) of the next document's.  A null text is empty,
     and an empty text has one empty paragraph; a single row is its own next
     one; order and rows with one doc_id as in ``with_next``; other columns of
-    ``docs`` are ignored; no rows give no rows.
+    ``docs`` are ignored; no rows give no rows.  doc_id is a whole number.
     """
     half = F.floor(F.length("text") / 2).cast("int")
     rows = with_next(docs, bucket_chars).withColumn(
