@@ -1,8 +1,9 @@
 """Language identification by a bidirectional gated recurrent network over bytes.
 
-Plain numpy, trained by backpropagation through time.  A text is cut into
-windows of WINDOW bytes, and each direction runs over every window with one
-gate g and a candidate c:
+Plain numpy, trained by backpropagation through time on windows of WINDOW
+bytes.  Texts are read in stretches of STRETCH bytes, and each direction starts
+MARGIN bytes before a stretch, so that no position lacks its context.  Each has
+one gate g and a candidate c:
 
     g = sigmoid(A[byte] + U h)    c = tanh(B[byte] + g * (V h))    h' = h + g * (c - h)
 
@@ -24,11 +25,12 @@ from lectern.llm.common import crc_mod
 from lectern.llm.tokens import chunks
 
 WINDOW = 64
+STRETCH, MARGIN, ABREAST = 512, 32, 1024
 HIDDEN = 8
-#: Documents of each language that training uses at most, those with the least hash of doc_id ...
-SAMPLE_PER_LANG = 600
-#: ... and characters of each, from a place chosen by the hash.
-SAMPLE_CHARS = 320
+#: Documents of each language that training uses at most, with their whole texts: those with the least hash of doc_id and text.
+SAMPLE_PER_LANG = 150
+#: Windows that an epoch of training visits at most, drawn anew for each.
+WINDOWS_PER_EPOCH = 12_000
 EPOCHS = 10
 UNKNOWN = "und"
 
@@ -38,16 +40,23 @@ class Direction:
     table: np.ndarray  # (256, 2H): half the gate's input, then the candidate's
     inner: np.ndarray  # (2H, H)
 
-    def run(self, codes: np.ndarray, keep: bool = False) -> tuple[np.ndarray, list]:
-        """States (T, H, B) after each row of ``codes`` (T, B); with ``keep`` also what the way back needs."""
+    def run(self, codes: np.ndarray, keep: bool = False, sizes: np.ndarray | None = None) -> tuple[np.ndarray, list]:
+        """States (T, H, B) after each row of ``codes`` (T, B); with ``keep`` also what the way back needs.
+
+        ``sizes``, descending, are the lengths of the columns; states beyond them mean nothing.
+        """
         steps, width = codes.shape
         hidden = self.inner.shape[1]
         table = np.ascontiguousarray(self.table.T)
-        out = np.empty((steps, hidden, width), np.float32)
+        out = np.zeros((steps, hidden, width), np.float32)
         h = np.zeros((hidden, width), np.float32)
         saved = []
+        alive = np.full(steps, width) if sizes is None else np.searchsorted(-sizes, -np.arange(steps), "left")
         for t in range(steps):
-            x = np.take(table, codes[t], axis=1)
+            n = alive[t]
+            if n < h.shape[1]:
+                h = h[:, :n]
+            x = np.take(table, codes[t, :n], axis=1)
             u = self.inner @ h
             g = x[:hidden]
             g += u[:hidden]
@@ -61,8 +70,7 @@ class Direction:
                 saved.append((h, g.copy(), c.copy(), u[hidden:].copy()))
             c -= h
             c *= g
-            np.add(h, c, out=out[t])
-            h = out[t]
+            h = np.add(h, c, out=out[t, :, :n])
         return out, saved
 
     def back(self, codes: np.ndarray, saved: list, slopes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -90,40 +98,42 @@ class LanguageModel:
     behind: Direction | None = None
     head: np.ndarray | None = None  # (L, 2H + 1)
 
-    def positions(self, codes: np.ndarray) -> np.ndarray:
-        """Label probabilities (T, L, B) at every byte of windows (T, B)."""
-        a, _ = self.ahead.run(codes)
-        b, _ = self.behind.run(codes[::-1])
+    def positions(self, codes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Label probabilities (T, L, B) at every byte of columns (T, B) of descending ``sizes``."""
+        steps, width = codes.shape
+        mirror = np.maximum(sizes[None, :] - 1 - np.arange(steps)[:, None], 0)
+        column = np.arange(width)
+        a, _ = self.ahead.run(codes, sizes=sizes)
+        b, _ = self.behind.run(codes[mirror, column], sizes=sizes)
         hidden = self.ahead.inner.shape[1]
-        z = np.einsum("lh,thb->tlb", self.head[:, :hidden], a, optimize=True)
-        z += np.einsum("lh,thb->tlb", self.head[:, hidden : 2 * hidden], b[::-1], optimize=True)
+        z = np.matmul(self.head[:, :hidden], a)
+        z += np.matmul(self.head[:, hidden : 2 * hidden], b).transpose(0, 2, 1)[mirror, column].transpose(0, 2, 1)
         z += self.head[:, -1:]
         np.exp(z, out=z)  # states lie in (-1, 1), so this can't overflow for heads of any sane size
         z /= z.sum(axis=1, keepdims=True)
         return z
 
     def pooled(self, encoded: list[bytes]) -> np.ndarray:
-        """Mean label probabilities of every text, (n, L); of an empty text zeros."""
-        sizes = np.array([len(x) for x in encoded])
+        """Mean label probabilities over all bytes of every text, (n, L); of an empty text zeros."""
+        lengths = np.array([len(x) for x in encoded])
         buf = np.frombuffer(b"".join(encoded), np.uint8)
         out = np.zeros((len(encoded), len(self.labels)))
-        # windows never cross texts; whole windows run together, and the last ones of the texts by equal length
-        starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
-        whole = sizes // WINDOW
-        owner = np.repeat(np.arange(len(encoded)), whole)
-        inner = np.arange(len(owner)) - np.repeat(np.concatenate(([0], np.cumsum(whole)[:-1])), whole)
-        todo = [(WINDOW, owner, starts[owner] + inner * WINDOW)]
-        rest = sizes % WINDOW
-        for length in np.unique(rest[rest > 0]):
-            texts = np.flatnonzero(rest == length)
-            todo.append((int(length), texts, starts[texts] + whole[texts] * WINDOW))
-        for length, texts, at in todo:
-            for lo in range(0, len(at), 4096):
-                codes = buf[at[lo : lo + 4096][None, :] + np.arange(length)[:, None]]
-                p = self.positions(codes).sum(axis=0, dtype=np.float64)
-                for k in range(len(self.labels)):
-                    out[:, k] += np.bincount(texts[lo : lo + 4096], weights=p[k], minlength=len(encoded))
-        return out / np.maximum(sizes, 1)[:, None]
+        begins = np.concatenate(([0], np.cumsum(lengths)[:-1]))
+        pieces = -(-lengths // STRETCH)
+        owner = np.repeat(np.arange(len(encoded)), pieces)
+        core = (np.arange(len(owner)) - np.repeat(np.cumsum(pieces) - pieces, pieces)) * STRETCH
+        start, end = np.maximum(core - MARGIN, 0), np.minimum(core + STRETCH + MARGIN, lengths[owner])
+        size, skip = end - start, core - start
+        order = np.argsort(-size, kind="stable")
+        for lo in range(0, len(order), ABREAST):
+            pick = order[lo : lo + ABREAST]
+            n, t = size[pick], np.arange(size[pick[0]])[:, None]
+            codes = buf[begins[owner[pick]] + start[pick] + np.minimum(t, n - 1)]
+            inside = (t >= skip[pick]) & (t < np.minimum(skip[pick] + STRETCH, n))
+            p = np.where(inside[:, None, :], self.positions(codes, n), 0).sum(axis=0, dtype=np.float64)
+            for k in range(len(self.labels)):
+                out[:, k] += np.bincount(owner[pick], weights=p[k], minlength=len(encoded))
+        return out / np.maximum(lengths, 1)[:, None]
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
         names, scores = [], []
@@ -149,7 +159,7 @@ def train(texts: list[str], labels: list[str], hidden: int = HIDDEN, epochs: int
     windows, target = [], []
     for text, label in zip(texts, labels, strict=True):
         raw = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
-        for lo in range(0, len(raw) - WINDOW // 2, WINDOW):
+        for lo in range(0, max(len(raw) - WINDOW // 2, min(len(raw), 1)), WINDOW):
             piece = raw[lo : lo + WINDOW]
             windows.append(np.resize(piece, WINDOW))
             target.append(code[label])
@@ -162,10 +172,10 @@ def train(texts: list[str], labels: list[str], hidden: int = HIDDEN, epochs: int
     params = [draw(256, 2 * hidden), draw(2 * hidden, hidden), draw(256, 2 * hidden), draw(2 * hidden, hidden), draw(len(names), 2 * hidden + 1)]
     first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
     batch, step = 128, 0
-    total = epochs * -(-len(y) // batch)
+    total = epochs * -(-min(len(y), WINDOWS_PER_EPOCH) // batch)
     for _ in range(epochs):
-        order = rng.permutation(len(y))
-        for lo in range(0, len(y), batch):
+        order = rng.permutation(len(y))[:WINDOWS_PER_EPOCH]
+        for lo in range(0, len(order), batch):
             pick = order[lo : lo + batch]
             c = np.ascontiguousarray(codes[:, pick])
             model = LanguageModel(names, Direction(params[0], params[1]), Direction(params[2], params[3]), params[4])
@@ -189,21 +199,21 @@ def train(texts: list[str], labels: list[str], hidden: int = HIDDEN, epochs: int
     return LanguageModel(names, Direction(params[0], params[1]), Direction(params[2], params[3]), params[4])
 
 
-def fit(docs: DataFrame, per_lang: int = SAMPLE_PER_LANG, chars: int = SAMPLE_CHARS) -> LanguageModel:
+def fit(docs: DataFrame, per_lang: int = SAMPLE_PER_LANG) -> LanguageModel:
     """Learns from text and lang of documents whose crc32(doc_id) mod 4 is not 2.
 
-    The sample: at most ``per_lang`` documents of each language, with ``chars``
-    characters of each.  Rows without text, letters or lang teach nothing.
+    The sample: at most ``per_lang`` documents of each language, with their
+    whole texts.  Rows without text, letters or lang teach nothing.
     """
     known = docs.select("doc_id", "text", "lang").filter(
-        F.col("lang").isNotNull() & (F.length("text") > 0) & (crc_mod("doc_id", 4) != 2)
-    )
-    h = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40))
-    start = 1 + h % F.greatest(F.length("text") - chars, F.lit(1))
-    pieces = known.select("lang", F.xxhash64("doc_id").alias("rank"), F.substring("text", start.cast("int"), F.lit(chars)).alias("piece"))
-    ranked = pieces.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("rank", "piece"))).filter(F.col("n") <= per_lang)
-    got = ranked.select("lang", "n", "piece").filter(F.col("piece").rlike(r"\p{L}")).toArrow().to_pandas().sort_values(["lang", "n"], kind="stable")
-    return train(list(got["piece"]), list(got["lang"]))
+        F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & (crc_mod("doc_id", 4) != 2)
+    ).withColumn("rank", F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 40)))
+    # twice the wanted share by hash first, so that what is ranked in one place doesn't grow with the table
+    share = F.broadcast(known.groupBy("lang").agg((F.lit(2.0 * per_lang * (1 << 40)) / F.count("*")).alias("most")))
+    few = known.join(share, "lang").filter(F.col("rank") <= F.col("most"))
+    ranked = few.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("rank", "text"))).filter(F.col("n") <= per_lang)
+    got = ranked.select("lang", "n", "text").toArrow().to_pandas().sort_values(["lang", "n"], kind="stable")
+    return train(list(got["text"]), list(got["lang"]))
 
 
 def label(docs: DataFrame, model: LanguageModel) -> DataFrame:
