@@ -1,7 +1,7 @@
 """Quality classifier: naive Bayes support vectors over n-gram indicators.
 
-The indicators (byte 1- to 3-grams, and how often a word follows itself) are
-scaled by the log ratio of their smoothed counts in the two classes; a linear
+The indicators (byte 1- to 3-grams, word bigrams, and one for any word that
+follows itself, twice, ... ) are scaled by the log ratio of their smoothed counts in the two classes; a linear
 hinge-loss model is fitted on them by dual coordinate descent; its margin is
 turned into a probability by a logistic curve fitted on margins of rows left out.
 """
@@ -23,8 +23,10 @@ from lectern.llm.tokens import chunks, word_hashes
 SAMPLE_PER_CLASS = 2_000
 BITS = 18
 THRESHOLD = 0.3
-_REPEATS = (0.0, 0.02, 0.1, 0.3)
-_DIM = (1 << BITS) + len(_REPEATS)
+#: Indicators of word bigrams, and of runs of one word, of this length at most.
+WORD_BITS, RUN = 17, 4
+_RUNS = (1 << BITS) + (1 << WORD_BITS)
+_DIM = _RUNS + RUN - 1
 
 
 def indicators(texts: list[str | None]) -> Iterator[np.ndarray]:
@@ -42,9 +44,12 @@ def indicators(texts: list[str | None]) -> Iterator[np.ndarray]:
                 seen[(1 << 16) + (tri >> np.uint32(8)) % ((1 << BITS) - (1 << 16))] = True
             w = hashes[first[k] : first[k + 1]]
             if len(w) > 1:
-                share = float(np.mean(w[1:] == w[:-1]))
-                for i, least in enumerate(_REPEATS):
-                    seen[(1 << BITS) + i] = share > least
+                pair = (w[:-1] * np.uint64(0x9E3779B97F4A7C15) + w[1:]) * np.uint64(0xD6E8FEB86659FD93)
+                seen[(1 << BITS) + (pair >> np.uint64(64 - WORD_BITS)).astype(np.int64)] = True
+                same = w[1:] == w[:-1]
+                for k in range(RUN - 1):
+                    seen[_RUNS + k] = same.any()
+                    same = same[1:] & same[:-1]
             out = np.flatnonzero(seen)
             seen[out] = False
             yield out.astype(np.int32)
@@ -137,8 +142,13 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS) -
         labels.filter(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & (crc_mod("doc_id", 5) != 0))
         .groupBy("doc_id").agg((F.avg("quality") >= 0.5).alias("good"))
     )
-    some = [known.filter(F.col("good") == good).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for good in (True, False)]
-    chosen = F.broadcast(some[0].unionAll(some[1]))  # 2 * per_class rows
+    rank = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40))
+    some = []
+    for good, n in sorted(tuple(r) for r in known.groupBy("good").count().collect()):  # two rows
+        # twice the wanted share by hash first, so that what is ordered in one place doesn't grow with the table
+        few = known.filter((F.col("good") == good) & (rank <= F.lit((2 * per_class << 40) // n)))
+        some.append(few.orderBy(rank, "doc_id").limit(per_class))
+    chosen = F.broadcast(some[0].unionAll(some[-1]).distinct() if some else known.limit(0))  # 2 * per_class rows
 
     def coded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
