@@ -14,18 +14,33 @@ ID_START, ID_END = r"(?<![\p{L}\d])", r"(?![\p{L}\d])"
 WORD_START, WORD_END = r"(?<![\p{L}\p{N}\p{M}_])", r"(?![\p{L}\p{N}\p{M}_])"
 
 
-def matches(text: Column, pattern: str) -> Column:
-    """All matches with offsets in code points: an array of ``(start, end, text)``."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
-    return F.transform(found, lambda m, i: F.named_struct(
-        F.lit("start"), _before(found, gaps, i), F.lit("end"), _before(found, gaps, i) + F.length(m), F.lit("text"), m,
-    ))
+#: Offsets are gathered in pieces of this size, so that appending to an array stays cheap.
+_PIECE = 256
 
 
-def _before(found: Column, gaps: Column, i: Column) -> Column:
-    total = lambda a, n: F.aggregate(F.slice(a, F.lit(1), n), F.lit(0), lambda s, x: s + F.length(x))
-    return total(gaps, i + 1) + total(found, i)
+def matches(text: Column, pattern: str) -> Column:
+    """All matches with offsets in code points: an array of ``(start, end, text)``.
+
+    One pass keeps the running offset, so the cost grows with the text.
+    """
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    gaps = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found))
+    # the last gap is what follows all matches
+    steps = F.zip_with(gaps, found, lambda g, m: F.struct(F.length(g).alias("gap"), F.length(m).alias("own"), m.alias("text")))
+    kind = "array<struct<start:int,end:int,text:string>>"
+    empty = F.struct(F.lit(0).alias("at"), F.expr(f"cast(array() as array<{kind}>)").alias("done"), F.expr(f"cast(array() as {kind})").alias("open"))
+
+    def step(s: Column, x: Column) -> Column:
+        start = s["at"] + x["gap"]
+        end = start + x["own"]
+        one = F.array(F.struct(start.alias("start"), end.alias("end"), x["text"].alias("text")))
+        full = F.size(s["open"]) >= _PIECE
+        return F.struct(
+            end.alias("at"), F.when(full, F.concat(s["done"], F.array(s["open"]))).otherwise(s["done"]).alias("done"),
+            F.when(full, one).otherwise(F.concat(s["open"], one)).alias("open"),
+        )
+
+    return F.aggregate(steps, empty, step, lambda s: F.flatten(F.concat(s["done"], F.array(s["open"]))))
 
 
 def snippet(text: Column, start: Column, end: Column, reach: int = 70) -> Column:

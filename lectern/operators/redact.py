@@ -15,14 +15,18 @@ def redacted(block_rows: DataFrame, found: DataFrame) -> DataFrame:
     """
     spans = F.array_sort(F.collect_list(F.struct("start", (-F.col("end")).alias("back"), "placeholder")))
     each = found.groupBy("doc_id", "block_order").agg(spans.alias("spans"))
-    empty = F.struct(F.lit(0).alias("at"), F.lit("").alias("text"))
-    rows = block_rows.join(each, ["doc_id", "block_order"], "left").withColumn("spans", F.coalesce("spans", F.expr("cast(array() as array<struct<start:int,back:int,placeholder:string>>)")))
-    folded = F.aggregate("spans", empty, lambda s, x: F.when(x["start"] < s["at"], s).otherwise(F.struct(
-        (-x["back"]).alias("at"), F.concat(s["text"], F.substring("text", s["at"] + 1, x["start"] - s["at"]), x["placeholder"]).alias("text"),
+    none = "array<struct<start:int,back:int,placeholder:string>>"
+    rows = block_rows.join(each, ["doc_id", "block_order"], "left").withColumn("spans", F.coalesce("spans", F.expr(f"cast(array() as {none})")))
+    # of each span whether it starts where nothing before it reaches: the furthest end so far decides
+    start = F.struct(F.lit(0).alias("at"), F.expr(f"cast(array() as {none})").alias("kept"))
+    folded = F.aggregate("spans", start, lambda s, x: F.when(x["start"] < s["at"], s).otherwise(F.struct(
+        (-x["back"]).alias("at"), F.concat(s["kept"], F.array(x)).alias("kept"),
     )))
-    return rows.withColumn("fold", folded).select(
-        "doc_id", "block_order", F.concat("fold.text", F.substring("text", F.col("fold.at") + 1, F.length("text"))).alias("text"), F.size("spans").alias("n_found"),
-    )
+    rows = rows.withColumn("fold", folded).withColumn("kept", F.col("fold.kept"))
+    before = lambda i: F.when(i == 0, F.lit(0)).otherwise(-F.get("kept", i - 1)["back"])
+    pieces = F.transform("kept", lambda x, i: F.concat(F.substring("text", before(i) + 1, x["start"] - before(i)), x["placeholder"]))
+    tail = F.substring("text", F.col("fold.at") + 1, F.length("text"))
+    return rows.select("doc_id", "block_order", F.concat(F.array_join(pieces, ""), tail).alias("text"), F.size("spans").alias("n_found"))
 
 
 def residue(rewritten: DataFrame, forbidden: DataFrame) -> DataFrame:

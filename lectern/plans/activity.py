@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from lectern.operators import review
 from lectern.plans.catalog import query
+from lectern.streaming import activity
 
 
 def _events(spark, sf_dir):
@@ -64,8 +65,7 @@ def usage_by_user(spark, sf_dir):
 SELECT event_type, epoch_us(date_trunc('day', ts)) AS day_us, count(*) AS n FROM events GROUP BY 1, 2
 """)
 def tumbling_counts(spark, sf_dir):
-    rows = _events(spark, sf_dir).groupBy(F.window("ts", "1 day").alias("w"), "event_type").agg(F.count("*").alias("n"))
-    return rows.select("event_type", F.unix_micros("w.start").alias("day_us"), "n")
+    return activity.tumbling(_events(spark, sf_dir)).select("event_type", F.unix_micros("window.start").alias("day_us"), "n")
 
 
 @query("""

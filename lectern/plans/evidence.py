@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from lectern.operators import corpus, detect, evidence, relate
 from lectern.plans.catalog import query
+from lectern.streaming import activity
 from lectern.sources import reports
 
 
@@ -132,7 +133,7 @@ SELECT event_type, (t // 21600000000 - k) * 21600000000 AS start_us, count(*) AS
 """)
 def sliding_counts(spark, sf_dir):
     rows = _t(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    return rows.groupBy(F.window("ts", "1 day", "6 hours").alias("w"), "event_type").agg(F.count("*").alias("n")).select("event_type", F.unix_micros("w.start").alias("start_us"), "n")
+    return activity.sliding(rows).select("event_type", F.unix_micros("window.start").alias("start_us"), "n")
 
 
 @query("""
@@ -142,7 +143,7 @@ SELECT user_id, epoch_us(min(ts)) AS start_us, epoch_us(max(ts)) + 21600000000 A
 """)
 def session_counts(spark, sf_dir):
     rows = _t(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    return rows.groupBy(F.session_window("ts", "6 hours").alias("w"), "user_id").agg(F.count("*").alias("n")).select("user_id", F.unix_micros("w.start").alias("start_us"), F.unix_micros("w.end").alias("end_us"), "n")
+    return activity.sessions(rows).select("user_id", F.unix_micros("session_window.start").alias("start_us"), F.unix_micros("session_window.end").alias("end_us"), "n")
 
 
 @query("""

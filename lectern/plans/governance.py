@@ -30,12 +30,18 @@ def redacted_text(spark, sf_dir):
     return redact.redacted(rows, detect.numbered(detect.occurrences(rows)))
 
 
-@query("SELECT doc_id, 0::BIGINT AS block_order, '' AS match FROM documents WHERE false")
+@query(r"""
+WITH lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS block_order FROM documents),
+seen AS (SELECT DISTINCT doc_id, block_order, line, unnest(regexp_extract_all(line, '\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b')) AS match FROM lines)
+SELECT doc_id, block_order::BIGINT AS block_order, match, (len(string_split(line, match)) - 1)::BIGINT AS n FROM seen
+""")
 def residual_scan(spark, sf_dir):
-    """E-mail addresses that are left after redaction: none."""
+    """E-mail addresses that the blocks hold, and how often, when nothing has been redacted."""
     rows = detect.blocks(_docs(spark, sf_dir))
-    found = detect.numbered(detect.occurrences(rows))
-    return redact.residue(redact.redacted(rows, found), found.filter("detected_type = 'email'")).withColumn("block_order", F.col("block_order").cast("long"))
+    found = detect.occurrences(rows).filter("detected_type = 'email'")
+    left = redact.residue(rows, found.select("doc_id", "match")).join(found.select("doc_id", "block_order", "match").distinct(), ["doc_id", "block_order", "match"])
+    met = left.join(rows, ["doc_id", "block_order"])
+    return met.select("doc_id", F.col("block_order").cast("long").alias("block_order"), "match", (F.size(F.split("text", F.concat(F.lit("\\Q"), "match", F.lit("\\E")), -1)) - 1).cast("long").alias("n"))
 
 
 @query(r"""
