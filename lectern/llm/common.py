@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lectern.sources.shared import cleared, dropped, shared_dir, written  # noqa: F401  the operators take them from here
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 #: Java regex of the separators between words.
@@ -33,44 +32,6 @@ def words(text: Column) -> Column:
     return F.filter(F.split(ascii_lower(F.coalesce(text, F.lit(""))), SPACES), lambda w: w != "")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; in local mode, where it is unset, one of our own."""
-    path = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("lectern.checkpoint.dir", None)
-    if not path:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        path = tempfile.mkdtemp(prefix="lectern-")
-        spark.conf.set("lectern.checkpoint.dir", path)
-    return path.rstrip("/")
-
-
-_made: list[str] = []
-
-
-def written(df: DataFrame) -> tuple[DataFrame, str]:
-    """The frame written as a table in the shared folder and read again, and its path; this cuts the lineage."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/lectern-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _made.append(path)
-    return spark.read.schema(df.schema).parquet(path), path
-
-
-def dropped(spark: SparkSession, *paths: str) -> None:
-    """Removes tables made by ``written`` that nothing reads any more."""
-    jvm = spark._jvm
-    for path in paths:
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
-        if path in _made:
-            _made.remove(path)
-
-
-def cleared(spark: SparkSession) -> None:
-    """Removes all tables that operators wrote in this process; for use when their results have been read."""
-    dropped(spark, *list(_made))
-
-
 #: At most so many keys are split off by ``joined_by_weight`` and broadcast.
 HOT_KEYS = 1_000
 
