@@ -4,7 +4,8 @@ Documents with equal sets form a class, and only one of each class goes on.
 A forest of TREES sorted orders of the signatures gives candidates: in each
 order a document meets up to NEIGHBOURS next ones that share a prefix of at
 least MIN_DEPTH values.  The depth adapts to the region: a sparse one is read at
-MIN_DEPTH, in a dense one only the longest common prefix of either side counts.
+MIN_DEPTH, in a dense one only the longest common prefix of either side counts,
+and only with the next one, as the exact join below finds the rest.
 Candidates that the whole signatures don't rule out are confirmed on full sets.
 Documents that met a group but were not linked to it are then compared with its
 hubs, the members with most links: where members differ from one original, each
@@ -137,8 +138,9 @@ def _candidates(reps: DataFrame) -> DataFrame:
                     break
                 if gap > 1:
                     shared = np.minimum(shared[:-1], deep[gap - 1 :])
-                # in a dense region only the longest common prefix of either side counts
-                good = (shared >= MIN_DEPTH) & (sparse[gap:] | (shared >= np.minimum(longest[gap:], longest[:-gap])))
+                # in a dense region, whose documents are joined exactly afterwards, only next ones with the longest common prefix of either side
+                near = sparse[gap:] if gap > 1 else sparse[1:] | (shared >= np.minimum(longest[1:], longest[:-1]))
+                good = (shared >= MIN_DEPTH) & near
                 good &= np.arange(gap, len(ids)) >= new  # pairs inside what was left over are told already
                 x, y = ids[:-gap][good], ids[gap:][good]
                 found.append(np.stack([np.minimum(x, y), np.maximum(x, y)]))
