@@ -461,3 +461,99 @@ def test_pipeline_stages(spark, sf):
         at = spark.createDataFrame(out.collect(), docs.schema)
     packed = corpus_pipeline.run(spark, sf).collect()
     assert {r.doc_id for r in packed} == {r.doc_id for r in at.collect()}
+
+
+# --- what densities, masks and classes promise -------------------------------------------------
+
+STORY = "Some words of a long story that goes on and on, with quite some text in it. " * 4
+
+
+@pytest.mark.parametrize(("html", "text"), [
+    (f'<div class="page has-sidebar"><p>{STORY}</p><p>{STORY}</p></div>', "S S"),
+    (f"<div class=sidebar><p>{STORY}<p>{STORY}</div>", "S S"),  # a layout name around all text
+    (f"<section id=legal><p>{STORY}<p>{STORY}</section><div>x</div>", "S S"),
+    (f"<body><div><p>{STORY}</p><p>{STORY}</p></div><article><h2><a href=x>Teaser</a></h2><p>short one</p></article><article><h2><a href=x>Other</a></h2><p>two</p></article>", "S S"),
+    (f"<article><section><p>{STORY}<p>a</section><section><p>{STORY}</section></article>", "S a S"),
+    (f'<body><h1>Title</h1><div class=story><p>{STORY}<p>Re.<p>{STORY}</div><div class="site-footer">f</div>', "S Re. S"),
+    (f'<article><header><h1>Head</h1></header><p>{STORY}<div class="side-note">note</div><div class=comments><p>{STORY}<p>{STORY}</div></article>', "Head S note"),
+    (f"<div><p>{STORY}</p></div><div><p>{STORY}</p></div>", "S S"),  # equal sums
+])
+def test_densities_choose(html, text):
+    got = main_text.main_text(html).replace(STORY.strip(), "S")
+    assert got.replace("Title ", "") == text
+
+
+def test_densities_against_recursion():
+    html = "<body><div><p>a <a href=x>link</a> b<br>c</p><ul><li><a>1</a><li>two</ul></div><p>tail <b>bold</b></body>"
+
+    def naive(x):
+        counts = [x.chars, x.tags, x.link_chars, x.link_tags] if x.name == "#run" else [0, 0 if x.name[0] == "#" else 1, 0, 0]
+        for p in x.parts:
+            counts = [m + n for m, n in zip(counts, naive(p), strict=True)]
+        return counts
+
+    plain, measured = main_text.parse(html), main_text.parse(html)
+    main_text.measure(measured)
+    body = next(x for x in main_text.order_of(plain) if x.name == "body")
+    share = naive(body)[2] / naive(body)[0]
+    assert naive(body)[0] == 19 and share == 5 / 19
+    for x, y in zip(main_text.order_of(plain), main_text.order_of(measured), strict=True):
+        c, t, lc, lt = naive(x)
+        want = c / max(t, 1) * math.log(max(c / max(lc, 1) * max(t, 1) / max(lt, 1), 1)) / math.log(c / max(c - lc, 1) * lc + share * c + math.e)
+        assert y.density == pytest.approx(want)
+        assert y.total == pytest.approx(sum(p.density for p in y.parts))
+
+
+def test_long_and_broken_pages():
+    import time
+
+    for html in ('<a "' * 250_000, '<a ="' * 200_000, "<a " * 300_000, "<p>" * 100_000, "<b>" * 100_000 + "</i>" * 100_000):
+        at = time.time()
+        assert main_text.main_text(html) == ""
+        assert time.time() - at < 15
+
+
+def least_changes(masks, n):
+    """The least number of changed tokens among ``n`` after which no mask fits anywhere."""
+    span = max(m[-1] for m in masks) + 1
+    best = {(): 0}
+    for _ in range(n):
+        new = {}
+        for past, cost in best.items():
+            for changed in (0, 1):
+                window = (*past, changed)
+                fits = any(len(window) > m[-1] and not any(window[len(window) - 1 - m[-1] + p] for p in m) for m in masks)
+                if not fits:
+                    key = window[-(span - 1):] if span > 1 else ()
+                    new[key] = min(new.get(key, n + 1), cost + changed)
+        best = new
+    return min(best.values(), default=n + 1)
+
+
+@pytest.mark.parametrize("n", [*range(1, 33), 40, 57])
+def test_masks_are_complete(n):
+    assert least_changes(decontaminate.masks_of(n), n) > n // 4
+
+
+def test_overlaps_of_three_quarters(spark):
+    rng = random.Random(11)
+    fresh = lambda n: [f"v{rng.randint(0, 10**9)}" for _ in range(n)]
+    items, texts = [], []
+    for i, n in enumerate([4, 5, 6, 7, 8, 9, 12, 13, 16, 20, 40, 59]):
+        t = fresh(n)
+        items.append((i, " ".join(t)))
+        w = list(t)
+        for p in (range(3, n, 4) if i % 2 else rng.sample(range(n), n // 4)):
+            w[p] = "changed"
+        texts.append(" ".join([*fresh(9), *w, *fresh(9)]))
+    got = {(r.doc_id, r.item_id) for r in decontaminate.overlaps(docs_of(spark, texts), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == {(i, i) for i in range(len(items))}
+
+
+def test_near_duplicates_of_rows_with_one_id(spark):
+    rng = random.Random(12)
+    a, b = ([f"w{rng.randint(0, 10**9)}" for _ in range(200)] for _ in range(2))
+    near = lambda x: " ".join([*x[:100], "new", *x[101:]])
+    docs = docs_of(spark, [" ".join(a), " ".join(b), near(b), near(a)], [1, 1, 2, 3])
+    for exact in (False, True):
+        assert {(r.doc_id, r.component_id) for r in minhash.near_duplicates(docs, exact=exact).collect()} == {(1, 1), (2, 1), (3, 1)}
