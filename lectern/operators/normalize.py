@@ -55,6 +55,8 @@ def merges(candidates: DataFrame, named: Column, leading: tuple[str, ...], trail
     that is itself merged is dropped, so that nothing is passed on.
     """
     people = with_retained(candidates.filter("detected_type = 'person'").select("doc_id", "candidate_key", "display_value"), "display_value", leading, trailing, pairs)
+    # an array of one, exploded: filters on the result aren't pushed into the steps above, where each would repeat them
+    people = people.select("doc_id", "candidate_key", "display_value", F.explode(F.array("retained")).alias("retained"))
     changed = people.filter("retained <> display_value").withColumn("target_key", candidate_key(F.lit("person"), F.col("retained"))).filter("target_key <> candidate_key")
     targets = candidates.filter(named).select("doc_id", F.col("candidate_key").alias("target_key"))
     planned = changed.join(targets, ["doc_id", "target_key"], "left_semi")
