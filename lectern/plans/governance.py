@@ -85,3 +85,39 @@ SELECT o_orderpriority, count(*) FILTER (o_orderstatus = 'F') AS f, count(*) FIL
 def status_crosstab(spark, sf_dir):
     rows = spark.read.parquet(f"{sf_dir}/orders.parquet").groupBy("o_orderpriority").pivot("o_orderstatus", ["F", "O", "P"]).count()
     return rows.select("o_orderpriority", *[F.coalesce(x, F.lit(0)).alias(x.lower()) for x in "FOP"])
+
+
+_PACKS = (
+    ("common_english_word", "small"), ("common_english_word", "cold"), ("calendar_term", "widget"), ("department_organization", "cold widget"), ("given_names", "red"),
+)
+
+
+@query("""
+WITH v AS (SELECT p_partkey, p_brand, p_partkey % 4 AS c, p_partkey % 3 + 1 AS n, p_size % 6 AS k, string_split(p_name, ' ') AS w FROM part),
+f AS (SELECT *, CASE WHEN k = 3 THEN w[1:1] ELSE list_distinct(w) END AS words FROM v),
+g AS (SELECT *, k = 3 AS one, list_has_any(words, ['small', 'cold']) AS common, list_contains(words, 'widget') AS calendar, k NOT IN (3, 4) AND w = ['cold', 'widget'] AS dept,
+  list_contains(words, 'red') AS given, len(list_intersect(words, ['small', 'cold', 'widget'])) = len(words) AS every,
+  CASE n WHEN 1 THEN -4 WHEN 2 THEN 4 ELSE 9 END AS often, CASE c WHEN 0 THEN 40 WHEN 1 THEN 22 ELSE 0 END AS said FROM f),
+h AS (SELECT *, said > 0 OR (one AND given) AS positive, common OR calendar OR dept OR every OR k = 5 AS negative,
+  CASE WHEN common THEN -28 ELSE 0 END + CASE WHEN calendar THEN -22 ELSE 0 END + CASE WHEN dept THEN -22 ELSE 0 END + CASE WHEN every THEN -18 ELSE 0 END
+  + CASE WHEN k = 5 THEN -28 ELSE 0 END + CASE WHEN one AND given THEN 28 ELSE 0 END AS classes, CASE WHEN given THEN 20 ELSE 0 END AS known FROM g),
+s AS (SELECT *, greatest(1, least(99, 35 + often + CASE
+  WHEN negative AND NOT positive THEN classes - 5 WHEN k = 4 THEN said + classes + 50 + known
+  WHEN k < 3 AND c = 2 AND NOT positive THEN 35 + known - 12 WHEN k < 3 THEN said + classes + 35 + known
+  WHEN one AND positive THEN said + classes + 8 WHEN one THEN classes + 12 ELSE said + classes - 5 END)) AS score FROM h)
+SELECT p_brand AS doc_id, p_partkey, score::INT AS score, CASE WHEN score >= 80 THEN 'Strong' WHEN score >= 25 THEN 'Possible' ELSE 'Unlikely' END AS quality FROM s
+""")
+def weighted_quality(spark, sf_dir):
+    """Names of parts as people, written in six ways in four surroundings, scored by packs, surroundings and shapes."""
+    k, c, name = F.col("p_size") % 6, F.col("p_partkey") % 4, F.initcap("p_name")
+    first, last = F.substring_index(name, " ", 1), F.substring_index(name, " ", -1)
+    value = F.when(k == 3, first).when(k == 4, F.concat(last, F.lit(", "), first)).when(k == 5, F.col("p_name")).otherwise(name)
+    rows = spark.read.parquet(f"{sf_dir}/part.parquet").select(
+        F.col("p_brand").alias("doc_id"), "p_partkey", F.col("p_partkey").cast("string").alias("candidate_key"), F.lit("person").alias("detected_type"), value.alias("display_value"),
+        F.when(c == 0, "ask Dr. [").when(c == 1, "From: [").when(c == 2, "Subject: x [").otherwise("see [").alias("before"), F.explode(F.sequence(F.lit(0), (F.col("p_partkey") % 3).cast("int"))).alias("i"),
+    )
+    found = rows.select("doc_id", "candidate_key", F.concat("before", "display_value", F.lit("] then")).alias("context"))
+    candidates = rows.filter("i = 0").select("doc_id", "candidate_key", "detected_type", "display_value")
+    packs = spark.createDataFrame(_PACKS, "rule string, term string")
+    scored = quality.cascade(candidates, quality.surroundings(found, candidates), packs)
+    return scored.select("doc_id", F.col("candidate_key").cast("int").alias("p_partkey"), "score", "quality")
