@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Weights of contextual evidence of a person.
 WEIGHTS = {
-    "full_name_with_role": 50, "anchor_signature_block": 48, "name_with_email": 42, "full_name_with_organization": 40, "direct_address": 40,
+    "anchor_full_name_with_role": 50, "anchor_signature_block": 48, "anchor_name_with_email": 42, "anchor_full_name_with_organization": 40, "direct_address": 40,
     "attribution": 40, "coordination": 34, "person_list": 32, "possessive": 30, "human_subject": 30, "human_object": 24,
 }
 #: What the strongest, second, ... rule counts for, then all others; and the most that they add up to.
@@ -53,3 +55,54 @@ def person_evidence(rows: DataFrame) -> DataFrame:
         F.max_by("sequence", F.struct("anchor", "strength", -F.col("sequence"))).alias("telling"),
     )
     return each.withColumn("strength", strength(F.col("rules"))).withColumn("passes", F.col("strength") >= GATE)
+
+
+# -- how a context uses a name ---------------------------------------------------
+
+#: Words that may stand between a subject and its verb.
+AUXILIARIES = tuple(
+    "has have had will would can could may might must should is was were also then already never just recently subsequently later since again".split()
+)
+_NAME = r"[A-Z][A-Za-z'’.-]+"
+_LISTED = rf"{_NAME}(?:\s+{_NAME})?"
+#: What a word may carry besides letters.
+_RIM = r"[^A-Za-z'\s]*"
+
+
+def _any(words: tuple[str, ...]) -> str:
+    """A pattern of the words, longer ones first; none of them fits nothing."""
+    return "(?:" + "|".join(r"\s+".join(re.escape(x) for x in w.split()) for w in sorted(words, key=len, reverse=True)) + ")" if words else "(?!)"
+
+
+def usage_rules(context: Column, words: dict[str, tuple[str, ...]]) -> Column:
+    """The rules of WEIGHTS that a bracketed context fulfils, in the order of this function; none without brackets or context.
+
+    ``words``: openers and follow_ons of an address, attribution (verbs),
+    lead_ins, roles, actions, directed (verbs at a person), abbreviations that
+    end no sentence; verbs in all the forms that count.  Saying something is
+    attribution and not also an action.
+    """
+    w = {k: _any(words.get(k, ())) for k in ("openers", "follow_ons", "attribution", "lead_ins", "roles", "actions", "directed", "abbreviations")}
+    part = lambda i: F.regexp_extract(context, r"(?s)^([^\[]*)\[([^\]]*)\](.*)$", i)
+    before, match, after = F.regexp_replace(part(1), r"^\.\.\.", ""), part(2), F.regexp_replace(part(3), r"\.\.\.$", "")
+
+    def person(fragment: Column) -> Column:
+        head = F.trim(F.get(F.split(F.trim(fragment), "[,.;:]"), F.lit(0)))
+        return (fragment != "") & (fragment.rlike(rf"(?i)(?:^|\s){w['roles']}\b") | head.rlike(rf"^{_NAME}(?:\s+{_NAME}){{0,2}}$"))
+
+    said = after.rlike(rf"(?i)^\s*{_RIM}{w['attribution']}{_RIM}(?:\s|$)") | before.rlike(rf"(?i)(?:^|[\s.;,]){w['lead_ins']}\s*$")
+    address = before.rlike(rf"(?i)(?:^|[\s.;!?]){w['openers']}\s*,?\s*$") | after.rlike(rf"(?i)^\s*[,–—-]\s*{w['follow_ons']}")
+    joined = person(F.regexp_extract(after, r"(?i)^\s*(?:,\s*)?(?:and|&)\s+(.{1,40})", 1)) | person(F.regexp_extract(before, r"(?i)(.{1,40}?)\s+(?:and|&)\s*,?\s*$", 1))
+    left, left_two = rf"(?:^|[\s(]){_LISTED}\s*,\s*(?:and\s+)?$", rf"(?:^|[\s(]){_LISTED}\s*,\s*[\s(]{_LISTED}\s*,\s*(?:and\s+)?$"
+    right = rf"^\s*,\s*(?:and\s+)?{_LISTED}"
+    listed = before.rlike(left_two) | after.rlike(right + right[1:]) | (before.rlike(left) & after.rlike(right))
+    owner = match.rlike("['’]s\\s*$") | after.rlike(r"^['’]s\b")
+    acts = ~after.rlike(r"^\s*,") & after.rlike(rf"(?i)^\s*{_RIM}(?:(?:{_any(AUXILIARIES)}|[a-z']*ly){_RIM}\s+{_RIM})?{w['actions']}{_RIM}(?:\s|$)")
+    ended = before.rlike(r"[!?]\s*$") | (before.rlike(r"(?:^|\s)[\p{L}\p{M}]{2,}\.\s*$") & ~before.rlike(rf"(?i)(?:^|\s){w['abbreviations']}\.\s*$"))
+    reached = ~ended & before.rlike(rf"(?i)(?:^|\s){_RIM}{w['directed']}{_RIM}\s*$")
+    rules = (
+        ("direct_address", address), ("attribution", said), ("coordination", joined), ("person_list", listed), ("possessive", owner),
+        ("human_subject", acts & ~said), ("human_object", reached),
+    )
+    fired = F.array_compact(F.array(*[F.when(c, F.lit(r)) for r, c in rules]))
+    return F.when(context.rlike(r"(?s)\[[^\]]*\]"), fired).otherwise(F.expr("cast(array() as array<string>)"))
