@@ -127,7 +127,7 @@ def with_next(docs: DataFrame, bucket_chars: int = BUCKET_CHARS) -> DataFrame:
         shares = [(i + 1) / n for i in range(n)]
         shares[-1] = 1.0
         # a text of so many mean lengths counts so many times, so that buckets hold like amounts of text
-        weighed = docs.select(F.explode(F.array_repeat("doc_id", (1 + F.floor(F.length("text") * F.lit(rows) / F.lit(total))).cast("int"))).alias("doc_id"))
+        weighed = docs.select(F.explode(F.array_repeat("doc_id", (1 + F.floor(F.length("text") / F.lit(total / rows))).cast("int"))).alias("doc_id"))
         bounds = sorted(set(weighed.agg(F.percentile_approx("doc_id", shares, F.lit(max(10_000, 20 * n)))).first()[0] or []))
     if not bounds:
         top = docs.agg(F.max("doc_id")).first()[0]

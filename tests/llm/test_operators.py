@@ -222,6 +222,14 @@ def test_fingerprints(spark, bucket_chars):
     assert got[n - 1].fingerprint == got[n - 2].fingerprint  # order does not matter
 
 
+def test_next_rows_beside_a_long_text(spark):
+    """The characters of one text times the rows exceed 32 bits; buckets still hold each row once and in order."""
+    rows = docs_of(spark, ["x" * 1_000_000] + [f"text {i}" for i in range(2_500)])
+    got = {r.doc_id: (r.bucket, r.after) for r in fingerprint.with_next(rows, 100_000).selectExpr("bucket", "doc_id", "left(next_text, 9) AS after").collect()}
+    assert len(got) == 2_501 and len({b for b, _ in got.values()}) > 1
+    assert got[0][1] == "text 2499" and got[1][1] == "x" * 9 and all(got[i][1] == f"text {i - 2}" for i in range(2, 2_501))
+
+
 def test_fingerprint_rows(spark):
     rows = docs_of(spark, ["a", "a", "b", None], [1, 1, None, -5])
     got = fingerprint.fingerprint_edits(rows).collect()
