@@ -106,3 +106,49 @@ def usage_rules(context: Column, words: dict[str, tuple[str, ...]]) -> Column:
     )
     fired = F.array_compact(F.array(*[F.when(c, F.lit(r)) for r, c in rules]))
     return F.when(context.rlike(r"(?s)\[[^\]]*\]"), fired).otherwise(F.expr("cast(array() as array<string>)"))
+
+
+# -- anchors of a name -------------------------------------------------------------
+
+#: The shape of a whole name, what may precede a role, and how far behind a name an address counts.
+FULL_NAME = r"^[A-Z][A-Za-z'’.-]+(?:\s+(?:[A-Z]\.|[A-Z][A-Za-z'’.-]+)){1,3}$"
+RANKS = "(?:senior|junior|associate|assistant|deputy|interim|acting|vice|executive|chief)"
+ADDRESS_REACH = 80
+
+
+def anchor_rules(match: Column, text: Column, end: Column, next_text: Column, roles: tuple[str, ...], tails: tuple[str, ...], address: str) -> Column:
+    """The anchors that tell who a name is, the strongest first: its role, a signature, its own address, its organization.
+
+    ``text`` is the block of the occurrence, ``end`` its end there, ``next_text``
+    the following block (null: none).  ``roles`` are nouns for people, ``tails``
+    words of organizations, ``address`` is the pattern of a mail address.  A
+    single word has no role or organization.  A null match or text gives none.
+    """
+    role = lambda line: F.trim(line).rlike(rf"(?i)^{RANKS}?\s*{_any(roles)}\b")
+
+    def organization(line: Column) -> Column:
+        named = F.split(F.lower(F.regexp_replace(F.trim(line), "[.,]", "")), r"\s+")
+        return (F.size(named) <= 6) & F.arrays_overlap(named, F.array(*[F.lit(x) for x in tails]) if tails else F.expr("cast(array() as array<string>)"))
+
+    def short(line: Column) -> Column:
+        return F.length(F.trim(line)).between(1, 60) & ~F.trim(line).rlike(r"[.!?]\s+\S")
+
+    name, block = F.trim(match), F.trim(text)
+    after = F.substr(text, end + 1)
+    whole = name.rlike(FULL_NAME)
+    led = after.rlike(r"^\s*[,–—(-]")
+    tail = F.regexp_replace(after, r"^\s*[,–—(-]\s*", "")
+    at = F.instr(block, name)
+    rest = F.when(at > 0, F.concat(F.substr(block, F.lit(1), at - 1), F.substr(block, at + F.length(name)))).otherwise(block)
+    signed = short(block) & (F.length(F.regexp_replace(rest, r"[,;:()\s.]", "")) <= 6) & short(next_text) & (role(next_text) | organization(next_text))
+    parts = F.filter(F.split(F.lower(name), "[^a-z]+"), lambda t: F.length(t) >= 4)
+    seen = F.concat(*[
+        F.coalesce(F.regexp_extract_all(x, F.lit(address), F.lit(0)), F.expr("cast(array() as array<string>)"))
+        for x in (F.substr(after, F.lit(1), F.lit(ADDRESS_REACH)), F.when(short(next_text), next_text))
+    ])
+    own = F.exists(seen, lambda m: F.exists(parts, lambda t: F.contains(F.lower(F.substring_index(m, "@", 1)), t)))
+    rules = (
+        ("anchor_full_name_with_role", whole & led & role(tail)), ("anchor_signature_block", signed), ("anchor_name_with_email", own),
+        ("anchor_full_name_with_organization", whole & led & ~role(tail) & organization(tail)),
+    )
+    return F.array_compact(F.array(*[F.when(c, F.lit(r)) for r, c in rules]))
