@@ -86,3 +86,70 @@ def valid_split(parts: Column, whole: Column) -> Column:
     """Whether an array of arrays holds every member of ``whole`` once, in no empty part."""
     flat = F.array_sort(F.flatten(parts))
     return (flat == F.array_sort(whole)) & (F.size(flat) == F.size(F.array_distinct(flat))) & F.forall(parts, lambda p: F.size(p) > 0)
+
+
+#: Shares of the weakest and the mean member, what a group without a whole name loses, what a reviewer's word adds, and the bounds.
+WEAKEST, MEAN, NO_ANCHOR, CONFIRMED, LEAST, MOST = 0.65, 0.35, 15, 10, 35, 100
+#: Stages in their order.
+STAGES = ("ambiguity-check", "group-check", "type-check", "item-check", "qa", "output")
+#: A related name of strength s costs 24 - 4s, a related whole value 30 - 5s; and the most that is left.
+PENALTIES, MOST_RELATED = {"name": (24, 4), "value": (30, 5)}, 99
+
+
+def entity_confidence(members: DataFrame, *keys: str) -> DataFrame:
+    """Confidence in each group of ``members(selected, score, n_tokens, confirmed)``: 0 where no known member is selected.
+
+    A null score stands for an unknown member.  Half rounds to even.
+    """
+    used = F.col("selected") & F.col("score").isNotNull()
+    score = F.when(used, F.col("score"))
+    each = members.groupBy(*keys).agg(
+        F.count(score).alias("n"), F.min(score).alias("least"), F.avg(score).alias("mean"),
+        F.coalesce(F.bool_or(F.when(used, F.col("n_tokens") >= 2)), F.lit(False)).alias("anchor"), F.coalesce(F.bool_or("confirmed"), F.lit(False)).alias("confirmed"),
+    )
+    blend = F.bround(F.col("least") * WEAKEST + F.col("mean") * MEAN) - F.when((F.col("n") > 1) & ~F.col("anchor"), NO_ANCHOR).otherwise(0) + F.when(F.col("confirmed"), CONFIRMED).otherwise(0)
+    return each.select(*keys, F.when(F.col("n") == 0, 0).otherwise(F.greatest(F.lit(LEAST), F.least(F.lit(MOST), blend))).cast("int").alias("confidence"))
+
+
+def related_confidence(confidence: Column, strength: Column, of: str) -> Column:
+    """What is left of a confidence over a relation of a ``name`` or a whole ``value``."""
+    base, step = PENALTIES[of]
+    return clamp(confidence - (base - step * strength), LEAST, MOST_RELATED)
+
+
+def nearest_stage(current: Column, active: Column, order: tuple[str, ...] = STAGES) -> Column:
+    """The first active stage from the current one on, else the last before it; unknown stages count as the first; none active: the last of all."""
+    every = F.array(*[F.lit(x) for x in order])
+    places = F.array_sort(F.filter(F.transform(active, lambda a: F.array_position(every, a)), lambda p: p > 0))
+    at = F.greatest(F.coalesce(F.array_position(every, current), F.lit(1)), F.lit(1))
+    ahead, behind = F.filter(places, lambda p: p >= at), F.filter(places, lambda p: p < at)
+    found = F.coalesce(F.get(ahead, F.lit(0)), F.get(behind, F.size(behind) - 1), F.lit(len(order)))
+    return F.get(every, found.cast("int") - 1)
+
+
+def scan_counts(members: DataFrame, excluded: DataFrame, *keys: str) -> DataFrame:
+    """Per group of ``members(candidate_key)``: how many are proposed, taken out by ``excluded(candidate_key)`` of that group, and left."""
+    out = excluded.select(*keys, "candidate_key").distinct().withColumn("out", F.lit(True))
+    return members.join(out, [*keys, "candidate_key"], "left").groupBy(*keys).agg(
+        F.count("*").alias("n_proposed"), F.count_if(F.col("out").isNull()).alias("n_included"), F.count("out").alias("n_excluded")
+    )
+
+
+def regrouped(members: DataFrame, splits: DataFrame, merges: DataFrame) -> DataFrame:
+    """``members(group_id, doc_id)`` after commands: documents of ``splits(doc_id, new_group)`` leave, then groups of ``merges(group_id, into)`` go into others."""
+    parted = members.join(splits, "doc_id", "left").select(F.coalesce("new_group", "group_id").alias("group_id"), "doc_id")
+    return parted.join(merges, "group_id", "left").select(F.coalesce("into", "group_id").alias("group_id"), "doc_id").distinct()
+
+
+def group_strength(members: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Per group its size and the least score of all its pairs; pairs missing from ``pairs(a, b, score)`` have 0, a single document has none.
+
+    Only given pairs are joined, so no group is spread into all its pairs.
+    """
+    size = members.groupBy("group_id").agg(F.count("*").alias("n_members"))
+    a, b = members.select("group_id", F.col("doc_id").alias("a")), members.select(F.col("group_id").alias("group_b"), F.col("doc_id").alias("b"))
+    once = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "score").filter("a <> b").groupBy("a", "b").agg(F.max("score").alias("score"))
+    inside = once.join(a, "a").join(b, "b").filter("group_id = group_b").groupBy("group_id").agg(F.count("*").alias("n_pairs"), F.min("score").alias("least"))
+    complete = F.col("n_pairs") * 2 == F.col("n_members") * (F.col("n_members") - 1)
+    strength = F.when(F.col("n_members") > 1, F.when(complete, F.col("least")).otherwise(0.0))
+    return size.join(inside, "group_id", "left").select("group_id", "n_members", strength.alias("strength"))

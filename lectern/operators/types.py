@@ -99,3 +99,15 @@ def gated(facts: DataFrame, ordinary: tuple[str, ...]) -> DataFrame:
 def by_rule(rows: DataFrame, rule: str) -> DataFrame:
     """Rows by rule, most frequent first."""
     return rows.groupBy(rule).agg(F.count("*").alias("n")).orderBy(F.desc("n"), rule)
+
+
+def review_tier(archetype: Column, n_suggestions: Column, kind: Column, n_tokens: Column, categories: Column, n_identities: Column) -> Column:
+    """How a recommendation is shown: strong where it names what to do, needs-review, or null for a review of its own.
+
+    A null or uncertain archetype counts only for a possible person: known as a
+    name, with identities to choose from.
+    """
+    person = (kind == "person") & (n_tokens >= 1) & _has(categories, *NAME_CATEGORIES) & (n_identities > 0)
+    named = archetype.isNotNull() & (archetype != "uncertain")
+    told = (n_suggestions > 0) | archetype.isin("institutional-term", "calendar-term", "common-word", "identifier")
+    return F.when(named, F.when(told, "strong").otherwise("needs-review")).when(person, "needs-review")
