@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import decontaminate, fingerprint, language, line_dedup, lm, main_text, minhash, packing, quality, url_filter
+from lectern.llm import decontaminate, fingerprint, language, line_dedup, lm, main_text, minhash, packing, quality, simhash, url_filter
 from lectern.llm.common import table
 
 #: (host, path, action) of the url rules that op3 applies.
@@ -62,6 +62,10 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -72,7 +76,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_main_text, op2_lm_score, op3_url_filter, op4_language, op5_fingerprint, op6_minhash, op7_line_dedup,
-        op8_packing, op9_decontaminate, op10_quality, pipeline,
+        op8_packing, op9_decontaminate, op10_quality, op11_simhash, pipeline,
     )
 }
 
