@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import decontaminate, fingerprint, language, line_dedup, lm, main_text, minhash, packing, quality, simhash, url_filter
+from lectern.llm import decontaminate, fingerprint, language, line_dedup, lm, main_text, minhash, negatives, packing, quality, simhash, url_filter
 from lectern.llm.common import table
 
 #: (host, path, action) of the url rules that op3 applies.
@@ -66,6 +66,10 @@ def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op13_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.hard_negatives(table(spark, sf_dir, "embeddings"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -76,7 +80,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_main_text, op2_lm_score, op3_url_filter, op4_language, op5_fingerprint, op6_minhash, op7_line_dedup,
-        op8_packing, op9_decontaminate, op10_quality, op11_simhash, pipeline,
+        op8_packing, op9_decontaminate, op10_quality, op11_simhash, op13_negatives, pipeline,
     )
 }
 
@@ -112,5 +116,21 @@ marked AS (
 SELECT doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (lost)::BIGINT AS n_dropped,
   sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT lost), '')) AS kept_sha256
 FROM marked GROUP BY doc_id
+""",
+    "op13_negatives": """
+WITH rows AS (
+  SELECT row_number() OVER () AS uid, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)),
+met AS (
+  SELECT a.uid AS anchor, a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS alike, list_inner_product(a.v, b.v)::BIGINT AS score
+  FROM rows a JOIN rows b ON a.uid <> b.uid WHERE a.vec_id % 100 = 0),
+positives AS (
+  SELECT *, row_number() OVER (PARTITION BY anchor ORDER BY score DESC, id) AS place FROM met WHERE alike QUALIFY place <= 5)
+SELECT p.anchor_id, p.id AS positive_id, row_number() OVER (PARTITION BY p.anchor, p.place ORDER BY n.score DESC, n.id)::INTEGER AS rank,
+  n.id AS negative_id, p.score AS positive_score, n.score AS negative_score
+FROM positives p JOIN met n ON n.anchor = p.anchor AND NOT n.alike AND 80 * p.score <= 100 * n.score AND 100 * n.score <= 100 * p.score
+QUALIFY rank <= 5
 """,
 }
