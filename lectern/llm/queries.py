@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import decontaminate, fingerprint, language, line_dedup, lm, main_text, minhash, negatives, packing, quality, simhash, url_filter
+from lectern.llm import decontaminate, fingerprint, language, line_dedup, lm, main_text, minhash, negatives, packing, prefix_trie, quality, simhash, url_filter
 from lectern.llm.common import table
 
 #: (host, path, action) of the url rules that op3 applies.
@@ -66,6 +66,10 @@ def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 def op13_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return negatives.hard_negatives(table(spark, sf_dir, "embeddings"))
 
@@ -80,7 +84,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_main_text, op2_lm_score, op3_url_filter, op4_language, op5_fingerprint, op6_minhash, op7_line_dedup,
-        op8_packing, op9_decontaminate, op10_quality, op11_simhash, op13_negatives, pipeline,
+        op8_packing, op9_decontaminate, op10_quality, op11_simhash, op12_prefix_trie, op13_negatives, pipeline,
     )
 }
 
@@ -116,6 +120,39 @@ marked AS (
 SELECT doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (lost)::BIGINT AS n_dropped,
   sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT lost), '')) AS kept_sha256
 FROM marked GROUP BY doc_id
+""",
+    "op12_prefix_trie": """
+WITH own AS (
+  SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(length(role) || ':' || role || text)) - 1 AS pos
+  FROM (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL)),
+ids AS (
+  SELECT conv_id, flatten(list_transform(string_split(conv_id::VARCHAR, ''), lambda c: [ascii(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1])) AS steps
+  FROM (SELECT DISTINCT conv_id FROM own)),
+convs AS (
+  SELECT conv_id, conv_id - conv_id % 100 AS base, xor(4294967295, list_reduce(list_concat([4294967295::BIGINT], steps),
+    lambda crc, x: CASE WHEN x >= 0 THEN xor(crc, x) ELSE xor(crc >> 1, 3988292384 * (crc & 1)) END)) % 6 AS h
+  FROM ids),
+turns AS (
+  SELECT c.conv_id, 0 AS half, pos, role, text FROM convs c JOIN own o ON o.conv_id = c.base AND pos < h
+  UNION ALL SELECT conv_id, 1, pos, role, text FROM convs JOIN own USING (conv_id) WHERE pos >= h),
+paths AS (
+  SELECT conv_id, coalesce(list({'r': role, 't': text} ORDER BY half, pos) FILTER (half IS NOT NULL), []) AS path
+  FROM convs LEFT JOIN turns USING (conv_id) GROUP BY conv_id),
+prefixes AS (
+  SELECT conv_id, depth, md5(to_json(path[1:depth])::VARCHAR) AS key, CASE WHEN depth > 0 THEN md5(to_json(path[1:depth - 1])::VARCHAR) END AS parent,
+    coalesce(length(path[depth].t), 0) AS size, depth = len(path) AS ended
+  FROM (SELECT *, unnest(range(0, len(path) + 1)) AS depth FROM paths)),
+nodes AS (
+  SELECT key, depth, any_value(parent) AS parent, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * any_value(size) AS saved,
+    sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (ended), '')) AS ends_sha256
+  FROM prefixes GROUP BY key, depth),
+children AS (SELECT parent AS key, count(*) AS n_children FROM nodes WHERE parent IS NOT NULL GROUP BY parent),
+sums AS (
+  SELECT p.key, count(*) FILTER (c.key IS NULL) AS n_leaves, sum(saved) AS saved_tokens
+  FROM nodes n JOIN prefixes p ON p.conv_id = n.conv_id AND p.depth <= n.depth LEFT JOIN children c ON c.key = n.key GROUP BY p.key)
+SELECT n.conv_id, n.depth, up.conv_id AS parent_conv_id, n.n_convs, coalesce(n_children, 0)::BIGINT AS n_children, n_leaves,
+  saved_tokens::BIGINT AS saved_tokens, n.ends_sha256
+FROM nodes n JOIN sums USING (key) LEFT JOIN children USING (key) LEFT JOIN nodes up ON up.key = n.parent
 """,
     "op13_negatives": """
 WITH rows AS (
