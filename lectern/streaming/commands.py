@@ -122,14 +122,14 @@ def fold(stream: DataFrame, candidates: DataFrame, groups: DataFrame, options: D
     return rows.groupBy("session_id").transformWithStateInPandas(CommandFold(), OUT, "append", "None")
 
 
-PENDING = "metric_id string, payload string, attempts int, due timestamp"
+PENDING = "metric_id string, payload string, attempts int, due long"
 TRIES = "client_id string, metric_id string, payload string, attempt int, state string"
 
 
 class Retries(StatefulProcessor):
     """A client's submissions that failed, the latest of each metric, at most ``most``; each comes due again until ``attempts`` are spent."""
 
-    def __init__(self, most: int, attempts: int, wait: str) -> None:
+    def __init__(self, most: int, attempts: int, wait: int) -> None:
         self.most, self.attempts, self.wait = most, attempts, wait
 
     def init(self, handle: StatefulProcessorHandle) -> None:
@@ -138,7 +138,7 @@ class Retries(StatefulProcessor):
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         queue, out = self._queue(), []
-        for at, metric, payload, delivered in pd.concat(rows).sort_values(["ts", "metric_id"])[["ts", "metric_id", "payload", "delivered"]].itertuples(index=False):
+        for at, metric, payload, delivered in pd.concat(rows).sort_values(["at", "metric_id"])[["at", "metric_id", "payload", "delivered"]].itertuples(index=False):
             tried = next((x[2] for x in queue if x[0] == metric), 0) + 1
             queue = [x for x in queue if x[0] != metric]
             if delivered:
@@ -146,7 +146,7 @@ class Retries(StatefulProcessor):
             elif tried >= self.attempts:
                 out.append((metric, payload, tried, "given-up"))
             else:
-                queue.append((metric, payload, tried, at + pd.Timedelta(self.wait) * 2 ** (tried - 1)))
+                queue.append((metric, payload, tried, int(at) + self.wait * 2 ** (tried - 1)))
             out += [(x[0], x[1], x[2], "dropped") for x in queue[: -self.most]]
             queue = queue[-self.most :]
         self._store(queue)
@@ -154,19 +154,19 @@ class Retries(StatefulProcessor):
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         """What has come due is sent out to be tried again; it stays pending until its outcome arrives."""
-        now = pd.Timestamp(expiredTimerInfo.getExpiryTimeInMs(), unit="ms")
+        now = expiredTimerInfo.getExpiryTimeInMs()
         yield self._rows(key, [(m, p, n + 1, "retry") for m, p, n, due in self._queue() if due == now])
 
     def _queue(self) -> list[tuple]:
-        return [(m, p, n, pd.Timestamp(due)) for m, p, n, due in self.pending.get()] if self.pending.exists() else []
+        return [tuple(x) for x in self.pending.get()] if self.pending.exists() else []
 
     def _store(self, queue: list[tuple]) -> None:
         for timer in list(self.handle.listTimers()):
             self.handle.deleteTimer(timer)
         for due in {x[3] for x in queue}:
-            self.handle.registerTimer(int(due.timestamp() * 1000))
+            self.handle.registerTimer(due)
         if queue:
-            self.pending.put([(m, p, n, due.to_pydatetime()) for m, p, n, due in queue])
+            self.pending.put(queue)
         else:
             self.pending.clear()
 
@@ -186,5 +186,5 @@ def retried(outcomes: DataFrame, most: int = 25, attempts: int = 4, wait: str =
     one, and of more than ``most`` pending ones the oldest are dropped.  Times
     are kept to the millisecond.
     """
-    rows = outcomes.withColumn("ts", F.date_trunc("millisecond", "ts")).withWatermark("ts", late)
-    return rows.groupBy("client_id").transformWithStateInPandas(Retries(most, attempts, wait), TRIES, "append", "EventTime")
+    rows = outcomes.withColumn("at", F.unix_millis("ts")).withWatermark("ts", late)
+    return rows.groupBy("client_id").transformWithStateInPandas(Retries(most, attempts, int(pd.Timedelta(wait).total_seconds() * 1000)), TRIES, "append", "EventTime")
