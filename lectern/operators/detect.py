@@ -83,11 +83,17 @@ def candidates(found: DataFrame) -> DataFrame:
     )
 
 
+#: A neighbour: a comma, two spaces, at most 31 letters and what ends them.
+_BESIDE = 36
+
+
 def single_names(block_rows: DataFrame, least: int = 2) -> DataFrame:
     """Single capitalised names without a capitalised neighbour that a document has at least ``least`` times."""
-    rows = block_rows.select("doc_id", "block_order", "text", F.explode(matches(F.col("text"), SINGLE)).alias("m"))
-    before = F.substring("text", F.lit(1), F.col("m.start"))
-    after = F.substring("text", F.col("m.end") + 1, F.length("text"))
+    # only what stands next to a match is looked at; with single spaces that has a greatest length
+    flat = block_rows.select("doc_id", F.regexp_replace("text", r"\s+", " ").alias("text"))
+    rows = flat.select("doc_id", "text", F.explode(matches(F.col("text"), SINGLE)).alias("m"))
+    before = F.substring("text", F.greatest(F.col("m.start") - _BESIDE, F.lit(0)) + 1, F.least(F.col("m.start"), F.lit(_BESIDE)))
+    after = F.substring("text", F.col("m.end") + 1, F.lit(_BESIDE))
     alone = ~before.rlike(rf"{_UP}{_NAME}{{1,30}},?\s*$") & ~after.rlike(rf"^\s*,?\s*{_UP}{_NAME}{{1,30}}{WORD_END}")
     named = rows.filter(alone & ~F.col("m.text").isin(*SINGLE_STOP_WORDS)).select("doc_id", F.lower("m.text").alias("name"))
     return named.groupBy("doc_id", "name").agg(F.count("*").alias("n")).filter(F.col("n") >= least)
