@@ -33,6 +33,10 @@ OVERLAP = 0.75
 RUN = 13
 #: Seeds (24 bytes each) up to this many are broadcast; more are joined by shuffle.
 BROADCAST_SEEDS = 2_000_000
+#: Tokens of all items (8 bytes each) up to this many are broadcast.
+BROADCAST_TOKENS = 4_000_000
+#: Least tokens of a text that an alignment is compared with at a time.
+PIECE = 1024
 #: Documents with hits (16 bytes each) up to this many are broadcast to pick their texts.
 BROADCAST_IDS = 1_000_000
 
@@ -96,36 +100,69 @@ def overlaps(docs: DataFrame, items: DataFrame, overlap: float = OVERLAP) -> Dat
         # a common passage can hold many hits of one seed: filter first, so that only hits are dealt out
         hits = offered.join(distinct, "seed", "left_semi").join(seeds, "seed")
     aligned, _ = written(hits.select("doc_id", "item_id", (F.col("i") - F.col("at")).alias("shift")).distinct())
-    met = aligned.join(tests.select(F.col("item_id").alias("t_id"), F.col("h").alias("t")), F.col("item_id").eqNullSafe(F.col("t_id")))
-    # whole texts meet their alignments: mapped side by side if those are few, else both dealt out by doc_id
+    total, longest = tests.agg(F.sum(F.size("h")), F.max(F.size("h"))).first()
+    known = tests.select(F.col("item_id").alias("t_id"), F.col("h").alias("t"))
+    if (total or 0) <= BROADCAST_TOKENS:  # else an item that many documents hold is split as a skewed key
+        known = F.broadcast(known)
+    piece = max(PIECE, longest or 0)
+    met = aligned.withColumn("piece", F.floor(F.col("shift") / piece)).join(known, F.col("item_id").eqNullSafe(F.col("t_id")))
+    # whole texts meet their alignments in pieces that overlap by the longest item, so that an alignment carries only what it compares
     held = docs.select(F.col("doc_id").alias("d_id"), "text").join(
         broadcast_if_small(aligned.select("doc_id").distinct(), BROADCAST_IDS), F.col("d_id").eqNullSafe(F.col("doc_id")), "left_semi",
-    ).select("d_id", _tokens(F.col("text")).alias("h"))
-    full = met.join(held, F.col("doc_id").eqNullSafe(F.col("d_id")))
-    agree = F.transform("t", lambda x, i: F.coalesce(F.get("h", i + F.col("shift")) == x, F.lit(False)).cast("int"))
-    one = full.select("doc_id", "item_id", "shift", F.size("t").alias("n"), agree.alias("agree"), F.xxhash64("h", "t").alias("texts"))
+    ).select("d_id", _tokens(F.col("text")).alias("h")).filter(F.size("h") > 0)
+    pieces = F.transform(F.sequence(F.lit(-1).cast("long"), F.floor((F.size("h") - 1) / piece)), lambda c: F.struct(
+        c.alias("p"), F.slice("h", (F.greatest(c * piece, F.lit(0)) + 1).cast("int"), F.lit(piece + (longest or 0))).alias("part")
+    ))
+    held = held.select("d_id", F.xxhash64("h").alias("whole"), F.explode(pieces).alias("x")).select("d_id", "whole", "x.*")
+    full = met.join(held, F.col("doc_id").eqNullSafe(F.col("d_id")) & (F.col("piece") == F.col("p")))
+    first = F.col("shift") - F.greatest(F.col("p") * piece, F.lit(0)).cast("int")
+    agree = F.transform("t", lambda x, i: F.coalesce(F.get("part", i + first) == x, F.lit(False)).cast("int"))
+    one = full.select("doc_id", "item_id", "shift", F.size("t").alias("n"), agree.alias("agree"), F.xxhash64("whole", "t").alias("texts"))
     run = F.aggregate("agree", F.array(F.lit(0), F.lit(0)), lambda s, x: F.array((s[0] + 1) * x, F.greatest(s[1], (s[0] + 1) * x)), lambda s: s[1])
     found = one.select("doc_id", "item_id", "texts", "shift", "n", "agree", F.aggregate("agree", F.lit(0), lambda s, x: s + x).alias("same"), run.alias("run"))
+    found, _ = written(found)
     # rows that share an id are chained each by itself
-    best = found.groupBy("doc_id", "item_id", "texts").agg(
-        F.max("n").alias("n"), F.max("run").alias("run"), F.max(F.struct("same", (-F.col("shift")).alias("back"))).alias("best"),
-        F.sort_array(F.collect_list(F.struct("shift", "agree"))).alias("ways"),
+    key = ["doc_id", "item_id", "texts"]
+    best = found.groupBy(*key).agg(F.max("n").alias("n"), F.max("run").alias("run"), F.max(F.struct("same", (-F.col("shift")).alias("back"))).alias("best"), F.count("*").alias("ways"))
+    enough = F.col("best.same") >= F.lit(overlap) * F.col("n")
+    open_, _ = written(best.filter((F.col("ways") > 1) & ~enough))
+    chained = _chained(found, open_, key, overlap)
+    scored = best.withColumn("n_matched", F.col("best.same").cast("long")).select(*key, "n", "run", "best", "n_matched").unionByName(chained)
+    scored = scored.groupBy(*key).agg(F.max("n").alias("n"), F.max("run").alias("run"), F.max("best").alias("best"), F.max("n_matched").alias("n_matched"))
+    held_items = scored.filter((F.col("n_matched") >= F.lit(overlap) * F.col("n")) | (F.col("run") >= RUN))
+    out = held_items.groupBy("doc_id", "item_id").agg(F.max(F.struct("n_matched", "best.back", "n")).alias("best"))
+    return out.select(
+        "doc_id", "item_id", F.col("best.n").cast("long").alias("n_tokens"), "best.n_matched", (-F.col("best.back")).cast("long").alias("position"),
     )
-    # score of the best chain that ends in each alignment, after each token of the item
+
+
+def _chained(found: DataFrame, pairs: DataFrame, key: list[str], overlap: float) -> DataFrame:
+    """The best chains of alignments for ``pairs`` of a document and an item that no single alignment settles.
+
+    A chain that gains anything loses fewer tokens between its alignments than
+    the item has, so all of it lies within that many shifts.  Alignments are
+    therefore dealt into overlapping windows of twice that width: each window
+    holds a bounded number of them, however often a passage is repeated.
+    """
+    wanted = pairs.select(*[F.col(k).alias(f"p_{k}") for k in key], F.col("run").alias("p_run"), F.col("best").alias("p_best"))
+    met = found.join(wanted, [F.col(k).eqNullSafe(F.col(f"p_{k}")) for k in key])
+    at = F.floor(F.col("shift") / F.col("n"))
+    dealt = met.select(*key, "n", "shift", "agree", "p_run", "p_best", F.explode(F.array(at - 1, at)).alias("window"))
+    windows = dealt.groupBy(*key, "window").agg(
+        F.max("n").alias("n"), F.max("p_run").alias("run"), F.max("p_best").alias("best"), F.sort_array(F.collect_list(F.struct("shift", "agree"))).alias("ways")
+    ).filter(F.size("ways") > 1)
     ways = F.col("ways")
+    # no chain agrees in more tokens than its alignments do together
+    most = F.aggregate(F.sequence(F.lit(0), F.col("n") - 1), F.lit(0), lambda s, i: s + F.array_max(F.transform(ways, lambda w: F.get(w["agree"], i))))
+    hopeful = windows.withColumn("most", most).filter((F.col("most") > F.col("best.same")) & ((F.col("most") >= F.lit(overlap) * F.col("n")) | (F.col("run") >= RUN)))
+    # score of the best chain that ends in each alignment, after each token of the item
     chain = F.aggregate(
         F.sequence(F.lit(0), F.col("n") - 1), F.transform(ways, lambda w: F.lit(0).cast("long")),
         lambda at, i: F.transform(ways, lambda w: F.get(w["agree"], i) + F.array_max(
             F.zip_with(at, ways, lambda score, v: score - F.abs(v["shift"] - w["shift"]))
         )), F.array_max,
     )
-    enough = F.col("best.same") >= F.lit(overlap) * F.col("n")
-    scored = best.withColumn("n_matched", F.when((F.size("ways") > 1) & ~enough, chain).otherwise(F.col("best.same").cast("long")))
-    held_items = scored.filter((F.col("n_matched") >= F.lit(overlap) * F.col("n")) | (F.col("run") >= RUN))
-    out = held_items.groupBy("doc_id", "item_id").agg(F.max(F.struct("n_matched", "best.back", "n")).alias("best"))
-    return out.select(
-        "doc_id", "item_id", F.col("best.n").cast("long").alias("n_tokens"), "best.n_matched", (-F.col("best.back")).cast("long").alias("position"),
-    )
+    return hopeful.select(*key, "n", "run", "best", chain.alias("n_matched"))
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, overlap: float = OVERLAP) -> DataFrame:

@@ -408,6 +408,25 @@ def test_overlaps_against_brute_force(spark):
     assert decontaminate.overlaps(docs, bench.limit(0)).count() == 0
 
 
+def exact_chains(h, t):
+    """The score of the best chain of alignments of the tokens ``t`` in ``h`` that share a seed."""
+    masks = decontaminate.masks_of(len(t))
+    held = lambda w, i, m: all(i + p < len(t) and 0 <= w + i + p < len(h) and h[w + i + p] == t[i + p] for p in m)
+    shifts = [w for w in range(-len(t) + 1, len(h)) if any(held(w, i, m) for i in range(len(t)) for m in masks)]
+    at = dict.fromkeys(shifts, 0)
+    for i, x in enumerate(t):
+        at = {w: max(at[v] - abs(v - w) for v in shifts) + (0 <= i + w < len(h) and h[i + w] == x) for w in shifts}
+    return max(at.values())
+
+
+@pytest.mark.parametrize(("passage", "times", "item"), [("a b a k ", 30, "a b x k a y z w"), ("a b a k ", 30, "a b a x a b a k b a k a b a a k"), ("a ", 60, "a a b a a a c a a a a a"), ("a b c d ", 400, "a b c d b c d a b c d e a b c a")])
+def test_chains_of_repeated_passages(spark, passage, times, item):
+    got = decontaminate.overlaps(docs_of(spark, [passage * times]), spark.createDataFrame([(1, item)], "item_id long, text string")).collect()
+    t = item.split()
+    best = exact_chains((passage * min(times, 30)).split(), t)
+    assert [r.n_matched for r in got] == ([best] if best >= 0.75 * len(t) else [])
+
+
 def test_overlaps_of_parts_and_shifted_tokens(spark):
     rng = random.Random(9)
     fresh = lambda n: [f"v{rng.randint(0, 10**9)}" for _ in range(n)]
