@@ -29,9 +29,8 @@ STRETCH, MARGIN, ABREAST = 512, 32, 1024
 HIDDEN = 8
 #: Documents of each language that training uses at most, with their whole texts: those with the least hash of doc_id and text.
 SAMPLE_PER_LANG = 150
-#: Windows that an epoch of training visits at most, drawn anew for each.
-WINDOWS_PER_EPOCH = 12_000
-EPOCHS = 10
+#: Training passes over all windows of the sample, at most EPOCHS times and at least once: until so many windows have been visited.
+VISITS, EPOCHS = 120_000, 10
 UNKNOWN = "und"
 
 
@@ -150,8 +149,11 @@ class LanguageModel:
         return names, np.array(scores)
 
 
-def train(texts: list[str], labels: list[str], hidden: int = HIDDEN, epochs: int = EPOCHS, seed: int = 0) -> LanguageModel:
-    """Adam on the mean cross-entropy of all positions of all windows; every language weighs the same."""
+def train(texts: list[str], labels: list[str], hidden: int = HIDDEN, epochs: int = EPOCHS, visits: int = VISITS, seed: int = 0) -> LanguageModel:
+    """Adam on the mean cross-entropy of all positions of all windows; every language weighs the same.
+
+    Windows cover whole texts: the last one of a text ends where it ends, and a shorter text is repeated to fill one.
+    """
     names = sorted(set(labels))
     if len(names) < 2:
         return LanguageModel(names)
@@ -159,9 +161,9 @@ def train(texts: list[str], labels: list[str], hidden: int = HIDDEN, epochs: int
     windows, target = [], []
     for text, label in zip(texts, labels, strict=True):
         raw = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
-        for lo in range(0, max(len(raw) - WINDOW // 2, min(len(raw), 1)), WINDOW):
-            piece = raw[lo : lo + WINDOW]
-            windows.append(np.resize(piece, WINDOW))
+        for lo in range(0, len(raw), WINDOW):
+            lo = max(0, min(lo, len(raw) - WINDOW))
+            windows.append(np.resize(raw[lo : lo + WINDOW], WINDOW))
             target.append(code[label])
     if not windows:
         return LanguageModel(names[:1])
@@ -172,9 +174,10 @@ def train(texts: list[str], labels: list[str], hidden: int = HIDDEN, epochs: int
     params = [draw(256, 2 * hidden), draw(2 * hidden, hidden), draw(256, 2 * hidden), draw(2 * hidden, hidden), draw(len(names), 2 * hidden + 1)]
     first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
     batch, step = 128, 0
-    total = epochs * -(-min(len(y), WINDOWS_PER_EPOCH) // batch)
+    epochs = max(1, min(epochs, -(-visits // len(y))))
+    total = epochs * -(-len(y) // batch)
     for _ in range(epochs):
-        order = rng.permutation(len(y))[:WINDOWS_PER_EPOCH]
+        order = rng.permutation(len(y))
         for lo in range(0, len(order), batch):
             pick = order[lo : lo + batch]
             c = np.ascontiguousarray(codes[:, pick])
@@ -199,11 +202,11 @@ def train(texts: list[str], labels: list[str], hidden: int = HIDDEN, epochs: int
     return LanguageModel(names, Direction(params[0], params[1]), Direction(params[2], params[3]), params[4])
 
 
-def fit(docs: DataFrame, per_lang: int = SAMPLE_PER_LANG) -> LanguageModel:
+def fit(docs: DataFrame, per_lang: int = SAMPLE_PER_LANG, epochs: int = EPOCHS, visits: int = VISITS) -> LanguageModel:
     """Learns from text and lang of documents whose crc32(doc_id) mod 4 is not 2.
 
     The sample: at most ``per_lang`` documents of each language, with their
-    whole texts.  Rows without text, letters or lang teach nothing.
+    whole texts, all of which is trained on.  Rows without text, letters or lang teach nothing.
     """
     known = docs.select("doc_id", "text", "lang").filter(
         F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & (crc_mod("doc_id", 4) != 2)
@@ -213,7 +216,7 @@ def fit(docs: DataFrame, per_lang: int = SAMPLE_PER_LANG) -> LanguageModel:
     few = known.join(share, "lang").filter(F.col("rank") <= F.col("most"))
     ranked = few.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("rank", "text"))).filter(F.col("n") <= per_lang)
     got = ranked.select("lang", "n", "text").toArrow().to_pandas().sort_values(["lang", "n"], kind="stable")
-    return train(list(got["text"]), list(got["lang"]))
+    return train(list(got["text"]), list(got["lang"]), epochs=epochs, visits=visits)
 
 
 def label(docs: DataFrame, model: LanguageModel) -> DataFrame:
@@ -223,7 +226,7 @@ def label(docs: DataFrame, model: LanguageModel) -> DataFrame:
     text, and that mean; ``und`` with score 0 for a text that is null or has
     no letter.  A model of one language gives it score 1, of none ``und``.
     Repeated rows are labelled one by one; null ids stay; other columns are
-    ignored.
+    ignored; an empty table gives no rows.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
