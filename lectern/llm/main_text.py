@@ -3,14 +3,15 @@
 The page is parsed to a tree of block elements and of runs of inline content.
 Every node gets a link-adjusted density: characters per tag, damped by the share
 of characters and tags inside links, relative to the body's.  The node whose
-children's densities have the greatest sum is the middle of the article.  The
-least density on its path to the body is the threshold: whatever else hangs on
-that path counts if it is at least so dense.
-
-Names of tags and classes that mark parts around an article (menus, adverts ...)
-only take these parts out of what the densities have chosen, or of the choice;
-a layout name such as ``sidebar`` is overruled where it would take most of the
-page's unlinked text.
+children's densities have the greatest sum, names of tags and classes aside, is
+the middle of the article.  The least density on its path up to the body is the
+threshold: what else hangs on that path joins it if it has half of that density and
+half of the sum, so that short or thin neighbours stay out.
+
+Names that mark parts around an article (menus, adverts ...) take these parts
+out of what was chosen.  They overrule the choice itself only where it lies in
+such a part, and a layout name such as ``sidebar`` doesn't where it would take
+most of the page's unlinked text.
 """
 
 from __future__ import annotations
@@ -58,6 +59,8 @@ PLAIN_WORDS = frozenset(
     "container holder section block unit slot group row col column panel post posts stories articles buttons button icons form reader user "
     "google text js module inline sticky fixed".split()
 )
+#: What joins the densest subtree has at least this share of the threshold and of its sum; an ``article`` stands for it from this share of its density on.
+LEAST_SHARE = 0.5
 #: A layout name is overruled where the rest of the page holds less than this share of the unlinked characters.
 LEAST_LEFT = 0.2
 
@@ -246,7 +249,7 @@ def measure(root: Node) -> Node:
     share = body.link_chars / max(body.chars, 1)
     for x in reversed(order):
         x.density = composite(x.chars, x.tags, x.link_chars, x.link_tags, share)
-        x.total = sum(p.density for p in x.parts if p.kind < 2)
+        x.total = sum(p.density for p in x.parts)
     return body
 
 
@@ -259,21 +262,30 @@ def unlinked(nodes: list[Node]) -> int:
     return sum(x.chars - x.link_chars for x in nodes if x.name == "#run")
 
 
+def named_against(node: Node) -> bool:
+    return any(x.kind for x in up(node))
+
+
 def select(root: Node) -> list[Node]:
     """The nodes whose text is the article, in page order; what is around an article is taken out of them by ``runs``."""
     body = measure(root)
-    strict, free = order_of(body, 1), order_of(body, 2)
-    best = densest(strict)
-    if unlinked(strict) < LEAST_LEFT * unlinked(free):
-        best = densest(free)
-        for x in up(best):
-            x.kind = 0  # most of the text is inside: the names on the way there mean the layout, not the content
+    best = densest(order_of(body))
+    if best is not None and named_against(best):  # densities and names disagree: names decide, unless they would leave too little
+        strict, free = order_of(body, 1), order_of(body, 2)
+        best = densest(strict)
+        if unlinked(strict) < LEAST_LEFT * unlinked(free):
+            best = densest(free)
+            for x in up(best):
+                x.kind = 0  # most of the text is inside: the names on the way there mean the layout, not the content
     if best is None:
         return []
-    threshold = min(x.density for x in up(best) if x.chars and x.name != "#root" or x is body)
     path = list(up(best))
-    top = next((x for x in reversed(path) if x.name == "article"), None) or next((x for x in reversed(path) if x.name == "main"), None)
-    top = top or next((x for x in path if x.name not in PIECE), best)
+    below = [x for x in path if x is not body and x.name != "#root"] or [body]
+    threshold = min(x.density for x in below)
+    # a paragraph stands for what holds it, and a part of an article for the article, if that is not much thinner
+    top = next((x for x in path if x.name not in PIECE), best)
+    for name in ("main", "article"):
+        top = next((x for x in reversed(path) if x.name == name and x.density >= LEAST_SHARE * best.density), top)
     path = set(path[path.index(top) :])
     chosen, todo = [], [body]
     while todo:
@@ -282,7 +294,7 @@ def select(root: Node) -> list[Node]:
             chosen.append(x)
         elif x in path:
             todo.extend(reversed(x.parts))
-        elif x.kind == 0 and x.chars and x.density >= threshold:
+        elif x.kind == 0 and x.chars and x.density >= LEAST_SHARE * threshold and x.total >= LEAST_SHARE * best.total:
             chosen.append(x)
     return chosen
 
