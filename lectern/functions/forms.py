@@ -73,3 +73,8 @@ def verb_forms(base: Column) -> Column:
     past = F.when(y, F.concat(stem, F.lit("ied"))).otherwise(F.concat(stem, F.lit("ed")))
     going = F.when(y, F.concat(base, F.lit("ing"))).otherwise(F.concat(stem, F.lit("ing")))
     return F.array(base, third, past, going)
+
+
+def collated(name: str, collation: str = "UNICODE") -> tuple[Column, Column]:
+    """What to order by so that names stand as a language has them: by its collation, then by their bytes."""
+    return F.collate(F.col(name), collation), F.col(name)
