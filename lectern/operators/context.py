@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 #: Weights of contextual evidence of a person.
 WEIGHTS = {
-    "anchor_full_name_with_role": 50, "anchor_signature_block": 48, "anchor_name_with_email": 42, "anchor_full_name_with_organization": 40, "direct_address": 40,
-    "attribution": 40, "coordination": 34, "person_list": 32, "possessive": 30, "human_subject": 30, "human_object": 24,
+    "anchor_full_name_with_role": 50, "anchor_signature_block": 48, "anchor_name_with_email": 42, "anchor_full_name_with_organization": 40, "contextual_direct_address": 40,
+    "contextual_attribution": 40, "contextual_coordination": 34, "contextual_person_list": 32, "contextual_possessive": 30, "contextual_human_subject": 30, "contextual_human_object": 24,
 }
 #: What the strongest, second, ... rule counts for, then all others; and the most that they add up to.
 FACTORS, TAIL, CAP, GATE = (1.0, 0.4, 0.2), 0.1, 55, 30
@@ -101,8 +101,8 @@ def usage_rules(context: Column, words: dict[str, tuple[str, ...]]) -> Column:
     ended = before.rlike(r"[!?]\s*$") | (before.rlike(r"(?:^|\s)[\p{L}\p{M}]{2,}\.\s*$") & ~before.rlike(rf"(?i)(?:^|\s){w['abbreviations']}\.\s*$"))
     reached = ~ended & before.rlike(rf"(?i)(?:^|\s){_RIM}{w['directed']}{_RIM}\s*$")
     rules = (
-        ("direct_address", address), ("attribution", said), ("coordination", joined), ("person_list", listed), ("possessive", owner),
-        ("human_subject", acts & ~said), ("human_object", reached),
+        ("contextual_direct_address", address), ("contextual_attribution", said), ("contextual_coordination", joined), ("contextual_person_list", listed), ("contextual_possessive", owner),
+        ("contextual_human_subject", acts & ~said), ("contextual_human_object", reached),
     )
     fired = F.array_compact(F.array(*[F.when(c, F.lit(r)) for r, c in rules]))
     return F.when(context.rlike(r"(?s)\[[^\]]*\]"), fired).otherwise(F.expr("cast(array() as array<string>)"))

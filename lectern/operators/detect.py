@@ -107,3 +107,32 @@ def numbered(found: DataFrame) -> DataFrame:
     rank = F.row_number().over(Window.partitionBy("doc_id", "detected_type").orderBy("first", "candidate_key"))
     names = firsts.withColumn("placeholder", F.format_string("[%s %03d]", F.upper("detected_type"), rank)).select("doc_id", "candidate_key", "placeholder")
     return found.withColumn("ordinal", F.row_number().over(one)).join(names, ["doc_id", "candidate_key"])
+
+
+def single_occurrences(block_rows: DataFrame, least: int = 2) -> DataFrame:
+    """Occurrences of the single names that a document has at least ``least`` times, in the form of ``occurrences``.
+
+    Each stands by itself in its block: no capitalised neighbour.  They are
+    people of low confidence whose attributes give way to any other detector's.
+    """
+    rows = block_rows.select("doc_id", "block_order", "text", F.explode(matches(F.col("text"), SINGLE)).alias("m"))
+    # white space beside a match may be of any length, so what stands there is squeezed before it is looked at
+    squeezed = lambda side: F.regexp_replace(side, r"\s+", " ")
+    before = squeezed(F.substring("text", F.greatest(F.col("m.start") - _FAR, F.lit(0)) + 1, F.least(F.col("m.start"), F.lit(_FAR))))
+    after = squeezed(F.substring("text", F.col("m.end") + 1, F.lit(_FAR)))
+    alone = ~before.rlike(rf"{_UP}{_NAME}{{1,30}},?\s*$") & ~after.rlike(rf"^\s*,?\s*{_UP}{_NAME}{{1,30}}{WORD_END}")
+    found = rows.filter(alone & ~F.col("m.text").isin(*SINGLE_STOP_WORDS)).select(
+        "doc_id", "block_order", candidate_key(F.lit("person"), F.col("m.text")).alias("candidate_key"), F.lit("person").alias("detected_type"), F.lit("low").alias("confidence"), F.lit(6).alias("rank"),
+        F.col("m.start").alias("start"), F.col("m.end").alias("end"), F.col("m.text").alias("match"), snippet(F.col("text"), F.col("m.start"), F.col("m.end")).alias("context"),
+    )
+    often = found.groupBy("doc_id", "candidate_key").agg(F.count("*").alias("n")).filter(F.col("n") >= least).drop("n")
+    return found.join(often, ["doc_id", "candidate_key"], "left_semi").select(found.columns)
+
+
+#: White space between a match and its neighbour is followed so far, which bounds the work for each match.
+_FAR = 400
+
+
+def all_occurrences(block_rows: DataFrame, least: int = 2) -> DataFrame:
+    """The stream of all detectors, single names included; ``candidates`` and ``numbered`` take it as they take ``occurrences``."""
+    return occurrences(block_rows).unionByName(single_occurrences(block_rows, least))

@@ -7,11 +7,11 @@ WORDS = {
     "actions": ("said", "called", "arrived"), "directed": ("called", "asked"), "abbreviations": ("mrs",),
 }
 CASES = [
-    ("Dear [Jordan], welcome", ["direct_address"]), ("[Jordan], please come", ["direct_address"]), ("today [Jordan] said so", ["attribution"]),
-    ("according to [Jordan] it rains", ["attribution"]), ("[Jordan] and Nora Lind, who left", ["coordination"]), ("[Jordan] and Nora Lind left", []), ("the manager and [Jordan]", ["coordination"]),
-    ("[Jordan] and tables", []), ("with Ann, Bob Ray, [Jordan]", ["person_list"]), ("with Ann, [Jordan], Bob", ["person_list"]), ("with Ann, [Jordan] again", []),
-    ("[Jordan]'s desk", ["possessive"]), ("[Jordan] arrived", ["human_subject"]), ("[Jordan] has quietly", []), ("[Jordan] has arrived.", ["human_subject"]),
-    ("we asked [Jordan] twice", ["human_object"]), ("nobody asked. [Jordan] sat", []), ("...ed [Jordan] rose...", []), ("Jordan said", []), (None, []), ("", []),
+    ("Dear [Jordan], welcome", ["contextual_direct_address"]), ("[Jordan], please come", ["contextual_direct_address"]), ("today [Jordan] said so", ["contextual_attribution"]),
+    ("according to [Jordan] it rains", ["contextual_attribution"]), ("[Jordan] and Nora Lind, who left", ["contextual_coordination"]), ("[Jordan] and Nora Lind left", []), ("the manager and [Jordan]", ["contextual_coordination"]),
+    ("[Jordan] and tables", []), ("with Ann, Bob Ray, [Jordan]", ["contextual_person_list"]), ("with Ann, [Jordan], Bob", ["contextual_person_list"]), ("with Ann, [Jordan] again", []),
+    ("[Jordan]'s desk", ["contextual_possessive"]), ("[Jordan] arrived", ["contextual_human_subject"]), ("[Jordan] has quietly", []), ("[Jordan] has arrived.", ["contextual_human_subject"]),
+    ("we asked [Jordan] twice", ["contextual_human_object"]), ("nobody asked. [Jordan] sat", []), ("...ed [Jordan] rose...", []), ("Jordan said", []), (None, []), ("", []),
 ]
 
 

@@ -62,3 +62,20 @@ def test_collated_order_differs_from_binary(spark):
     df = spark.createDataFrame([(x,) for x in ["Zoe", "anna", "Émile", "eve", "Eve", "Zoë"]], "name string")
     assert [r.name for r in df.orderBy(*forms.collated("name")).collect()] == ["anna", "Émile", "eve", "Eve", "Zoe", "Zoë"]
     assert [r.name for r in df.orderBy("name").collect()] == ["Eve", "Zoe", "Zoë", "anna", "eve", "Émile"]
+
+
+def test_single_names_join_the_stream(spark):
+    from lectern.operators import detect
+
+    texts = ["Jordan came. We saw Jordan\nand Mary Jones met Jordan, who left.\nJones, Jordan", "Alice " + "x " * 3 + "alone", "Monday was fine. Monday again", "Kim   \t  Lee and Kim", ("word " * 400 + "Robin went. ") * 3, None, ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = detect.blocks(docs)
+    found = detect.single_occurrences(rows)
+    got = {(r.doc_id, r.candidate_key): r.n for r in found.groupBy("doc_id", "candidate_key").agg(F.count("*").alias("n")).collect()}
+    counted = {(r.doc_id, f"person:{r.name}"): r.n for r in detect.single_names(rows).collect()}
+    assert got == counted == {(0, "person:jordan"): 3, (4, "person:robin"): 3}
+    for r in found.collect():
+        block = texts[r.doc_id].split("\n")[r.block_order]
+        assert block[r.start : r.end] == r.match
+    merged = {(r.doc_id, r.candidate_key): (r.detected_type, r.confidence, r.n_occurrences) for r in detect.candidates(detect.all_occurrences(rows)).collect()}
+    assert merged[0, "person:jordan"] == ("person", "low", 3) and merged[0, "person:mary jones"][2] == 1
