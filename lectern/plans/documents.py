@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from lectern.operators import corpus, detect
 from lectern.plans.catalog import query
+from lectern.sources.shared import spread
 
 _WORDS = ", ".join(f"'{w}'" for w in corpus.STOPWORDS)
 _ACRONYMS = ", ".join(f"'{w}'" for w in corpus.GENERIC_ACRONYMS)
@@ -12,7 +13,7 @@ _DOMAINS = ", ".join(f"'{w}'" for w in corpus.GENERIC_DOMAINS)
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    return spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
 
 
 @query()

@@ -6,6 +6,7 @@ from lectern.operators import corpus, detect, evidence, relate
 from lectern.plans.catalog import query
 from lectern.streaming import activity
 from lectern.sources import reports
+from lectern.sources.shared import spread
 
 
 def _t(spark, sf_dir, name):
@@ -13,7 +14,7 @@ def _t(spark, sf_dir, name):
 
 
 def _docs(spark, sf_dir):
-    return _t(spark, sf_dir, "documents").select("doc_id", "text")
+    return spread(_t(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 _P = r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b"

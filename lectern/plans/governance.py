@@ -4,10 +4,11 @@ from pyspark.sql import functions as F
 
 from lectern.operators import corpus, detect, quality, redact
 from lectern.plans.catalog import query
+from lectern.sources.shared import spread
 
 
 def _docs(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    return spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
 
 
 @query()

@@ -44,3 +44,12 @@ def dropped(spark: SparkSession, *paths: str) -> None:
 def cleared(spark: SparkSession) -> None:
     """Removes all tables that operators wrote in this process; for use when their results have been read."""
     dropped(spark, *list(_made))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """The rows of a scan over as many partitions as there are cores, where it has fewer splits: one row group is one task.
+
+    A table of many splits, as any large one has, stays as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
