@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from lectern.functions import forms, sql
 from lectern.operators import commands, tracker
 from lectern.plans.catalog import query
-from lectern.plans.commands import _SQL, _done, _t
+from lectern.plans.commands import _SQL, _context, _done, _t
+from lectern.sources import reports
 from lectern.sources.shared import written
 
 
@@ -76,3 +77,28 @@ def collated_words(spark, sf_dir):
     words = _t(spark, sf_dir, "documents").select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit("[A-Za-zÀ-ÖØ-öø-ÿ]+"), F.lit(0)))).alias("word")).distinct()
     place = lambda *order: F.row_number().over(Window.partitionBy("doc_id").orderBy(*order))
     return words.select("doc_id", "word", place(*forms.collated("word")).alias("place"), place("word").alias("binary_place"))
+
+
+@query(f"""{_SQL}, last AS (SELECT session_id, id AS candidate_id, arg_max({{'w': write, 'd': decision}}, (seq, item)) AS x FROM applied GROUP BY 1, 2), now AS (SELECT session_id, candidate_id, x.d AS decision FROM last WHERE x.w <> 'reset'),
+stamps AS (SELECT session_id, group_id, arg_max(CASE type WHEN 'flattenGroup' THEN 'Refined' WHEN 'completeNotQuite' THEN 'Refined' ELSE 'Confirmed' END, seq) AS stamp FROM outcome JOIN (SELECT session_id, seq, group_id FROM heads) USING (session_id, seq)
+  WHERE reason IS NULL AND (type IN {tuple(commands.GROUP)} OR type = 'completeNotQuite') GROUP BY 1, 2),
+c AS (SELECT c.session_id, candidate_id, coalesce(decision, 'Undecided') AS decision, decision IS NOT NULL OR stamp IS NOT NULL AS resolved FROM cand c LEFT JOIN now USING (session_id, candidate_id) LEFT JOIN stamps USING (session_id, group_id)),
+l AS (SELECT session_id, count(*) AS total, count(*) FILTER (NOT resolved) AS unresolved, count(*) FILTER (decision = 'Keep') AS keep, count(*) FILTER (decision = 'Rename') AS rename, count(*) FILTER (decision = 'Redact') AS redact, count(*) FILTER (decision = 'Ignore') AS ignore,
+  count(*) FILTER (decision = 'Undecided') AS undecided, min(candidate_id) AS first_candidate, arg_min(decision, candidate_id) AS first_decision FROM c GROUP BY 1),
+g AS (SELECT session_id, count(*) AS n_groups, count(stamp) AS groups_decided FROM grp LEFT JOIN stamps USING (session_id, group_id) GROUP BY 1)
+SELECT c_custkey::VARCHAR AS session_id, coalesce(total, 0) AS total, coalesce(keep, 0) AS keep, coalesce(rename, 0) AS rename, coalesce(redact, 0) AS redact, coalesce(ignore, 0) AS ignore, coalesce(undecided, 0) AS undecided, coalesce(unresolved, 0) AS unresolved,
+  coalesce(groups_decided, 0) AS groups_decided, CASE c_custkey % 5 WHEN 0 THEN true WHEN 1 THEN false END AS passed, c_custkey % 5 = 2 AS mismatched, c_custkey % 5 = 0 AS ready, coalesce(unresolved, 0) > 0 OR c_custkey % 5 <> 0 AS outstanding, first_candidate, first_decision, coalesce(n_groups, 0)::INT AS n_groups
+FROM customer LEFT JOIN l ON l.session_id = c_custkey::VARCHAR LEFT JOIN g ON g.session_id = c_custkey::VARCHAR""")
+def audit_reports(spark, sf_dir):
+    """The complete report of every customer's session of commands; first candidate and groups are read back from its JSON."""
+    done, _ = written(_done(spark, sf_dir))
+    known, groups, _ = _context(spark, sf_dir)
+    c, id_ = _t(spark, sf_dir, "customer"), F.col("c_custkey").cast("string")
+    sessions = c.select(id_.alias("session_id"), F.concat(F.lit("doc"), id_).alias("doc_id"), F.col("c_name").alias("file_name"), F.lit("2026-01-01").alias("created_at"), F.lit("2026-02-01").alias("updated_at"))
+    checks = c.filter("c_custkey % 5 < 3").select(id_.alias("session_id"), F.concat(F.when(F.col("c_custkey") % 5 == 2, "other").otherwise("doc"), id_).alias("doc_id"), (F.col("c_custkey") % 5 == 0).alias("passed"), F.lit(0).alias("problems"))
+    shown = known.select("session_id", "candidate_id", F.lit("order").alias("detected_type"), F.col("candidate_id").alias("display_value"), F.lit(1).alias("n_occurrences"))
+    found = reports.audit_report(sessions, shown, commands.decisions(done), groups, commands.group_decisions(done), commands.links(done), checks)
+    return found.select(
+        "session_id", "total", "keep", "rename", "redact", "ignore", "undecided", "unresolved", "groups_decided", "passed", "mismatched", "ready", "outstanding", F.get_json_object("report", "$.candidates[0].candidate_id").alias("first_candidate"),
+        F.get_json_object("report", "$.candidates[0].decision").alias("first_decision"), F.size(F.from_json(F.get_json_object("report", "$.groups"), "array<struct<group_id:string>>")).alias("n_groups"),
+    )

@@ -79,3 +79,25 @@ def test_single_names_join_the_stream(spark):
         assert block[r.start : r.end] == r.match
     merged = {(r.doc_id, r.candidate_key): (r.detected_type, r.confidence, r.n_occurrences) for r in detect.candidates(detect.all_occurrences(rows)).collect()}
     assert merged[0, "person:jordan"] == ("person", "low", 3) and merged[0, "person:mary jones"][2] == 1
+
+
+def test_audit_report(spark):
+    import json
+
+    from lectern.sources import reports
+
+    frame = spark.createDataFrame
+    sessions = frame([("s", "d", "f.docx", "a", "b"), ("t", "e", None, None, None), ("u", "x", "g", "a", "b")], "session_id string, doc_id string, file_name string, created_at string, updated_at string")
+    found = frame([("s", "c1", "person", "Ann", 2), ("s", "c2", "person", 'B "o"', 1), ("s", "c3", "email", None, 1)], "session_id string, candidate_id string, detected_type string, display_value string, n_occurrences int")
+    decisions = frame([("s", "c1", "Rename", "[X]", "reviewer"), ("s", "gone", "Keep", None, "reviewer")], "session_id string, candidate_id string, decision string, replacement string, source string")
+    groups = frame([("s", "g", "Bo", ["c2", "c9"]), ("s", "h", "Li", ["c3"])], "session_id string, group_id string, canonical_name string, members array<string>")
+    stamps, links = frame([("s", "g", "Confirmed")], "session_id string, group_id string, decision string"), frame([("s", "c2", "g")], "session_id string, candidate_id string, group_id string")
+    checks = frame([("s", "d", True, 0), ("u", "other", True, 0)], "session_id string, doc_id string, passed boolean, problems int")
+    got = {r.session_id: r for r in reports.audit_report(sessions, found, decisions, groups, stamps, links, checks).collect()}
+    s, t, u = got["s"], got["t"], got["u"]
+    assert (s.total, s.rename, s.keep, s.undecided, s.unresolved, s.groups_decided, s.ready, s.outstanding) == (3, 1, 0, 2, 1, 1, True, True)
+    assert (t.total, t.unresolved, t.passed, t.ready, t.outstanding, t.mismatched) == (0, 0, None, False, True, False) and (u.mismatched, u.ready) == (True, False)
+    told = json.loads(s.report)
+    assert [(c["candidate_id"], c["display_value"], c["status"]) for c in told["candidates"]] == [("c1", "Ann", "resolved"), ("c2", 'B "o"', "resolved"), ("c3", None, "unresolved")]
+    assert [g["decision"] for g in told["groups"]] == ["Confirmed", "Undecided"] and told["links"] == [{"candidate_id": "c2", "group_id": "g"}] and told["version"] == 1
+    assert json.loads(t.report)["candidates"] == [] and json.loads(t.report)["file_name"] is None
