@@ -111,3 +111,46 @@ def review_tier(archetype: Column, n_suggestions: Column, kind: Column, n_tokens
     named = archetype.isNotNull() & (archetype != "uncertain")
     told = (n_suggestions > 0) | archetype.isin("institutional-term", "calendar-term", "common-word", "identifier")
     return F.when(named, F.when(told, "strong").otherwise("needs-review")).when(person, "needs-review")
+
+
+#: Sections of ambiguous items in their order, with their labels, and tiers inside a section.
+AMBIGUOUS = {
+    "shortened-names": "Shortened Names", "nicknames": "Other Names", "org-aliases": "Org Names", "acronyms": "Acronyms", "institutional": "Institutional", "calendar": "Time / Calendar",
+    "identifiers": "Numeric", "common-words": "Other Words", "other": "Other",
+}
+TIERS = {"strong": "Strong Recommendations", "needs-review": "Needs Review"}
+#: The section of an archetype; an alias is of an organization or a nickname.
+ARCHETYPES = {
+    "shortened-name": "shortened-names", "acronym": "acronyms", "identifier": "identifiers", "institutional-term": "institutional", "calendar-term": "calendar", "common-word": "common-words",
+}
+
+
+def ambiguous_section(archetype: Column, kind: Column, organization: Column, named: Column) -> Column:
+    """The section of an ambiguous item; without an archetype, or an uncertain one, people go by whether evidence names them."""
+    known = F.create_map(*[F.lit(x) for pair in ARCHETYPES.items() for x in pair])
+    alias = F.when(F.coalesce(organization, F.lit(False)), "org-aliases").otherwise("nicknames")
+    rest = F.when(kind != "person", "other").when(F.coalesce(named, F.lit(False)), "shortened-names").otherwise("common-words")
+    return F.when(archetype == "semantic-alias", alias).otherwise(F.coalesce(F.element_at(known, archetype), rest))
+
+
+def ambiguity_queue(items: DataFrame) -> DataFrame:
+    """``items(doc_id, candidate_key, archetype, detected_type, organization, named, tier, ord)`` with section, label, and place in the document's queue.
+
+    Sections come in their order, in each the tiers, then what has none, then
+    the order of the items; a document's items are sorted in one task.
+    """
+    from pyspark.sql import Window
+
+    rank = lambda names, c: F.array_position(F.array(*map(F.lit, names)), c)
+    rows = items.withColumn("section", ambiguous_section(F.col("archetype"), F.col("detected_type"), F.col("organization"), F.col("named")))
+    tier = F.when(rank(TIERS, F.col("tier")) > 0, rank(TIERS, F.col("tier"))).otherwise(len(TIERS) + 1)
+    place = F.row_number().over(Window.partitionBy("doc_id").orderBy(rank(AMBIGUOUS, F.col("section")), tier, "ord", "candidate_key"))
+    label = F.element_at(F.create_map(*[F.lit(x) for p in AMBIGUOUS.items() for x in p]), F.col("section"))
+    return rows.select("doc_id", "candidate_key", "section", label.alias("label"), F.when(tier <= len(TIERS), F.col("tier")).alias("tier"), place.alias("place"))
+
+
+def ambiguity_sections(queue: DataFrame) -> DataFrame:
+    """Per document and section: its items, those of each tier, and where it begins in the queue."""
+    return queue.groupBy("doc_id", "section", "label").agg(
+        F.count("*").alias("n"), F.count_if(F.col("tier") == "strong").alias("n_strong"), F.count_if(F.col("tier") == "needs-review").alias("n_needs_review"), F.min("place").alias("first_place")
+    )

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lectern.operators import explain, registry
+from lectern.operators import explain, registry, types
 from lectern.plans.catalog import query
 from lectern.plans.proposals import _CANDIDATES, _named, _t
 
@@ -109,3 +109,31 @@ def relationship_proposals(spark, sf_dir):
     rows = made(d, F.concat(F.lit("doc "), "lang", F.lit("-"), id_)).unionByName(made(d.filter("doc_id % 3 = 0"), F.concat("lang", id_))).unionByName(made(d, F.concat(F.lit("Doc "), F.upper("lang")))).unionByName(made(d.filter("doc_id % 2 = 0"), F.concat(F.lit("D"), F.upper(F.substring("lang", 1, 1)))))
     scored = rows.groupBy(F.col("s").alias("doc_id"), F.lower("v").alias("candidate_key")).agg(F.min("v").alias("display_value")).withColumn("detected_type", F.lit("person"))
     return registry.relationships(scored).withColumn("members", F.array_join("members", ",")).drop("proposal_id")
+
+
+_KINDS = ["shortened-name", "semantic-alias", "acronym", "identifier", "institutional-term", "calendar-term", "common-word", "uncertain"]
+_QUEUE = f"""{_RULED}, i AS (SELECT r.doc_id, r.candidate_key, r.detected_type, {_KINDS}[CASE WHEN length(r.candidate_key) % 9 = 8 THEN NULL ELSE length(r.candidate_key) % 9 + 1 END] AS archetype, r.n_occurrences % 2 = 0 AS organization, len(list_filter(told, lambda x: x.c = 'known_first_name')) > 0 AS named,
+  CASE length(r.candidate_key) % 4 WHEN 0 THEN 'strong' WHEN 1 THEN 'needs-review' WHEN 2 THEN 'odd' END AS tier, ord FROM r JOIN c USING (doc_id, candidate_key)),
+s AS (SELECT *, CASE WHEN archetype = 'semantic-alias' THEN CASE WHEN organization THEN 'org-aliases' ELSE 'nicknames' END WHEN archetype IN {tuple(types.ARCHETYPES)} THEN map({list(types.ARCHETYPES)}, {list(types.ARCHETYPES.values())})[archetype]
+  WHEN detected_type <> 'person' THEN 'other' WHEN named THEN 'shortened-names' ELSE 'common-words' END AS section FROM i),
+q AS (SELECT doc_id, candidate_key, section, map({list(types.AMBIGUOUS)}, {list(types.AMBIGUOUS.values())})[section] AS label, CASE WHEN tier <> 'odd' THEN tier END AS tier,
+  row_number() OVER (PARTITION BY doc_id ORDER BY list_position({list(types.AMBIGUOUS)}, section), CASE tier WHEN 'strong' THEN 1 WHEN 'needs-review' THEN 2 ELSE 3 END, ord, candidate_key)::INT AS place FROM s)"""
+
+
+def _queue(spark, sf_dir):
+    rows, k = _ruled(spark, sf_dir), F.length("candidate_key")
+    return types.ambiguity_queue(rows.select(
+        "doc_id", "candidate_key", "detected_type", F.get(F.array(*map(F.lit, _KINDS)), k % 9).alias("archetype"), (F.col("n_occurrences") % 2 == 0).alias("organization"),
+        F.exists("told", lambda x: x["category"] == "known_first_name").alias("named"), F.when(k % 4 == 0, "strong").when(k % 4 == 1, "needs-review").when(k % 4 == 2, "odd").alias("tier"), "ord",
+    ))
+
+
+@query(f"WITH {_QUEUE} SELECT * FROM q")
+def ambiguity_queue(spark, sf_dir):
+    """Names of the documents in the order in which their ambiguities are shown."""
+    return _queue(spark, sf_dir)
+
+
+@query(f"WITH {_QUEUE} SELECT doc_id, section, label, count(*) AS n, count(*) FILTER (tier = 'strong') AS n_strong, count(*) FILTER (tier = 'needs-review') AS n_needs_review, min(place) AS first_place FROM q GROUP BY 1, 2, 3")
+def ambiguity_sections(spark, sf_dir):
+    return types.ambiguity_sections(_queue(spark, sf_dir))
