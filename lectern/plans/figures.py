@@ -10,28 +10,28 @@ def _t(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-_GROUPS = "groups AS (SELECT c_nationkey AS group_id, count(*) AS n_members, round(avg(c_acctbal))::INT % 50 AS confidence, min(c_mktsegment) AS canonical_name FROM customer GROUP BY 1)"
+_GROUPS = "groups AS (SELECT c_mktsegment AS doc_id, c_nationkey AS group_id, count(*) AS n_members, round(avg(c_acctbal))::INT % 50 AS confidence, right(min(c_name), 2) AS canonical_name FROM customer GROUP BY 1, 2)"
 
 
 def _groups(spark, sf_dir):
-    return _t(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("group_id")).agg(
-        F.count("*").alias("n_members"), (F.round(F.avg("c_acctbal")).cast("int") % 50).alias("confidence"), F.min("c_mktsegment").alias("canonical_name")
+    return _t(spark, sf_dir, "customer").groupBy(F.col("c_mktsegment").alias("doc_id"), F.col("c_nationkey").alias("group_id")).agg(
+        F.count("*").alias("n_members"), (F.round(F.avg("c_acctbal")).cast("int") % 50).alias("confidence"), F.substring(F.min("c_name"), -2, 2).alias("canonical_name")
     )
 
 
 @query(f"WITH {_GROUPS} " + " UNION ALL ".join(
-    f"SELECT '{name}' AS name, group_id, row_number() OVER (ORDER BY {first}, group_id) AS place FROM groups"
+    f"SELECT doc_id, '{name}' AS name, group_id, row_number() OVER (PARTITION BY doc_id ORDER BY {first}, group_id) AS place FROM groups"
     for name, first in zip((*figures.GROUP_ORDERS, "list"), ("confidence DESC", "confidence", "n_members DESC", "n_members", "canonical_name", "n_members DESC, confidence DESC, canonical_name"), strict=True)
 ))
 def group_orders(spark, sf_dir):
-    """The places of groups in every order; a document's groups are few."""
+    """The places of the groups of each document (a segment of customers, its nations as groups) in every order."""
     from pyspark.sql import Window
 
     rows = _groups(spark, sf_dir)
     orders = {**{n: figures.group_order(n) for n in figures.GROUP_ORDERS}, "list": figures.group_list_order()}
     out = None
     for name, order in orders.items():
-        one = rows.select(F.lit(name).alias("name"), "group_id", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(*order)).alias("place"))
+        one = rows.select("doc_id", F.lit(name).alias("name"), "group_id", F.row_number().over(Window.partitionBy("doc_id").orderBy(*order)).alias("place"))
         out = one if out is None else out.unionAll(one)
     return out
 

@@ -55,16 +55,18 @@ def semantic_types(spark, sf_dir):
 
 
 @query("WITH " + _FACTS + f"""
-SELECT CASE WHEN type = 'other' THEN 'undetermined' ELSE type END AS section, list_position({_list(types.ORDER)}, any_value(CASE WHEN type = 'other' THEN 'undetermined' ELSE type END))::BIGINT AS place,
+SELECT p_brand AS doc_id, CASE WHEN type = 'other' THEN 'undetermined' ELSE type END AS section, list_position({_list(types.ORDER)}, any_value(CASE WHEN type = 'other' THEN 'undetermined' ELSE type END))::BIGINT AS place,
   count(*) AS n_entities, sum(p_size)::BIGINT AS n_occurrences, count(*) FILTER (p_partkey % 4 = 0) AS n_decided, list_sort(list(p_partkey)) AS candidate_keys
-FROM typed GROUP BY 1
+FROM typed GROUP BY 1, 2
 """)
 def type_summaries(spark, sf_dir):
+    """Summaries by type for each document, for which a brand stands."""
     items = _facts(spark, sf_dir).select(
+        F.col("p_brand").alias("doc_id"),
         types.section(F.col("kind"), F.col("relations"), F.col("categories")).alias("section"), F.col("p_partkey").alias("candidate_key"),
         F.col("p_size").alias("n_occurrences"), (F.col("p_partkey") % 4 == 0).alias("decided"),
     )
-    return types.summaries(items)
+    return types.summaries(items, "doc_id")
 
 
 @query("WITH " + _FACTS + f""",
