@@ -1,4 +1,13 @@
-"""The corpus pipeline: quality, repeated lines, near-duplicates, benchmark passages, packing."""
+"""The corpus pipeline: quality, repeated lines, near-duplicates, benchmark passages, packing.
+
+Every stage but the last takes and gives ``documents``, with all of its columns
+in their order; further columns, whatever their names, go through unread.  A
+null text counts as an empty one; line dedup makes it an empty one, with no
+characters.  Null ids, sources and languages stay.  Repeated rows are judged
+alike; near-duplicates are told by ids, so rows with one id stay or go together.
+An empty table gives an empty result, without labels all documents are
+scored alike, and without a benchmark none is held against them.
+"""
 
 from __future__ import annotations
 
