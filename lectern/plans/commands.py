@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import functions as F
 from pyspark.sql import Window
+from pyspark.sql import functions as F
 
 from lectern.operators import commands
 from lectern.plans.catalog import query
-from lectern.sources.shared import shared_dir
+from lectern.sources.shared import scratch
 from lectern.streaming import commands as streamed
 
 _KINDS = [*commands.SINGLE, *commands.GROUP, *commands.OPENED, commands.IMPORT, commands.BULK, commands.RESET, commands.LINK, commands.ACCEPTED, commands.DISMISS, commands.RESTORE]
@@ -126,7 +124,7 @@ def review_command_stream(spark, sf_dir):
     streamed.with_state_store(spark)
     events = _t(spark, sf_dir, "events")
     stream = spark.readStream.schema(events.schema).parquet(f"{sf_dir}/events.parquet*")  # a pattern, as a stream's plain path has to be a folder
-    at = f"{shared_dir(spark)}/lectern-{uuid.uuid4().hex}"
+    at = scratch(spark)
     run = streamed.fold(_commands(stream), *_context(spark, sf_dir)).writeStream.option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start(f"{at}/out", "parquet", "append")
     run.awaitTermination()
     return spark.read.schema(streamed.OUT).parquet(f"{at}/out").filter("item IS NULL").select("session_id", "seq", "type", "ok", "reason", "applied", "skipped")

@@ -22,12 +22,18 @@ def shared_dir(spark: SparkSession) -> str:
 _made: list[str] = []
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new path in the shared folder, which ``cleared`` removes with the tables."""
+    path = f"{shared_dir(spark)}/lectern-{uuid.uuid4().hex}"
+    _made.append(path)
+    return path
+
+
 def written(df: DataFrame) -> tuple[DataFrame, str]:
     """The frame written as a table in the shared folder and read again, and its path; this cuts the lineage."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/lectern-{uuid.uuid4().hex}"
+    path = scratch(spark)
     df.write.parquet(path)
-    _made.append(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
