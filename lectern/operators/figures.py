@@ -114,8 +114,12 @@ def recent_of(sessions: DataFrame, owner: int | None, limit: int, archived: bool
 
 
 def with_archived(sessions: DataFrame, changes: DataFrame) -> DataFrame:
-    """Sessions after ``changes(session_id, at, action)``: deleted ones go, archived ones get a time, restored ones lose it; the latest counts."""
-    last = changes.groupBy("session_id").agg(F.max_by(F.struct("action", "at"), F.struct("at", "action")).alias("last"))
+    """Sessions after ``changes(session_id, at, action)``: deleted ones go, archived ones get a time, restored ones lose it; the latest counts.
+
+    Of changes at one time a deletion counts before a restoration, and that before an archiving.
+    """
+    rank = F.when(F.col("action") == "delete", 2).when(F.col("action") == "restore", 1).otherwise(0)
+    last = changes.groupBy("session_id").agg(F.max_by(F.struct("action", "at"), F.struct("at", rank)).alias("last"))
     met = sessions.join(last, "session_id", "left").filter(F.coalesce(F.col("last.action"), F.lit("")) != "delete")
     at = F.when(F.col("last.action") == "archive", F.col("last.at")).when(F.col("last.action") == "restore", F.lit(None).cast("timestamp")).otherwise(F.col("archived_at"))
     return met.withColumn("archived_at", at).drop("last")
