@@ -6,7 +6,7 @@ from pyspark.sql import SparkSession
 
 #: Name, and what follows it: parameters, result and body, all of it SQL.
 SCALARS = {
-    "guarded_percent": "(part DOUBLE, whole DOUBLE) RETURNS DOUBLE RETURN CASE WHEN whole IS NULL OR whole = 0 THEN NULL ELSE round(part / whole * 100, 1) END",
+    "guarded_percent": "(part DOUBLE, whole DOUBLE) RETURNS DOUBLE RETURN CASE WHEN whole IS NULL OR whole = 0 THEN NULL ELSE round(part * 100 / whole, 1) END",
     "day_of": "(at TIMESTAMP) RETURNS DATE RETURN to_date(at)",
     "in_range": "(at TIMESTAMP, since TIMESTAMP, until TIMESTAMP) RETURNS BOOLEAN RETURN (since IS NULL OR at >= since) AND (until IS NULL OR at < until)",
     "squeezed": r"(value STRING) RETURNS STRING RETURN trim(regexp_replace(value, '\\s+', ' '))",

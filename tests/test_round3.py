@@ -33,3 +33,13 @@ def test_deletion_counts_last_of_one_time(spark, tmp_path):
     orders = spark.createDataFrame([(0, 0, "O", at), (3, 0, "P", at), (6, 1, "F", at), (9, 1, "O", at), (12, 2, "F", at)], "o_orderkey long, o_custkey long, o_orderstatus string, o_orderdate timestamp_ntz")
     got, want = both(spark, tmp_path, "session_states", customer=customer, orders=orders)
     assert got == want and len(got) == 3
+
+
+def test_percent_rounds_an_exact_half(spark, tmp_path):
+    sql.register(spark, tables=False)
+    assert tuple(spark.sql("SELECT guarded_percent(23, 80), guarded_percent(51, 80)").first()) == (28.8, 63.8)
+    events = spark.range(80).select(
+        F.col("id").alias("event_id"), F.lit(datetime(2024, 1, 5)).cast("timestamp_ntz").alias("ts"), F.lit(1).cast("long").alias("user_id"), F.when(F.col("id") < 23, "purchase").otherwise("view").alias("event_type"), F.lit(1.0).alias("value"), F.lit("{}").alias("props"),
+    )
+    got, want = both(spark, tmp_path, "sql_usage_report", events=events)
+    assert got == want and got[0][4] == 28.8
