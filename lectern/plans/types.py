@@ -280,7 +280,7 @@ SELECT item_id, sha256(regexp_replace(regexp_replace(text, '\b(and of)\b', '$1\2
 """.replace(r"'$1\2'", r"'$' || '1\\\\2'"))
 def replaced_words(spark, sf_dir):
     """Whole words replaced in any case, the longest first; special characters of a replacement stand for themselves."""
-    rules = F.array(*[F.struct(F.lit(a).alias("original"), F.lit(b).alias("replacement")) for a, b in (("and", "X"), ("and of", "$1\\2"), ("the", "X"))])
+    rules = F.array(*[F.struct(F.lit(a).alias("original"), F.lit(b).alias("replacement")) for a, b in (("and", "X"), ("and of", r"$1\\2"), ("the", "X"))])
     return _t(spark, sf_dir, "benchmark").select("item_id", F.sha2(wording.with_replacements(F.col("text"), rules), 256).alias("hash"))
 
 

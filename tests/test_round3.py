@@ -43,3 +43,9 @@ def test_percent_rounds_an_exact_half(spark, tmp_path):
     )
     got, want = both(spark, tmp_path, "sql_usage_report", events=events)
     assert got == want and got[0][4] == 28.8
+
+
+def test_replaced_words_has_its_sqls_rule(spark, tmp_path):
+    items = spark.createDataFrame([(1, "this And Of that, the end and band"), (2, None), (3, "plain")], "item_id long, text string")
+    got, want = both(spark, tmp_path, "replaced_words", benchmark=items)
+    assert got == want
