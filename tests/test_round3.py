@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import math
+import random
 from datetime import datetime
+from itertools import combinations
 
 import duckdb
+import pandas as pd
 from pyspark.sql import functions as F
 
 from __spark_entry__ import oracle_sql, queries
 from lectern.functions import sql
-from lectern.operators import figures
+from lectern.operators import corpus, figures, relate
 
 
 def both(spark, folder, name, **tables):
@@ -49,3 +53,42 @@ def test_replaced_words_has_its_sqls_rule(spark, tmp_path):
     items = spark.createDataFrame([(1, "this And Of that, the end and band"), (2, None), (3, "plain")], "item_id long, text string")
     got, want = both(spark, tmp_path, "replaced_words", benchmark=items)
     assert got == want
+
+
+def test_pair_scores_meet_in_blocks(spark):
+    rng, words = random.Random(3), "lorem ipsum dolor amet sit2 the with consul magna".split()
+    texts = [" ".join([*rng.choices(words, k=rng.randrange(0, 30)), *rng.sample(["Apache License", "Old Mill Road", "Blue Trust", "x@a.example.org", "QRS QRS", "file no AB-12345"], rng.randrange(0, 5))]) for _ in range(60)] + [None, "", "Apache License"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    reps = docs.join(relate.classes(docs).filter("doc_id = rep").select("doc_id"), "doc_id")
+    items, terms, shape = {}, {}, {r.doc_id: r.signature for r in corpus.structure(reps).collect()}
+    for r in corpus.items(reps).collect():
+        items.setdefault(r.doc_id, set()).add((r.kind, r.item))
+    for r in corpus.terms(reps).collect():
+        terms.setdefault(r.doc_id, {})[r.term] = r.n
+    want = {}
+    for a, b in combinations(sorted(items), 2):
+        if shared := items[a] & items[b]:
+            direct = sum(min(each * sum(k == kind for k, _ in shared), cap) for kind, (each, cap) in corpus.WEIGHTS.items())
+            x, y = terms.get(a, {}), terms.get(b, {})
+            norm = math.sqrt(sum(n * n for n in x.values())) * math.sqrt(sum(n * n for n in y.values()))
+            cosine = sum(n * y.get(t, 0) for t, n in x.items()) / norm if norm else 0
+            want[a, b] = (min(1, direct + corpus.VOCABULARY_CAP * cosine + corpus.STRUCTURE_WEIGHT * (shape[a] == shape[b])), len(shared))
+    found = relate.pair_scores(docs)
+    got = {(r.a, r.b): (r.score, r.n_shared) for r in found.collect()}
+    assert got.keys() == want.keys() and len(want) > 100
+    for p, (score, n) in want.items():
+        assert abs(got[p][0] - score) < 2e-9 and got[p][1] == n, (p, got[p], want[p])
+    # the words of a document come once to a task, not to each of its pairs
+    plan = found._jdf.queryExecution().analyzed().toString()
+    assert "FlatMapCoGroupsInPandas" in plan and "n_a" not in plan
+    strong = {(r.a, r.b) for r in relate.pair_scores(docs, 0.45).filter("score >= 0.45").collect()}
+    assert strong == {p for p, (s, _) in want.items() if s >= 0.45} and strong
+
+
+def test_dots_in_small_steps(monkeypatch):
+    monkeypatch.setattr(relate, "_AT_ONCE", 3)
+    texts = pd.DataFrame({"doc_id": [7, 1, 4, 9], "words": [[5, 5, 6], [5, 8, 9, 9], [], [6, 5, 9]], "signature": ["x", "x", "y", "x"]})
+    pairs = pd.DataFrame([(1, 7), (1, 4), (4, 7), (1, 9), (7, 9)], columns=["a", "b"]).assign(direct=0.5, n_shared=1)
+    assert not len(relate._dots((0, 0), pairs[:0], texts))
+    got = {(r.a, r.b): (r.dot, r.square_a, r.square_b, r.alike) for r in relate._dots((0, 0), pairs, texts).itertuples()}
+    assert got == {(1, 7): (2, 6, 5, True), (1, 4): (0, 6, 0, False), (4, 7): (0, 0, 5, False), (1, 9): (3, 6, 3, True), (7, 9): (3, 5, 3, True)}
