@@ -77,27 +77,36 @@ def strength_between(pairs: DataFrame, relations: DataFrame) -> DataFrame:
     return pairs.select("x", "y", *key("x", "y")).join(held, ["u", "v"]).select("x", "y", "provider", "strength")
 
 
-def profiled(rows: DataFrame, weights: DataFrame, bands: DataFrame, base: int = 35, least: int = 1, most: int = 99) -> DataFrame:
-    """Scores of ``rows(doc_id, candidate_key, rules)`` under every profile: ``(profile, doc_id, candidate_key, score, quality)``.
+def under_profiles(rows: DataFrame, weights: DataFrame, bands: DataFrame, base: int = 35, least: int = 1, most: int = 99) -> DataFrame:
+    """``rows``, which have ``rules``, once for every profile, with ``profile``, ``score`` and ``quality``; see ``profiled``.
 
-    ``weights(profile, rule, weight)`` and ``bands(profile, quality, least)``
-    are tables; a rule that a profile lacks weighs nothing, a repeated rule of
-    a candidate counts once, and a score takes the highest band that it
-    reaches.  Candidates without rules score ``base``.
+    A profile's weights and bands come to the rows as one small table, so that
+    rows are neither shuffled nor sorted.
     """
     profiles = weights.select("profile").unionByName(bands.select("profile")).distinct()
-    each = rows.select("doc_id", "candidate_key", F.explode_outer(F.array_distinct("rules")).alias("rule"))
-    sums = each.join(weights, "rule").groupBy("profile", "doc_id", "candidate_key").agg(F.sum("weight").alias("points"))
-    # every candidate under every profile: the names of profiles ride along as one bounded array
     names = [r.profile for r in profiles.orderBy("profile").limit(MOST_PROFILES + 1).collect()]
     if len(names) > MOST_PROFILES:
         raise ValueError(f"more than {MOST_PROFILES} profiles")
-    every = rows.select("doc_id", "candidate_key", F.explode(F.array(*map(F.lit, names)) if names else F.array().cast("array<string>")).alias("profile"))
-    score = F.least(F.lit(most), F.greatest(F.lit(least), base + F.coalesce("points", F.lit(0))))
-    scored = every.join(sums, ["profile", "doc_id", "candidate_key"], "left").withColumn("score", score.cast("int")).drop("points")
+    weighed = weights.filter("rule IS NOT NULL").groupBy("profile", "rule").agg(F.sum("weight").alias("weight")).groupBy("profile").agg(F.map_from_entries(F.collect_list(F.struct("rule", "weight"))).alias("weights"))
     steps = bands.groupBy("profile").agg(F.array_sort(F.collect_list(F.struct("least", "quality"))).alias("steps"))
-    reached = F.element_at(F.filter("steps", lambda s: s["least"] <= F.col("score")), -1)
-    return scored.join(steps, "profile", "left").select("profile", "doc_id", "candidate_key", "score", F.when(F.exists("steps", lambda s: s["least"] <= F.col("score")), reached["quality"]).alias("quality"))
+    held = profiles.join(weighed, "profile", "left").join(steps, "profile", "left").select("profile", F.coalesce("weights", F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<bigint>"))).alias("weights"), "steps")
+    every = rows.withColumn("profile", F.explode(F.array(*map(F.lit, names)) if names else F.array().cast("array<string>"))).join(F.broadcast(held), "profile")
+    rules = F.filter(F.array_distinct(F.coalesce("rules", F.array().cast("array<string>"))), lambda r: r.isNotNull())
+    points = F.aggregate(rules, F.lit(0).cast("long"), lambda n, r: n + F.coalesce(F.try_element_at(F.col("weights"), r), F.lit(0)))
+    scored = every.withColumn("score", F.least(F.lit(most), F.greatest(F.lit(least), base + points)).cast("int"))
+    reached = F.filter("steps", lambda s: s["least"] <= F.col("score"))
+    return scored.withColumn("quality", F.when(F.size(F.coalesce(reached, F.array().cast(scored.schema["steps"].dataType))) > 0, F.element_at(reached, -1)["quality"])).drop("weights", "steps")
+
+
+def profiled(rows: DataFrame, weights: DataFrame, bands: DataFrame, base: int = 35, least: int = 1, most: int = 99) -> DataFrame:
+    """Scores of ``rows(doc_id, candidate_key, rules)`` under every profile: ``(profile, doc_id, candidate_key, score, quality)``.
+
+    ``weights(profile, rule, weight)`` and ``bands(profile, quality, least)``
+    are tables, with whole numbers as weights; a rule that a profile lacks
+    weighs nothing, a repeated rule of a candidate counts once, and a score
+    takes the highest band that it reaches.  Candidates without rules score ``base``.
+    """
+    return under_profiles(rows.select("doc_id", "candidate_key", "rules"), weights, bands, base, least, most).select("profile", "doc_id", "candidate_key", "score", "quality")
 
 
 #: Profiles are compared side by side; more than so many raise.

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import random
+import re
 from datetime import datetime
 from itertools import combinations
 
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 
 from __spark_entry__ import oracle_sql, queries
 from lectern.functions import sql
-from lectern.operators import corpus, figures, relate
+from lectern.operators import corpus, figures, registry, relate
 
 
 def both(spark, folder, name, **tables):
@@ -92,3 +93,16 @@ def test_dots_in_small_steps(monkeypatch):
     assert not len(relate._dots((0, 0), pairs[:0], texts))
     got = {(r.a, r.b): (r.dot, r.square_a, r.square_b, r.alike) for r in relate._dots((0, 0), pairs, texts).itertuples()}
     assert got == {(1, 7): (2, 6, 5, True), (1, 4): (0, 6, 0, False), (4, 7): (0, 0, 5, False), (1, 9): (3, 6, 3, True), (7, 9): (3, 5, 3, True)}
+
+
+def test_profiles_come_to_the_rows(spark):
+    rows = spark.createDataFrame([(1, "a", ["x", "x", None, "z"]), (1, "b", []), (1, "c", None)], "doc_id long, candidate_key string, rules array<string>")
+    weights = spark.createDataFrame([("p", "x", 10), ("q", "x", 70), ("q", "x", 5)], "profile string, rule string, weight int")
+    bands = spark.createDataFrame([("p", "Low", 40), ("p", "Mid", 45), ("r", "Any", 1)], "profile string, quality string, least int")
+    found = registry.profiled(rows, weights, bands)
+    got = {(r.profile, r.candidate_key): (r.score, r.quality) for r in found.collect()}
+    assert got == {
+        ("p", "a"): (45, "Mid"), ("q", "a"): (99, None), ("r", "a"): (35, "Any"), ("p", "b"): (35, None), ("q", "b"): (35, None), ("r", "b"): (35, "Any"), ("p", "c"): (35, None), ("q", "c"): (35, None), ("r", "c"): (35, "Any"),
+    }
+    # only the small tables of profiles are joined by sorting
+    assert not re.search(r"SortMergeJoin \[.*candidate_key", found._jdf.queryExecution().executedPlan().toString())
