@@ -102,6 +102,11 @@ def explanations(candidates: DataFrame, evidence: DataFrame, texts: DataFrame) -
     )
 
 
+def told(side: str, by: str) -> Column:
+    """The expert texts of one side as one string."""
+    return F.array_join(F.transform(side, lambda x: x["expert"]), by).alias(side)
+
+
 def audit(explained: DataFrame) -> DataFrame:
     """The audit view: the sentence and the expert texts of each side."""
     told = lambda side: F.transform(side, lambda x: x["expert"])

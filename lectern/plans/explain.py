@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from lectern.operators import explain, registry, types
 from lectern.plans.catalog import query
 from lectern.plans.proposals import _CANDIDATES, _named, _t
+from lectern.sources.shared import written
 
 _WEIGHTS = [
     ("plain", "strong-name-structure", 40), ("plain", "single-name-candidate", 12), ("plain", "small-frequency-bonus", 4), ("plain", "moderate-frequency-bonus", 9), ("plain", "frequency-saturated", 14),
@@ -77,17 +78,16 @@ SELECT doc_id, candidate_key, start || CASE WHEN fors IS NOT NULL AND against IS
   ELSE ' based on deterministic evidence: ' || rest || tail END AS summary, positive, negative, CASE WHEN length(candidate_key) % 4 = 0 THEN 'Resolved: Keep' WHEN score >= 50 THEN 'To Review' ELSE 'Unlikely' END AS disposition, array_to_string(cats, '|') AS diagnostics FROM u""")
 def explanations(spark, sf_dir):
     """Why names of the documents score as they do."""
-    rows = _ruled(spark, sf_dir)
     weights, bands = _profiles(spark)
-    scores = registry.profiled(rows.select("doc_id", "candidate_key", F.transform("told", lambda x: x["category"]).alias("rules")), weights, bands).filter("profile = 'plain'").select("doc_id", "candidate_key", F.col("score").alias("likelihood"))
+    rows = _ruled(spark, sf_dir).withColumn("rules", F.transform("told", lambda x: x["category"]))
+    rows, _ = written(registry.under_profiles(rows, weights.filter("profile = 'plain'"), bands.filter("profile = 'plain'")).withColumnRenamed("score", "likelihood"))  # read for facts and evidence
     evidence = rows.select("doc_id", "candidate_key", F.posexplode("told").alias("ord", "e")).select("doc_id", "candidate_key", "ord", "e.category", "e.polarity").join(weights.filter("profile = 'plain'").select(F.col("rule").alias("category"), "weight"), "category", "left")
-    facts = rows.join(scores, ["doc_id", "candidate_key"]).select(
+    facts = rows.select(
         "doc_id", "candidate_key", "detected_type", "likelihood", F.when(F.col("likelihood") >= 50, "ToReview").otherwise("Unlikely").alias("recommendation"), "n_occurrences",
-        F.when(F.length("candidate_key") % 4 == 0, "Keep").alias("decision"), F.array().cast("array<string>").alias("filter_rules"), F.transform("told", lambda x: x["category"]).alias("reasons"),
+        F.when(F.length("candidate_key") % 4 == 0, "Keep").alias("decision"), F.array().cast("array<string>").alias("filter_rules"), F.col("rules").alias("reasons"),
     )
     found = explain.explanations(facts, evidence, spark.createDataFrame(_TEXTS, "category string, short string, standard string, expert string"))
-    told = explain.audit(found).select("doc_id", "candidate_key", "summary", F.array_join("positive", "|").alias("positive"), F.array_join("negative", "|").alias("negative"))
-    return told.join(found.select("doc_id", "candidate_key", "disposition", F.array_join("diagnostics", "|").alias("diagnostics")), ["doc_id", "candidate_key"])
+    return found.select("doc_id", "candidate_key", "summary", *[explain.told(s, "|") for s in ("positive", "negative")], "disposition", F.array_join("diagnostics", "|").alias("diagnostics"))
 
 
 _CODES = """s AS (SELECT source AS doc_id, 'doc ' || lang || '-' || doc_id AS v FROM documents UNION ALL SELECT source, lang || doc_id FROM documents WHERE doc_id % 3 = 0 UNION ALL SELECT source, 'Doc ' || upper(lang) FROM documents UNION ALL SELECT source, 'D' || upper(lang[1]) FROM documents WHERE doc_id % 2 = 0),
