@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from __spark_entry__ import oracle_sql, queries
 from lectern.functions import sql
-from lectern.operators import corpus, figures, registry, relate
+from lectern.operators import corpus, figures, proposals, registry, relate
 
 
 def both(spark, folder, name, **tables):
@@ -106,3 +106,12 @@ def test_profiles_come_to_the_rows(spark):
     }
     # only the small tables of profiles are joined by sorting
     assert not re.search(r"SortMergeJoin \[.*candidate_key", found._jdf.queryExecution().executedPlan().toString())
+
+
+def test_links_are_looked_up_from_the_end_with_fewer(spark):
+    rng = random.Random(1)
+    of = lambda name: spark.createDataFrame(sorted({(d, w) for d in range(8) for w in rng.choices("stuvwxyz", k=4)}), f"doc_id long, {name} string")
+    left, right = of("a"), of("b")
+    links = spark.createDataFrame(sorted({("s", w) for w in "tuvwxyz"} | {(w, "t") for w in "suvwxyz"} | {("u", "v")}), "a string, b string")
+    want = sorted(map(tuple, left.join(right, "doc_id").join(links, ["a", "b"]).select("doc_id", "a", "b").collect()))
+    assert sorted(map(tuple, proposals._linked(left, links, right, "a", "b").select("doc_id", "a", "b").collect())) == want and len(want) > 10
