@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from __spark_entry__ import oracle_sql, queries
 from lectern.functions import sql
-from lectern.operators import corpus, figures, proposals, registry, relate
+from lectern.operators import corpus, figures, proposals, registry, relate, resolve
 
 
 def both(spark, folder, name, **tables):
@@ -115,3 +115,11 @@ def test_links_are_looked_up_from_the_end_with_fewer(spark):
     links = spark.createDataFrame(sorted({("s", w) for w in "tuvwxyz"} | {(w, "t") for w in "suvwxyz"} | {("u", "v")}), "a string, b string")
     want = sorted(map(tuple, left.join(right, "doc_id").join(links, ["a", "b"]).select("doc_id", "a", "b").collect()))
     assert sorted(map(tuple, proposals._linked(left, links, right, "a", "b").select("doc_id", "a", "b").collect())) == want and len(want) > 10
+
+
+def test_truncated_variants_ask_for_their_beginnings(spark):
+    values = ["Doc", "doc en", "doc  en-1", "Doc en 2", "doc en 2 x", "doc e", "other", "", None]
+    rows = spark.createDataFrame([(1, f"k{i}", "person", v) for i, v in enumerate(values)] + [(2, "z", "person", "doc")], "doc_id long, candidate_key string, detected_type string, display_value string")
+    found = resolve.truncated_variants(rows)
+    assert sorted(map(tuple, found.collect())) == [(1, "k0", "k4"), (1, "k1", "k4"), (1, "k3", "k4")]
+    assert "StartsWith" not in found._jdf.queryExecution().optimizedPlan().toString()
