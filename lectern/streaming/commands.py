@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -20,60 +21,103 @@ _COLUMNS = [x.split()[0] for x in OUT.split(", ")]
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
+def _plain(rows: list, columns: list[str]) -> pd.DataFrame:
+    """Rows as objects: a column that is null throughout would be of floats, whose strings Arrow returns in chunks, which Spark can't take."""
+    return pd.DataFrame(rows, columns=columns, dtype=object)
+
+
 def with_state_store(spark: SparkSession) -> None:
     """Keyed state with timers, lists and maps needs the RocksDB state store."""
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
 
 
+class _Held:
+    """A map of the state, of which the keys of one call are read once, and those that changed are written once: each access costs a round trip."""
+
+    def __init__(self, state) -> None:
+        self.state, self.was, self.now = state, {}, {}
+
+    def get(self, key: str) -> tuple | None:
+        if key not in self.now:
+            had = self.state.getValue((key,)) if self.state.containsKey((key,)) else None
+            self.was[key] = self.now[key] = tuple(had) if had is not None else None
+        return self.now[key]
+
+    def put(self, key: str, value: tuple | None) -> None:
+        """A null value removes the key."""
+        self.get(key)
+        self.now[key] = value
+
+    def store(self) -> None:
+        for key, value in self.now.items():
+            if value == self.was[key]:
+                continue
+            if value is None:
+                self.state.removeKey((key,))
+            else:
+                self.state.updateValue((key,), value)
+        self.was, self.now = {}, {}
+
+
 class CommandFold(StatefulProcessor):
     """A session's decisions, entities, open group and dismissals as maps and values; writes come as ``commands.expanded`` makes them."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.decided = handle.getMapState("decided", "candidate_id string", "decision string, anchor string")
-        self.anchors = handle.getMapState("anchors", "anchor string", "number long, members long")
-        self.dismissed = handle.getMapState("dismissed", "proposal_id string", "seq long")
+        self.decided = _Held(handle.getMapState("decided", "candidate_id string", "decision string, anchor string"))
+        self.anchors = _Held(handle.getMapState("anchors", "anchor string", "number long, members long"))
+        self.dismissed = _Held(handle.getMapState("dismissed", "proposal_id string", "seq long"))
         self.opened = handle.getValueState("opened", "group_id string")
         self.minted = handle.getValueState("minted", "number long")
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         got = pd.concat(rows).sort_values(["seq", "item"], na_position="first").astype(object)
         got = got.where(got.notna(), None)
+        had = (self.opened.get()[0] if self.opened.exists() else None, self.minted.get()[0] if self.minted.exists() else 0)
+        self.open, self.number = had
         out: list[dict] = []
-        for seq, part in got.groupby("seq", sort=False):
-            first = part.iloc[0]
+        for seq, part in groupby(got.to_dict("records"), key=lambda w: w["seq"]):
+            part = list(part)
+            first = part[0]
             why = first["fault"] or self._stopped(first) or first["late"]
-            todo = part[part["item"].notna()].to_dict("records") if why is None else []
+            todo = [w for w in part if w["item"] is not None] if why is None else []
             done = [w for w in todo if w["known"] and self._written(w)]
             if why is None:
                 why = self._after(first, len(done))
             out += [{**w, "source": "imported" if w["write"] == "import" else "reviewer", "entity_id": self._entity(w)} for w in done if w["write"] != "reset"]
             out += [{**w, "decision": None, "replacement": None} for w in done if w["write"] == "reset"]
             out.append({"session_id": key[0], "seq": seq, "type": first["type"], "ok": why is None, "reason": why, "applied": len(done), "skipped": len(todo) - len(done) if why is None else 0})
-        yield pd.DataFrame(out, columns=_COLUMNS).astype({"item": "Int64", "applied": "Int64", "skipped": "Int64", "ok": "boolean"})
+        for state in (self.decided, self.anchors, self.dismissed):
+            state.store()
+        if self.open is None and had[0] is not None:
+            self.opened.clear()
+        elif self.open != had[0]:
+            self.opened.update((self.open,))
+        if self.number != had[1]:
+            self.minted.update((self.number,))
+        yield _plain(out, _COLUMNS).astype({"item": "Int64", "applied": "Int64", "skipped": "Int64", "ok": "boolean"})
 
-    def _stopped(self, c: pd.Series) -> str | None:
+    def _stopped(self, c: dict) -> str | None:
         if c["type"] == commands.RESTORE:
-            return None if self.dismissed.containsKey((c["proposal_id"],)) else commands.NOT_DISMISSED
-        return commands.stopped(c["type"], c["group_id"], self.opened.get()[0] if self.opened.exists() else None)
+            return None if self.dismissed.get(c["proposal_id"]) else commands.NOT_DISMISSED
+        return commands.stopped(c["type"], c["group_id"], self.open)
 
-    def _after(self, c: pd.Series, applied: int) -> str | None:
+    def _after(self, c: dict, applied: int) -> str | None:
         """State that a command changes beside its writes, or why it did nothing."""
         kind = c["type"]
         if kind == "enterNotQuite":
-            self.opened.update((c["group_id"],))
+            self.open = c["group_id"]
         elif kind == "exitNotQuite":
-            self.opened.clear()
+            self.open = None
         elif kind == commands.DISMISS:
-            self.dismissed.updateValue((c["proposal_id"],), (int(c["seq"]),))
+            self.dismissed.put(c["proposal_id"], (int(c["seq"]),))
         elif kind == commands.RESTORE:
-            self.dismissed.removeKey((c["proposal_id"],))
+            self.dismissed.put(c["proposal_id"], None)
         nothing = {commands.BULK: commands.NONE_EXIST, commands.RESET: commands.NONE_DECIDED}
         return None if applied else nothing.get(kind)
 
     def _written(self, w: dict) -> bool:
         """Applies a write, unless it is an import over a decision or a reset without one."""
-        id_ = (w["candidate_id"],)
-        had = self.decided.getValue(id_) if self.decided.containsKey(id_) else None
+        had = self.decided.get(w["candidate_id"])
         if (w["write"] == "import" and had) or (w["write"] == "reset" and not had):
             return False
         old = had[1] if had and had[0] != "Ignore" else None
@@ -81,33 +125,26 @@ class CommandFold(StatefulProcessor):
         if old != new:
             self._left(old)
             self._joined(new)
-        if w["write"] == "reset":
-            self.decided.removeKey(id_)
-        else:
-            self.decided.updateValue(id_, (w["decision"], w["anchor"]))
+        self.decided.put(w["candidate_id"], None if w["write"] == "reset" else (w["decision"], w["anchor"]))
         return True
 
     def _left(self, anchor: str | None) -> None:
         if anchor is None:
             return
-        number, members = self.anchors.getValue((anchor,))
-        if members > 1:
-            self.anchors.updateValue((anchor,), (number, members - 1))
-        else:
-            self.anchors.removeKey((anchor,))
+        number, members = self.anchors.get(anchor)
+        self.anchors.put(anchor, (number, members - 1) if members > 1 else None)
 
     def _joined(self, anchor: str | None) -> None:
         if anchor is None:
             return
-        if self.anchors.containsKey((anchor,)):
-            number, members = self.anchors.getValue((anchor,))
-        else:
-            number, members = (self.minted.get()[0] if self.minted.exists() else 0) + 1, 0
-            self.minted.update((number,))
-        self.anchors.updateValue((anchor,), (number, members + 1))
+        held = self.anchors.get(anchor)
+        if held is None:
+            self.number += 1
+            held = (self.number, 0)
+        self.anchors.put(anchor, (held[0], held[1] + 1))
 
     def _entity(self, w: dict) -> str | None:
-        return f"entity-{self.anchors.getValue((w['anchor'],))[0]}" if w["decision"] != "Ignore" else None
+        return f"entity-{self.anchors.get(w['anchor'])[0]}" if w["decision"] != "Ignore" else None
 
     def close(self) -> None:
         pass
@@ -171,7 +208,7 @@ class Retries(StatefulProcessor):
             self.pending.clear()
 
     def _rows(self, key: tuple, rows: list[tuple]) -> pd.DataFrame:
-        return pd.DataFrame([(key[0], *x) for x in rows], columns=[x.split()[0] for x in TRIES.split(", ")])
+        return _plain([(key[0], *x) for x in rows], [x.split()[0] for x in TRIES.split(", ")])
 
     def close(self) -> None:
         pass

@@ -217,6 +217,48 @@ def test_edges(spark):
     assert got == {1: (False, "no such candidate: "), 2: (True, None), 3: (False, commands.NO_BULK), 4: (False, "no such entity group: ")}
 
 
+def test_stream_of_a_session_whose_commands_all_fail(spark, tmp_path):
+    rows = [("A", n, "keepCandidate", "nobody", *[None] * 7) for n in range(3)]
+    spark.createDataFrame(rows, commands.COMMANDS).coalesce(1).write.parquet(str(tmp_path / "in"))
+    streamed.with_state_store(spark)
+    stream = spark.readStream.schema(commands.COMMANDS).parquet(str(tmp_path / "in"))
+    run = streamed.fold(stream, *context(spark)).writeStream.option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start(str(tmp_path / "out"), "parquet", "append")
+    run.awaitTermination()
+    got = spark.read.schema(streamed.OUT).parquet(str(tmp_path / "out")).collect()
+    assert sorted((r.seq, r.ok, r.reason, r.applied) for r in got) == [(n, False, "no such candidate: nobody", 0) for n in range(3)]
+
+
+def test_state_is_read_and_written_once_for_a_key():
+    class State(dict):
+        calls = 0
+
+        def containsKey(self, key):  # noqa: N802
+            return key in self
+
+        def getValue(self, key):  # noqa: N802
+            self.calls += 1
+            return self[key]
+
+        def updateValue(self, key, value):  # noqa: N802
+            self.calls += 1
+            self[key] = value
+
+        def removeKey(self, key):  # noqa: N802
+            self.calls += 1
+            del self[key]
+
+    state = State({("a",): ("x", 1), ("b",): ("y", 1)})
+    held = streamed._Held(state)
+    for n in range(9):
+        held.put("a", ("x", n))
+        held.put("b", None)
+        held.put("c", ("z", n))
+    held.put("d", ("w", 1))
+    held.put("d", None)
+    held.store()
+    assert state == {("a",): ("x", 8), ("c",): ("z", 8)} and state.calls == 5
+
+
 def test_retries_until_late_success_or_given_up(spark, tmp_path):
     t0 = datetime(2024, 1, 1)
     at = lambda minutes: t0 + timedelta(minutes=minutes)
