@@ -54,6 +54,21 @@ def test_near_forms_match_brute_force(spark):
     assert want and rows(got, "word", "form") == sorted(want)
 
 
+def test_near_forms_meet_by_what_is_left_of_them(spark):
+    pick = random.Random(11)
+    known = sorted({"st" + "".join(pick.choices("aeinrst", k=8)) + "en" for _ in range(600)})
+    asked = sorted({w[:5] + pick.choice("xyz") + w[5 + pick.randrange(2) :] for w in pick.sample(known, 60)} | {"q" * 9, "st" + "er" * 7, "st" + "er" * 6 + "n"})
+    words = spark.createDataFrame([(w,) for w in asked], "word string")
+    forms = spark.createDataFrame([(w,) for w in known], "form string")
+    left = words.select("word", F.explode(evidence._near_keys(F.col("word"), "a", "b", (-1, 0, 1))).alias("key"))
+    right = forms.select("form", F.explode(evidence._near_keys(F.col("form"), "b", "a", (0,))).alias("key"))
+    met = {tuple(r) for r in left.join(right, "key").select("word", "form").distinct().collect()}
+    inside = lambda a, b: a.startswith(b) or b.startswith(a) or a.endswith(b) or b.endswith(a)
+    near = {(a, b) for a in asked for b in known if abs(len(a) - len(b)) <= 1 and not inside(a, b) and SequenceMatcher(None, a, b).ratio() >= 0.9}
+    # all words begin and end alike and are as long: by that alone, all pairs would meet
+    assert near and near <= met and len(met) < 5 * len(asked)
+
+
 def test_reuse_tiers(spark):
     c = spark.createDataFrame([(1, "p:ann lee"), (1, "p:a. lee"), (1, "p:jonathan smithe"), (1, "p:zed"), (2, "p:x one"), (2, "p:x two"), (2, "p:x three")], "doc_id long, candidate_key string")
     m = spark.createDataFrame([(1, "g", "p:ann lee"), (1, "g", "p:a. lee"), (2, "h", "p:x one"), (2, "h", "p:x two"), (2, "h", "p:x three")], "doc_id long, group_id string, candidate_key string")
