@@ -29,6 +29,20 @@ def _kind(v: Column, field: str) -> Column:
     return F.schema_of_variant(F.try_variant_get(v, f"$.{field}", "variant"))
 
 
+def _object(v: Column, path: str) -> Column:
+    """Whether an object stands there, without the schema of all that it holds."""
+    return F.try_variant_get(v, path, "map<string,variant>").isNotNull()
+
+
+def _array(v: Column, path: str) -> Column:
+    return F.try_variant_get(v, path, "array<variant>").isNotNull()
+
+
+def _once(**columns: Column) -> Column:
+    """Columns that are computed once a row: a generator, as a plain column would be repeated in every filter and condition on it."""
+    return F.inline_outer(F.array(F.struct(*[c.alias(k) for k, c in columns.items()])))
+
+
 def _numeric(kind: Column) -> Column:
     return kind.rlike("^(BIGINT|DOUBLE|DECIMAL|FLOAT)")
 
@@ -36,8 +50,8 @@ def _numeric(kind: Column) -> Column:
 def judged(texts: DataFrame, steps: Mapping[int, Step] | None = None) -> DataFrame:
     """``texts(value)`` with ``session`` (the text of the current version), ``migrated`` and ``problem`` (null where it is whole)."""
     steps = STEPS if steps is None else steps
-    rows = texts.withColumn("v", F.try_parse_json("value")).withColumn("kind", F.schema_of_variant("v"))
-    shape = F.when(F.col("v").isNull(), "not valid JSON").when(~F.col("kind").rlike("^(OBJECT|ARRAY)"), "expected a JSON object")
+    rows = texts.select("*", _once(v=F.try_parse_json("value")))
+    shape = F.when(F.col("v").isNull(), "not valid JSON").when(~_object(F.col("v"), "$") & ~_array(F.col("v"), "$"), "expected a JSON object")
     number = F.when(_numeric(_kind(F.col("v"), "schemaVersion")), F.try_variant_get("v", "$.schemaVersion", "double"))
     # whole numbers are told without a fraction
     told = F.when(number == F.floor(number), F.floor(number).cast("string")).otherwise(number.cast("string"))
@@ -50,13 +64,16 @@ def judged(texts: DataFrame, steps: Mapping[int, Step] | None = None) -> DataFra
     for k in range(oldest, VERSION):
         if k in steps:  # a session climbs the steps from its own version on
             rows = rows.withColumn("session", F.when(F.col("version") <= k, steps[k](F.col("session"))).otherwise(F.col("session")))
-    s = F.try_parse_json("session")
+    # a text of the current version is parsed already
+    rows = rows.select("*", _once(s=F.when(F.col("version") < VERSION, F.try_parse_json("session")).otherwise(F.col("v"))))
+    s = F.col("s")
     checks = [F.when(~F.coalesce(_kind(s, f) == "STRING", F.lit(False)), f"missing or non-string required field: {f}") for f in STRINGS]
-    checks += [F.when(~F.coalesce(_kind(s, f).rlike("^OBJECT"), F.lit(False)), f"missing or malformed required field: {f}") for f in OBJECTS]
-    checks += [F.when(~F.coalesce(_kind(s, f).rlike("^ARRAY"), F.lit(False)), f"missing or malformed required field: {f}") for f in ARRAYS]
-    checks += [F.when(_kind(s, f).isNull(), f"missing required field: {f}") for f in PRESENT]
-    rows = rows.withColumn("problem", F.coalesce("problem", *checks))
-    return rows.select(*texts.columns, F.when(F.col("problem").isNull(), F.col("session")).alias("session"), F.coalesce(F.col("version") < VERSION, F.lit(False)).alias("migrated"), "problem")
+    checks += [F.when(~_object(s, f"$.{f}"), f"missing or malformed required field: {f}") for f in OBJECTS]
+    checks += [F.when(~_array(s, f"$.{f}"), f"missing or malformed required field: {f}") for f in ARRAYS]
+    checks += [F.when(F.try_variant_get(s, f"$.{f}", "variant").isNull(), f"missing required field: {f}") for f in PRESENT]
+    found = F.coalesce("problem", *checks)
+    out = rows.select(*texts.columns, "session", F.coalesce(F.col("version") < VERSION, F.lit(False)).alias("migrated"), _once(found=found))
+    return out.select(*texts.columns, F.when(F.col("found").isNull(), F.col("session")).alias("session"), "migrated", F.col("found").alias("problem"))
 
 
 def read_sessions(texts: DataFrame, steps: Mapping[int, Step] | None = None) -> tuple[DataFrame, DataFrame]:

@@ -176,3 +176,10 @@ def test_offsets_of_all_names_are_found_again(spark, sf):
     found = detect.occurrences(rows).filter(~F.col("context").rlike(r"^[^\[]*\[[^\]]*\[")).select("doc_id", "block_order", "context", F.col("start").alias("true_start"), F.col("start").alias("near"))
     got = evidence.reanchored(found, rows)
     assert got.count() == found.count() > 0 and got.filter("NOT (start <=> true_start)").count() == 0
+
+
+def test_sessions_are_parsed_once(spark):
+    good, _ = sessions.read_sessions(spark.createDataFrame([(session(),), ("[]",), ("7",), ("",), (None,)], "value string"))
+    plan = good._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert 1 <= plan.count("parsejson") <= 2  # of the text, and of what a step makes of an older one
+    assert good.count() == 1
