@@ -74,7 +74,8 @@ def sql_usage_report(spark, sf_dir):
 SELECT doc_id, word, row_number() OVER (PARTITION BY doc_id ORDER BY icu_sort_key(word, 'en'), word)::INT AS place, row_number() OVER (PARTITION BY doc_id ORDER BY encode(word))::INT AS binary_place FROM w""")
 def collated_words(spark, sf_dir):
     """Words of each document in the order of a language, beside that of their bytes."""
-    words = _t(spark, sf_dir, "documents").select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit("[A-Za-zÀ-ÖØ-öø-ÿ]+"), F.lit(0)))).alias("word")).distinct()
+    words = _t(spark, sf_dir, "documents").select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit("[A-Za-zÀ-ÖØ-öø-ÿ]+"), F.lit(0)))).alias("word"))
+    words = words.repartition("doc_id").distinct()  # dealt as the orders need it, so that words are shuffled once
     place = lambda *order: F.row_number().over(Window.partitionBy("doc_id").orderBy(*order))
     return words.select("doc_id", "word", place(*forms.collated("word")).alias("place"), place("word").alias("binary_place"))
 

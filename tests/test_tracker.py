@@ -101,3 +101,11 @@ def test_audit_report(spark):
     assert [(c["candidate_id"], c["display_value"], c["status"]) for c in told["candidates"]] == [("c1", "Ann", "resolved"), ("c2", 'B "o"', "resolved"), ("c3", None, "unresolved")]
     assert [g["decision"] for g in told["groups"]] == ["Confirmed", "Undecided"] and told["links"] == [{"candidate_id": "c2", "group_id": "g"}] and told["version"] == 1
     assert json.loads(t.report)["candidates"] == [] and json.loads(t.report)["file_name"] is None
+
+
+def test_collated_words_are_shuffled_once(spark, sf):
+    from lectern.plans import tracker as plans
+
+    plan = plans.collated_words(spark, sf)._jdf.queryExecution().sparkPlan().toString()
+    executed = plans.collated_words(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "Window" in plan and executed.count("Exchange hashpartitioning") == 1
