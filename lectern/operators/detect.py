@@ -2,19 +2,24 @@
 
 from __future__ import annotations
 
+from collections.abc import Collection
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions.text import ASCII_B, ID_END, ID_START, WORD_END, WORD_START, digits, matches, snippet, squeeze
+from lectern.sources.shared import written
 
 _UP, _LOW, _NAME = r"\p{Lu}", r"[\p{Ll}\p{M}]", r"[\p{L}\p{M}'’-]"
 EMAIL = rf"(?i){ASCII_B}[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{{2,}}{ASCII_B}"
 PHONE = rf"{ID_START}(?:\+?1[\s.-]?)?(?:\(?\d{{3}}\)?[\s.-]?)\d{{3}}[\s.-]?\d{{4}}{ID_END}"
 NINE_DIGITS = rf"{ID_START}\d{{9}}{ID_END}"
 LONG_ID = rf"{ID_START}\d(?:[\s-]?\d){{9,18}}{ID_END}"
-LAST_FIRST = rf"{WORD_START}{_UP}{_NAME}{{1,30}},\s+{_UP}{_NAME}{{1,30}}(?:\s+{_UP}{_NAME}{{1,30}})?{WORD_END}"
-SEQUENCE = rf"{WORD_START}(?:{_UP}{_LOW}{{1,30}})(?:\s+(?:{_UP}{_LOW}{{1,30}})){{1,5}}{WORD_END}"
-SINGLE = rf"{WORD_START}{_UP}{_NAME}{{2,30}}{WORD_END}"
+#: The capital is looked for first, as it fails sooner than what must not stand before it.
+_CAPITAL = rf"(?={_UP}){WORD_START}"
+LAST_FIRST = rf"{_CAPITAL}{_UP}{_NAME}{{1,30}},\s+{_UP}{_NAME}{{1,30}}(?:\s+{_UP}{_NAME}{{1,30}})?{WORD_END}"
+SEQUENCE = rf"{_CAPITAL}(?:{_UP}{_LOW}{{1,30}})(?:\s+(?:{_UP}{_LOW}{{1,30}})){{1,5}}{WORD_END}"
+SINGLE = rf"{_CAPITAL}{_UP}{_NAME}{{2,30}}{WORD_END}"
 DATE_LIKE = r"^(?:\d{1,2}[/-]\d{1,2}[/-]\d{2,4}|\d{4}[/-]\d{1,2}[/-]\d{1,2})$"
 #: Phrases that look like names and are not.
 STOP_PHRASES = ("Microsoft Teams", "Teams Meeting", "From Sent", "Subject Re", "Page Number", "Table Of")
@@ -39,7 +44,7 @@ def blocks(docs: DataFrame) -> DataFrame:
 
 def candidate_key(kind: Column, text: Column) -> Column:
     """``type:normal form``: digits of numbers, folded text of the others."""
-    numbers = kind.isin("phone", "cin", "long_numeric_id")
+    numbers = kind.isin(*_NUMBERS)
     return F.concat(kind, F.lit(":"), F.when(numbers, digits(text)).otherwise(F.lower(squeeze(text))))
 
 
@@ -51,20 +56,30 @@ def _kept(kind: Column, text: Column, block: Column, start: Column, end: Column)
     return F.when(kind == "phone", number).when(kind == "long_numeric_id", number & (F.length(digits(text)) >= 10)).when(kind == "person", person).otherwise(True)
 
 
-def occurrences(block_rows: DataFrame) -> DataFrame:
-    """Every match of every detector: one pass over the blocks, one array of matches for each."""
-    # cheap tests spare most blocks the patterns that can't match them
-    likely = {EMAIL: F.col("text").contains("@"), LAST_FIRST: F.col("text").contains(","), SEQUENCE: F.lit(True)}
+#: Types whose matches are made of digits.
+_NUMBERS = ("phone", "cin", "long_numeric_id")
+
+
+def occurrences(block_rows: DataFrame, kinds: Collection[str] | None = None) -> DataFrame:
+    """Every match of every detector, or of those of ``kinds``: one pass over the blocks, one array of matches for each."""
+    # cheap tests spare most blocks the patterns that can't match them; numbers share theirs
+    likely = {EMAIL: F.col("text").contains("@"), LAST_FIRST: F.col("text").contains(",")}
     none = F.expr("cast(array() as array<struct<start:int,end:int,text:string>>)")
 
     def told(kind: str, pattern: str, confidence: str, rank: int) -> Column:
-        seen = likely.get(pattern, F.col("text").rlike("[0-9][^A-Za-z]*[0-9][^A-Za-z]*[0-9]"))
-        return F.transform(F.when(seen, matches(F.col("text"), pattern)).otherwise(none), lambda m: F.named_struct(
+        found = matches(F.col("text"), pattern)
+        return F.transform(F.when(likely[pattern], found).otherwise(none) if pattern in likely else found, lambda m: F.named_struct(
             F.lit("detected_type"), F.lit(kind), F.lit("confidence"), F.lit(confidence), F.lit("rank"), F.lit(rank),
             F.lit("start"), m["start"], F.lit("end"), m["end"], F.lit("match"), m["text"],
         ))
 
-    found = F.flatten(F.array(*[told(*d) for d in DETECTORS]))
+    wanted = [d for d in DETECTORS if kinds is None or d[0] in kinds]
+    numbers, others = ([told(*d) for d in wanted if (d[0] in _NUMBERS) == n] for n in (True, False))
+    if numbers:
+        shape = "array<struct<detected_type:string,confidence:string,rank:int,start:int,end:int,match:string>>"
+        several = F.col("text").rlike("[0-9][^A-Za-z]*[0-9][^A-Za-z]*[0-9]")
+        others.append(F.when(several, F.flatten(F.array(*numbers))).otherwise(F.expr(f"cast(array() as {shape})")))
+    found = F.flatten(F.array(*others))
     rows = block_rows.select("doc_id", "block_order", "text", F.explode(found).alias("m"))
     good = rows.filter(_kept(F.col("m.detected_type"), F.col("m.match"), F.col("text"), F.col("m.start"), F.col("m.end")))
     return good.select(
@@ -100,7 +115,11 @@ def single_names(block_rows: DataFrame, least: int = 2) -> DataFrame:
 
 
 def numbered(found: DataFrame) -> DataFrame:
-    """Occurrences with their ordinal inside the candidate, and a placeholder numbered per type in order of first occurrence."""
+    """Occurrences with their ordinal inside the candidate, and a placeholder numbered per type in order of first occurrence.
+
+    They are written to the shared folder, as they are read for both numbers.
+    """
+    found, _ = written(found)
     order = F.struct("block_order", "start", "rank")
     one = Window.partitionBy("doc_id", "candidate_key").orderBy("block_order", "start", "rank")
     firsts = found.groupBy("doc_id", "detected_type", "candidate_key").agg(F.min(order).alias("first"))
