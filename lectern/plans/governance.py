@@ -28,7 +28,7 @@ def evidence_histogram(spark, sf_dir):
 def redacted_text(spark, sf_dir):
     """All blocks after replacing every occurrence by its placeholder."""
     rows = detect.blocks(_docs(spark, sf_dir))
-    return redact.redacted(rows, detect.numbered(detect.occurrences(rows)))
+    return redact.redacted(rows, detect.numbered(detect.occurrences(rows).drop("context", "match")))
 
 
 @query(r"""
