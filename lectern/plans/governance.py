@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from lectern.operators import corpus, detect, quality, redact
 from lectern.plans.catalog import query
-from lectern.sources.shared import spread
+from lectern.sources.shared import spread, written
 
 
 def _docs(spark, sf_dir):
@@ -38,10 +38,10 @@ SELECT doc_id, block_order::BIGINT AS block_order, match, (len(string_split(line
 """)
 def residual_scan(spark, sf_dir):
     """E-mail addresses that the blocks hold, and how often, when nothing has been redacted."""
-    rows = detect.blocks(_docs(spark, sf_dir))
-    found = detect.occurrences(rows).filter("detected_type = 'email'")
-    left = redact.residue(rows, found.select("doc_id", "match")).join(found.select("doc_id", "block_order", "match").distinct(), ["doc_id", "block_order", "match"])
-    met = left.join(rows, ["doc_id", "block_order"])
+    rows, keys = detect.blocks(_docs(spark, sf_dir)), ["doc_id", "block_order"]
+    found, _ = written(detect.occurrences(rows, ("email",)).select(*keys, "match").distinct())
+    held, _ = written(rows.join(found.select(*keys).distinct(), keys, "left_semi"))  # only these can hold one
+    met = redact.residue(held, found).join(found, [*keys, "match"]).join(held, keys)
     return met.select("doc_id", F.col("block_order").cast("long").alias("block_order"), "match", (F.size(F.split("text", F.concat(F.lit("\\Q"), "match", F.lit("\\E")), -1)) - 1).cast("long").alias("n"))
 
 

@@ -32,3 +32,23 @@ def test_numbered_detects_once(spark):
     assert sorted((r.doc_id, r.match, r.ordinal, r.placeholder) for r in found.filter("detected_type = 'person'").collect()) == [
         (1, "Berg, Anna", 1, "[PERSON 002]"), (1, "Mail Anna Berg", 1, "[PERSON 001]"), (2, "Anna Berg", 1, "[PERSON 001]"), (2, "Anna Berg", 2, "[PERSON 001]"),
     ]
+
+
+def test_residual_scan_seeks_addresses_alone(spark, tmp_path):
+    """residual_scan: only the detector of addresses runs, and once."""
+    kinds = {r.detected_type for r in detect.occurrences(_blocks(spark), ("email",)).collect()}
+    assert kinds == {"email"}
+    spark.createDataFrame(TEXTS, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = queries()["residual_scan"](spark, str(tmp_path))
+    assert "regexp_extract_all" not in _plan(got)
+    assert sorted(map(tuple, got.collect())) == [(1, 0, "a.b@example.com", 1), (1, 0, "c@x.org", 1), (1, 1, "a.b@example.com", 1), (2, 1, "x@y.zz", 1)]
+
+
+def test_person_groups_detects_people_once(spark, tmp_path):
+    """person_groups: groups and members come from one table of people."""
+    spark.createDataFrame([(1, "we met Anna Berg, then Anton Berg\nand Anna Lind at 555-123-4567")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = queries()["person_groups"](spark, str(tmp_path))
+    assert "regexp_extract_all" not in _plan(got)
+    assert sorted((r.doc_id, r.group_id, r.canonical_name, r.candidate_key) for r in got.collect()) == [
+        (1, "person:berg:a", "Anton Berg", "person:anna berg"), (1, "person:berg:a", "Anton Berg", "person:anton berg"),
+    ]
