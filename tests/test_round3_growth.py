@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from __spark_entry__ import queries
 from lectern.functions.text import matches
-from lectern.operators import detect
+from lectern.operators import corpus, detect
 
 TEXTS = [(1, "Mail Anna Berg at a.b@example.com, c@x.org\nor a.b@example.com; Berg, Anna 555-123-4567\n\nnothing here"), (2, "Anna Berg and Anna Berg, 123456789\nx@y.zz"), (3, None), (4, "")]
 
@@ -52,3 +52,13 @@ def test_person_groups_detects_people_once(spark, tmp_path):
     assert sorted((r.doc_id, r.group_id, r.canonical_name, r.candidate_key) for r in got.collect()) == [
         (1, "person:berg:a", "Anton Berg", "person:anna berg"), (1, "person:berg:a", "Anton Berg", "person:anton berg"),
     ]
+
+
+def test_items_come_from_one_pass(spark):
+    """doc_clusters: the texts are read once for items of all kinds, which start where words do."""
+    docs = spark.createDataFrame([(1, "xABC ABC _ABC ABC-12 ABC éABC; Order no. QX-77 reorder 1234 a@b.com\nGreen Bay Trust mGreen Bay"), (2, None)], "doc_id long, text string")
+    got = corpus.items(docs)
+    assert _plan(got).count("Generate") == 1
+    assert sorted((r.kind, r.item) for r in got.collect()) == [
+        ("acronym", "ABC"), ("distinctive_term", "Green Bay Trust"), ("email_domain", "b.com"), ("identifier", "ABC-12"), ("identifier", "QX-77"), ("organization", "Green Bay Trust"),
+    ]
