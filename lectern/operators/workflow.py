@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from lectern.operators.evidence import could_reach
 from lectern.operators.resolve import ratio
+from lectern.sources.shared import written
 
 #: Decisions from the strongest to the weakest.
 PRECEDENCE = ("Redact", "Rename", "Keep", "Ignore")
@@ -202,15 +203,19 @@ def reuse(candidates: DataFrame, members: DataFrame, known: DataFrame) -> DataFr
     """
     keys = ["doc_id", "candidate_key"]
     known = known.filter("decision <> 'Undecided'").select("candidate_key", "decision", F.coalesce("replacement", F.lit("")).alias("replacement"))
-    exact = candidates.select(*keys).distinct().join(known, "candidate_key").select(*keys, "decision", "replacement", F.col("candidate_key").alias("source_key"))
+    # what several tiers read is written once
+    known, _ = written(known)
+    exact, _ = written(candidates.select(*keys).distinct().join(known, "candidate_key").select(*keys, "decision", "replacement", F.col("candidate_key").alias("source_key")))
     agreed = members.join(exact, keys).groupBy("doc_id", "group_id").agg(
         F.count_distinct(F.struct("decision", "replacement")).alias("n"), F.min(F.struct("source_key", "decision", "replacement")).alias("s")
     ).filter("n = 1")
-    rest = candidates.select(*keys).distinct().join(exact, keys, "left_anti")
+    rest, _ = written(candidates.select(*keys).distinct().join(exact, keys, "left_anti"))
     alias = rest.join(members, keys).join(agreed, ["doc_id", "group_id"]).groupBy(*keys).agg(F.min("s").alias("s")).select(*keys, "s.decision", "s.replacement", "s.source_key")
-    rest = rest.join(alias, keys, "left_anti")
+    alias, _ = written(alias)
+    rest, _ = written(rest.join(alias, keys, "left_anti"))
+    wanted, _ = written(rest.select("candidate_key").distinct())
     tier = lambda df, name, sure: df.withColumn("tier", F.lit(name)).withColumn("confidence", sure)
-    like = rest.join(similar_keys(rest.select("candidate_key").distinct(), known), "candidate_key")
+    like = rest.join(similar_keys(wanted, known), "candidate_key")
     return (
         tier(exact, "exact-key", F.lit(100)).unionByName(tier(alias, "grouped-alias", F.lit(90)))
         .unionByName(tier(like, "similarity-threshold", F.floor(F.col("ratio") * 100 + 0.5).cast("int")).drop("ratio"))

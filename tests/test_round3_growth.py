@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from __spark_entry__ import queries
 from lectern.functions.text import matches
-from lectern.operators import corpus, detect, scores
+from lectern.operators import corpus, detect, scores, workflow
 
 TEXTS = [(1, "Mail Anna Berg at a.b@example.com, c@x.org\nor a.b@example.com; Berg, Anna 555-123-4567\n\nnothing here"), (2, "Anna Berg and Anna Berg, 123456789\nx@y.zz"), (3, None), (4, "")]
 
@@ -73,3 +73,15 @@ def test_shared_words_count_a_value_once(spark):
         ("0", 3, "red", 2, "token_recurrence,head_noun_paradigm"), ("1", 3, "red", 2, "token_recurrence,head_noun_paradigm"),
         ("2", 3, "red", 2, "token_recurrence,head_noun_paradigm"), ("3", 3, "red", 1, "token_recurrence"),
     ]
+
+
+def test_reuse_reads_its_tables_once(spark):
+    """decision_reuse: the tiers share what they read; the plan doesn't go back to the candidates."""
+    c = spark.createDataFrame([(1, "person:anna maria berg"), (1, "person:a. berg"), (2, "person:anna maria bergh"), (3, "person:other")], "doc_id long, candidate_key string")
+    members = spark.createDataFrame([(1, "g", "person:anna maria berg"), (1, "g", "person:a. berg")], "doc_id long, group_id string, candidate_key string")
+    known = spark.createDataFrame([("person:anna maria berg", "Redact", None), ("person:other", "Undecided", None)], "candidate_key string, decision string, replacement string")
+    got = workflow.reuse(c, members, known)
+    assert "LogicalRDD" not in _plan(got)
+    assert sorted((r.doc_id, r.candidate_key, r.tier, r.decision, r.confidence) for r in got.collect()) == [
+        (1, "person:a. berg", "grouped-alias", "Redact", 90), (1, "person:anna maria berg", "exact-key", "Redact", 100), (2, "person:anna maria bergh", "similarity-threshold", "Redact", 97),
+    ]
