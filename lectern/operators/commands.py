@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lectern.sources.shared import written
+
 # Kinds of commands, by what they do.
 SINGLE = {"keepCandidate": "Keep", "renameCandidate": "Rename", "redactCandidate": "Redact", "ignoreCandidate": "Ignore"}
 GROUP = {"confirmGroup": "Keep", "redactGroup": "Redact", "ignoreGroup": "Ignore", "flattenGroup": "Rename"}
@@ -61,35 +63,45 @@ def expanded(commands: DataFrame, candidates: DataFrame, groups: DataFrame, opti
     open group stops it first.  Works on streams of commands as well.
     """
     held = groups.select(F.col("session_id").alias("gs"), F.col("group_id").alias("g"), "canonical_name", "members")
-    offered = options.select(F.col("session_id").alias("os"), F.col("candidate_id").alias("o"), "group_ids")
-    c = commands.join(held, [F.col("session_id") == F.col("gs"), F.col("group_id") == F.col("g")], "left")
-    c = c.join(offered, [F.col("session_id") == F.col("os"), F.col("candidate_id") == F.col("o")], "left")
-    text, flat = (F.regexp_replace(x, r"(?U)^\s+|\s+$", "") for x in ("replacement", "canonical_name"))
+    trimmed = lambda x: F.regexp_replace(x, r"(?U)^\s+|\s+$", "")
     wants = F.when(_in(SINGLE), _mapped(SINGLE)).when(_in(GROUP), _mapped(GROUP)).when(F.col("type") == LINK, "Keep").otherwise(F.col("decision"))
-    put = F.when(F.col("type") == "flattenGroup", flat).when(wants.isin("Rename", "Redact"), text)
+    empty = F.size(F.coalesce("candidate_ids", F.array().cast("array<string>"))) == 0
+    # a command takes along only what its kind reads
+    c = commands.select(
+        "session_id", "seq", "type", "candidate_id", "group_id", "proposal_id", wants.alias("wants"), F.when(wants.isin("Rename", "Redact"), trimmed("replacement")).alias("text"), empty.alias("empty"),
+        F.when(_in([BULK, RESET]), F.col("candidate_ids")).when(F.col("type") == RESTORE, F.col("reset_ids")).alias("ids"), F.when(F.col("type") == IMPORT, F.col("proposals")).alias("proposals"),
+    )
+    c = c.join(held, [F.col("session_id") == F.col("gs"), F.col("group_id") == F.col("g")], "left")
+    wants, text, flat = F.col("wants"), F.col("text"), F.col("flat")
+    # columns, so that they aren't worked out anew for each write
+    c = c.withColumn("flat", F.when(F.col("type") == "flattenGroup", trimmed("canonical_name"))).withColumn("put", F.when(F.col("type") == "flattenGroup", flat).otherwise(text))
+    put = F.col("put")
     blank = F.when(F.col("type") == "flattenGroup", F.coalesce(flat, F.lit("")) == "").when(_in([*SINGLE, *GROUP, MEMBER, BULK]), ((wants == "Rename") & (F.coalesce(text, F.lit("")) == "")) | ((wants == "Redact") & (text == "")))
     one = lambda id_, decision, replacement: F.struct(id_.alias("candidate_id"), decision.alias("decision"), replacement.alias("replacement"))
     many = lambda ids: F.transform(ids, lambda x: one(x, wants, put))
     none = F.lit(None).cast("array<struct<candidate_id:string,decision:string,replacement:string>>")
     writes = (
         F.when(_in([*SINGLE, MEMBER, LINK]), F.array(one(F.col("candidate_id"), wants, put))).when(_in(GROUP), many(F.col("members")))
-        .when(_in([BULK, RESET]), many(F.col("candidate_ids"))).when(F.col("type") == RESTORE, many(F.col("reset_ids"))).when(F.col("type") == IMPORT, F.col("proposals")).otherwise(none)
+        .when(_in([BULK, RESET, RESTORE]), many(F.col("ids"))).when(F.col("type") == IMPORT, F.col("proposals")).otherwise(none)
     )
-    empty = F.size(F.coalesce("candidate_ids", F.array().cast("array<string>"))) == 0
     no_group = F.concat(F.lit("no such entity group: "), F.coalesce("group_id", F.lit("")))
     fault = (
-        F.when(_in([*GROUP, "enterNotQuite"]) & F.col("g").isNull(), no_group).when((F.col("type") == BULK) & empty, NO_BULK).when((F.col("type") == RESET) & empty, NO_RESET)
-        .when((F.col("type") == DISMISS) & empty, NO_DISMISS).when((F.col("type") == RESTORE) & empty, NO_RESTORE)
+        F.when(_in([*GROUP, "enterNotQuite"]) & F.col("g").isNull(), no_group).when((F.col("type") == BULK) & F.col("empty"), NO_BULK).when((F.col("type") == RESET) & F.col("empty"), NO_RESET)
+        .when((F.col("type") == DISMISS) & F.col("empty"), NO_DISMISS).when((F.col("type") == RESTORE) & F.col("empty"), NO_RESTORE)
     )
     id_ = F.coalesce("candidate_id", F.lit(""))
     outside = (F.col("type") == MEMBER) & ~F.coalesce(F.array_contains("members", F.col("candidate_id")), F.lit(False))
-    late = F.when(outside, F.concat(id_, F.lit(" is not a member of Not Quite group "), "group_id")).when(F.col("absent"), F.concat(F.lit("no such candidate: "), id_)).when(
+    late = F.when(F.col("outside"), F.concat(id_, F.lit(" is not a member of Not Quite group "), "group_id")).when(F.col("absent"), F.concat(F.lit("no such candidate: "), id_)).when(
         (F.col("type") == LINK) & F.col("o").isNull(), F.concat(id_, F.lit(" is not a currently-proposed ambiguity"))
     ).when(
         (F.col("type") == LINK) & ~F.array_contains("group_ids", F.col("group_id")), F.concat("group_id", F.lit(" is not one of "), id_, F.lit("'s proposed entity options"))
-    ).when(blank, F.when((F.col("type") == "flattenGroup"), F.concat(F.lit("group "), "group_id", F.lit("'s canonical name is blank; cannot flatten"))).otherwise(BLANK))
-    rows = c.withColumn("fault", fault).select("*", F.posexplode_outer(writes).alias("item", "w")).withColumn("to", F.col("w.candidate_id"))
-    known = candidates.select(F.col("session_id").alias("s"), F.col("candidate_id").alias("k"))
+    ).when(F.col("blank"), F.when((F.col("type") == "flattenGroup"), F.concat(F.lit("group "), "group_id", F.lit("'s canonical name is blank; cannot flatten"))).otherwise(BLANK))
+    # what a group's members and name decide is decided before the writes are dealt, which would else carry them
+    judged = c.select("session_id", "seq", "type", "candidate_id", "group_id", "proposal_id", fault.alias("fault"), outside.alias("outside"), blank.alias("blank"), F.posexplode_outer(writes).alias("item", "w"))
+    rows = judged.withColumn("to", F.col("w.candidate_id"))
+    # a link writes to its own candidate, so options are looked up where candidates are
+    offered = options.select(F.col("session_id").alias("os"), F.col("candidate_id").alias("o"), "group_ids")
+    known = candidates.select(F.col("session_id").alias("s"), F.col("candidate_id").alias("k")).join(offered, [F.col("s") == F.col("os"), F.col("k") == F.col("o")], "left")
     rows = rows.join(known, [F.col("session_id") == F.col("s"), F.col("to") == F.col("k")], "left")
     rows = rows.withColumn("absent", _in([*SINGLE, MEMBER, LINK]) & F.col("k").isNull()).withColumn("late", late)
     write = F.when(_in([RESET, RESTORE]), "reset").when(F.col("type") == IMPORT, "import").otherwise("set")
@@ -140,8 +152,10 @@ def writes(rows: DataFrame) -> DataFrame:
     A set is always applied, an import only where the candidate has no
     decision, a reset only where it has one; unknown candidates are skipped.
     After a set or an import there is a decision, after a reset there is none,
-    so the write before tells.  So it does for dismissed proposals.
+    so the write before tells.  So it does for dismissed proposals.  The rows
+    are written to the shared folder, as they are read for all of these.
     """
+    rows, _ = written(rows)
     heads = rows.filter("item IS NULL OR item = 0")
     dismissed = F.lag("type").over(Window.partitionBy("session_id", "proposal_id").orderBy("seq"))
     restored = heads.filter(_in([DISMISS, RESTORE]) & F.col("fault").isNull()).select("session_id", "seq", "type", dismissed.alias("before"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lectern.operators import commands
 from lectern.plans.catalog import query
-from lectern.sources.shared import scratch
+from lectern.sources.shared import scratch, written
 from lectern.streaming import commands as streamed
 
 _KINDS = [*commands.SINGLE, *commands.GROUP, *commands.OPENED, commands.IMPORT, commands.BULK, commands.RESET, commands.LINK, commands.ACCEPTED, commands.DISMISS, commands.RESTORE]
@@ -33,20 +33,26 @@ def _commands(events):
     )
 
 
-def _context(spark, sf_dir):
-    rank = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))
+def _candidates(spark, sf_dir):
+    """Orders as the candidates of their customer's session; written, as much is derived from them."""
     c = _t(spark, sf_dir, "orders").select(
-        F.col("o_custkey").cast("string").alias("session_id"), rank.alias("rank"), F.concat(F.col("o_custkey").cast("string"), F.lit(":"), rank.cast("string")).alias("candidate_id"),
-        F.concat(F.lit("p"), F.substring("o_orderpriority", 1, 1)).alias("group_id"), F.when(F.col("o_orderpriority").startswith("3"), " ").otherwise(F.col("o_orderpriority")).alias("canonical_name"), "o_totalprice",
+        F.col("o_custkey").cast("string").alias("session_id"), "o_orderkey", F.concat(F.lit("p"), F.substring("o_orderpriority", 1, 1)).alias("group_id"),
+        F.when(F.col("o_orderpriority").startswith("3"), " ").otherwise(F.col("o_orderpriority")).alias("canonical_name"), "o_totalprice",
     )
+    c = c.withColumn("rank", F.row_number().over(Window.partitionBy("session_id").orderBy("o_orderkey")))
+    return written(c.withColumn("candidate_id", F.concat("session_id", F.lit(":"), F.col("rank").cast("string"))))[0]
+
+
+def _context(c):
     groups = c.groupBy("session_id", "group_id").agg(F.min("canonical_name").alias("canonical_name"), F.array_sort(F.collect_list(F.struct("rank", "candidate_id"))).alias("m"))
     groups = groups.withColumn("members", F.transform("m", lambda x: x["candidate_id"])).drop("m")
+    groups, _ = written(groups)  # read for commands and for options
     of = groups.groupBy("session_id").agg(F.collect_list("group_id").alias("group_ids"))
     return c.select("session_id", "candidate_id"), groups, c.filter("o_totalprice > 250000").select("session_id", "candidate_id").join(of, "session_id")
 
 
-def _done(spark, sf_dir):
-    return commands.writes(commands.expanded(_commands(_t(spark, sf_dir, "events")), *_context(spark, sf_dir)))
+def _done(spark, sf_dir, context=None):
+    return commands.writes(commands.expanded(_commands(_t(spark, sf_dir, "events")), *(context or _context(_candidates(spark, sf_dir)))))
 
 
 _LIST = lambda kinds: "(" + ", ".join(f"'{k}'" for k in kinds) + ")"
@@ -125,7 +131,7 @@ def review_command_stream(spark, sf_dir):
     events = _t(spark, sf_dir, "events")
     stream = spark.readStream.schema(events.schema).parquet(f"{sf_dir}/events.parquet*")  # a pattern, as a stream's plain path has to be a folder
     at = scratch(spark)
-    run = streamed.fold(_commands(stream), *_context(spark, sf_dir)).writeStream.option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start(f"{at}/out", "parquet", "append")
+    run = streamed.fold(_commands(stream), *_context(_candidates(spark, sf_dir))).writeStream.option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start(f"{at}/out", "parquet", "append")
     run.awaitTermination()
     return spark.read.schema(streamed.OUT).parquet(f"{at}/out").filter("item IS NULL").select("session_id", "seq", "type", "ok", "reason", "applied", "skipped")
 

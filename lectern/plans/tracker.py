@@ -8,23 +8,21 @@ from pyspark.sql import functions as F
 from lectern.functions import forms, sql
 from lectern.operators import commands, tracker
 from lectern.plans.catalog import query
-from lectern.plans.commands import _SQL, _context, _done, _t
+from lectern.plans.commands import _SQL, _candidates, _context, _done, _t
 from lectern.sources import reports
 from lectern.sources.shared import written
 
 
-def _covered(spark, sf_dir):
+def _covered(spark, sf_dir, c):
     """Lines of a candidate's order as its occurrences."""
-    rank = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))
-    o = _t(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").cast("string").alias("session_id"), F.concat(F.col("o_custkey").cast("string"), F.lit(":"), rank.cast("string")).alias("candidate_id"))
     n = _t(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count("*").alias("n"))
-    return o.join(n, "o_orderkey", "left").select("session_id", "candidate_id", F.coalesce("n", F.lit(0)).alias("n"))
+    return c.select("o_orderkey", "session_id", "candidate_id").join(n, "o_orderkey", "left").select("session_id", "candidate_id", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-def _figures(spark, sf_dir):
-    done, _ = written(_done(spark, sf_dir))  # read for gestures, results, decisions and pace
+def _figures(spark, sf_dir, c, covered):
+    done, _ = written(_done(spark, sf_dir, _context(c)))  # read for gestures, results, decisions and pace
     times = _t(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("session_id"), F.col("event_id").alias("seq"), F.timestamp_micros(F.col("event_id") * 100_000).alias("ts"))
-    return done, tracker.figures(done, _covered(spark, sf_dir), commands.decisions(done).select("session_id", "candidate_id"), times)
+    return done, tracker.figures(done, covered, commands.decisions(done).select("session_id", "candidate_id"), times)
 
 
 _BATCH = "('" + "', '".join(tracker.BATCHES) + "')"
@@ -42,7 +40,8 @@ t AS (SELECT *, avoided * pace AS total, [floor(total / 60 * 10 + 0.5) / 10, flo
   CASE WHEN avoided > 0 AND pace IS NOT NULL THEN CASE WHEN v[1] < 60 THEN v[1] WHEN v[2] < 24 THEN v[2] ELSE v[3] END END AS saved, CASE WHEN avoided > 0 AND pace IS NOT NULL THEN CASE WHEN v[1] < 60 THEN 'minutes' WHEN v[2] < 24 THEN 'hours' ELSE 'days' END END AS unit FROM t""")
 def decision_tracker(spark, sf_dir):
     """Gestures, occurrences covered and avoided, and time, for every session of commands."""
-    return _figures(spark, sf_dir)[1]
+    c = _candidates(spark, sf_dir)
+    return _figures(spark, sf_dir, c, _covered(spark, sf_dir, c))[1]
 
 
 @query(f"""{_FIGURES}, size AS (SELECT session_id, count(*) AS items, sum(n)::BIGINT AS occurrences FROM n GROUP BY 1), c AS (SELECT session_id, count(*) FILTER (decision = 'Rename') AS change_count, count(*) FILTER (decision = 'Ignore') AS ignore_count, count(*) FILTER (decision = 'Keep') AS keep_count,
@@ -51,8 +50,10 @@ SELECT session_id, coalesce(change_count, 0) AS change_count, coalesce(ignore_co
   items AS review_item_count, occurrences AS occurrence_count, CASE WHEN coalesce(decided, 0) >= items THEN 'completed' ELSE 'incomplete' END AS completion_status FROM f JOIN size USING (session_id) LEFT JOIN c USING (session_id)""")
 def usage_payloads(spark, sf_dir):
     """The usage report that each session of commands sends."""
-    done, found = _figures(spark, sf_dir)
-    sizes = _covered(spark, sf_dir).groupBy("session_id").agg(F.count("*").alias("items"), F.sum("n").alias("occurrences"))
+    c = _candidates(spark, sf_dir)
+    covered, _ = written(_covered(spark, sf_dir, c))  # read for what is covered and for sizes
+    done, found = _figures(spark, sf_dir, c, covered)
+    sizes = covered.groupBy("session_id").agg(F.count("*").alias("items"), F.sum("n").alias("occurrences"))
     return tracker.payloads(done, sizes, found)
 
 
@@ -92,14 +93,14 @@ SELECT c_custkey::VARCHAR AS session_id, coalesce(total, 0) AS total, coalesce(k
 FROM customer LEFT JOIN l ON l.session_id = c_custkey::VARCHAR LEFT JOIN g ON g.session_id = c_custkey::VARCHAR""")
 def audit_reports(spark, sf_dir):
     """The complete report of every customer's session of commands; first candidate and groups are read back from its JSON."""
-    done, _ = written(_done(spark, sf_dir))
-    known, groups, _ = _context(spark, sf_dir)
+    known, groups, options = _context(_candidates(spark, sf_dir))
+    done, _ = written(_done(spark, sf_dir, (known, groups, options)))
     c, id_ = _t(spark, sf_dir, "customer"), F.col("c_custkey").cast("string")
     sessions = c.select(id_.alias("session_id"), F.concat(F.lit("doc"), id_).alias("doc_id"), F.col("c_name").alias("file_name"), F.lit("2026-01-01").alias("created_at"), F.lit("2026-02-01").alias("updated_at"))
     checks = c.filter("c_custkey % 5 < 3").select(id_.alias("session_id"), F.concat(F.when(F.col("c_custkey") % 5 == 2, "other").otherwise("doc"), id_).alias("doc_id"), (F.col("c_custkey") % 5 == 0).alias("passed"), F.lit(0).alias("problems"))
     shown = known.select("session_id", "candidate_id", F.lit("order").alias("detected_type"), F.col("candidate_id").alias("display_value"), F.lit(1).alias("n_occurrences"))
     found = reports.audit_report(sessions, shown, commands.decisions(done), groups, commands.group_decisions(done), commands.links(done), checks)
-    return found.select(
-        "session_id", "total", "keep", "rename", "redact", "ignore", "undecided", "unresolved", "groups_decided", "passed", "mismatched", "ready", "outstanding", F.get_json_object("report", "$.candidates[0].candidate_id").alias("first_candidate"),
-        F.get_json_object("report", "$.candidates[0].decision").alias("first_decision"), F.size(F.from_json(F.get_json_object("report", "$.groups"), "array<struct<group_id:string>>")).alias("n_groups"),
+    read = F.from_json("report", "candidates array<struct<candidate_id:string,decision:string>>, groups array<struct<group_id:string>>")
+    return found.withColumn("read", read).withColumn("first", F.get("read.candidates", F.lit(0))).select(
+        "session_id", "total", "keep", "rename", "redact", "ignore", "undecided", "unresolved", "groups_decided", "passed", "mismatched", "ready", "outstanding", F.col("first.candidate_id").alias("first_candidate"), F.col("first.decision").alias("first_decision"), F.size("read.groups").alias("n_groups"),
     )
