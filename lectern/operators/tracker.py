@@ -20,7 +20,7 @@ def credited(done: DataFrame) -> DataFrame:
     made = done.filter(F.col("applied") & (F.col("write") != "reset"))
     batch = F.col("type").isin(*BATCHES)
     each = made.select("session_id", F.col("seq").alias("s"), F.col("item").alias("i"), F.when(batch, "batched").otherwise("decided").alias("kind"), F.col("candidate_id").alias("candidate_key"))
-    ends = commands.results(done).filter(F.col("ok") & batch).select("session_id", F.col("seq").alias("s"), F.lit(2**31 - 1).alias("i"), F.lit("anchor").alias("kind"), F.lit(None).cast("string").alias("candidate_key"))
+    ends = commands.results(done.filter(batch)).filter("ok").select("session_id", F.col("seq").alias("s"), F.lit(2**31 - 1).alias("i"), F.lit("anchor").alias("kind"), F.lit(None).cast("string").alias("candidate_key"))
     # one number for each event: commands in order, and inside a command its writes before its end
     return each.unionByName(ends).select("session_id", (F.col("s") * F.lit(1 << 32) + F.col("i")).alias("seq"), "kind", "candidate_key")
 
@@ -33,7 +33,7 @@ def figures(done: DataFrame, occurrences: DataFrame, resolved: DataFrame, times:
     that first settled a candidate that is resolved now; the pace is the median
     time between decisions taken one by one.
     """
-    made = workflow.gestures(credited(done), resolved.withColumnRenamed("candidate_id", "candidate_key"))
+    made = workflow.settling(credited(done), resolved.withColumnRenamed("candidate_id", "candidate_key"))
     covered = resolved.distinct().join(occurrences, ["session_id", "candidate_id"]).groupBy("session_id").agg(F.sum("n").alias("covered"))
     single = done.filter(F.col("applied") & (F.col("write") == "set") & ~F.col("type").isin(*BATCHES)).select("session_id", "seq").join(times, ["session_id", "seq"])
     pace = review.pace(single.select(F.col("session_id").alias("user_id"), F.col("seq").alias("event_id"), "ts"), ceiling=IDLE).select(F.col("user_id").alias("session_id"), F.col("median_gap").alias("pace"))
@@ -46,13 +46,14 @@ def figures(done: DataFrame, occurrences: DataFrame, resolved: DataFrame, times:
     )
 
 
-def payloads(done: DataFrame, sizes: DataFrame, tracked: DataFrame) -> DataFrame:
+def payloads(done: DataFrame, sizes: DataFrame, tracked: DataFrame, now: DataFrame | None = None) -> DataFrame:
     """One usage report a session: counts of decisions, items and occurrences, gestures, and whether every item is decided.
 
     ``sizes(session_id, items, occurrences)`` is what a session's document
-    holds; a session without a document reports nothing.
+    holds; a session without a document reports nothing.  ``now`` are the
+    decisions of ``done``, where they are at hand.
     """
-    now = commands.decisions(done)
+    now = commands.decisions(done) if now is None else now
     counts = now.groupBy("session_id").agg(*[F.count_if(F.col("decision") == d).alias(c) for d, c in COUNTS.items()], F.count("*").alias("decided"))
     rows = sizes.join(done.select("session_id").distinct(), "session_id", "left_semi").join(counts, "session_id", "left").join(tracked.select("session_id", "made", "avoided"), "session_id", "left")
     filled = rows.fillna(0, [*COUNTS.values(), "decided", "made", "avoided"])

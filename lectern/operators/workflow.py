@@ -93,17 +93,15 @@ def group_state(members: DataFrame, *keys: str) -> DataFrame:
     return members.groupBy(*keys).agg(state.alias("state"), F.count("*").alias("n_members"), decided.alias("n_decided"))
 
 
-def gestures(events: DataFrame, resolved: DataFrame) -> DataFrame:
-    """``(session_id, made)``: gestures that first settled a candidate that is resolved now.
+def settling(events: DataFrame, resolved: DataFrame) -> DataFrame:
+    """``(session_id, made)``: gestures that first settled a candidate that is resolved now; sessions without any have no row.
 
     ``events`` are ``(session_id, seq, kind, candidate_key)`` with kind one of decided (by
     itself), batched (as part of a batch) or anchor (the end of a batch; the rest of a
     session is one batch more).  A gesture counts if it is the first of any of its candidates.
     """
     ahead = Window.partitionBy("session_id").orderBy("seq").rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    marked = events.withColumn("batch", F.count_if(F.col("kind") == "anchor").over(ahead)).withColumn(
-        "size", F.count("*").over(Window.partitionBy("session_id"))
-    )
+    marked = events.withColumn("batch", F.count_if(F.col("kind") == "anchor").over(ahead))
     # a batch is credited at its anchor: its time is that of the anchor, the end for the last one
     close = F.max(F.when(F.col("kind") == "anchor", F.col("seq"))).over(Window.partitionBy("session_id", "batch"))
     own = F.col("kind") == "decided"
@@ -113,7 +111,12 @@ def gestures(events: DataFrame, resolved: DataFrame) -> DataFrame:
     )
     live = timed.join(resolved.select("session_id", "candidate_key").distinct(), ["session_id", "candidate_key"], "left_semi")
     first = live.groupBy("session_id", "candidate_key").agg(F.min("gesture").alias("gesture"))
-    made = first.groupBy("session_id").agg(F.count_distinct("gesture").alias("made"))
+    return first.groupBy("session_id").agg(F.count_distinct("gesture").alias("made"))
+
+
+def gestures(events: DataFrame, resolved: DataFrame) -> DataFrame:
+    """``settling`` with a row for every session of the events."""
+    made = settling(events, resolved)
     return events.select("session_id").distinct().join(made, "session_id", "left").select("session_id", F.coalesce("made", F.lit(0)).alias("made"))
 
 

@@ -22,7 +22,8 @@ def _covered(spark, sf_dir, c):
 def _figures(spark, sf_dir, c, covered):
     done, _ = written(_done(spark, sf_dir, _context(c)))  # read for gestures, results, decisions and pace
     times = _t(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("session_id"), F.col("event_id").alias("seq"), F.timestamp_micros(F.col("event_id") * 100_000).alias("ts"))
-    return done, tracker.figures(done, covered, commands.decisions(done).select("session_id", "candidate_id"), times)
+    now, _ = written(commands.decisions(done))  # read for gestures, what is covered and counts
+    return done, now, tracker.figures(done, covered, now.select("session_id", "candidate_id"), times)
 
 
 _BATCH = "('" + "', '".join(tracker.BATCHES) + "')"
@@ -41,7 +42,7 @@ t AS (SELECT *, avoided * pace AS total, [floor(total / 60 * 10 + 0.5) / 10, flo
 def decision_tracker(spark, sf_dir):
     """Gestures, occurrences covered and avoided, and time, for every session of commands."""
     c = _candidates(spark, sf_dir)
-    return _figures(spark, sf_dir, c, _covered(spark, sf_dir, c))[1]
+    return _figures(spark, sf_dir, c, _covered(spark, sf_dir, c))[-1]
 
 
 @query(f"""{_FIGURES}, size AS (SELECT session_id, count(*) AS items, sum(n)::BIGINT AS occurrences FROM n GROUP BY 1), c AS (SELECT session_id, count(*) FILTER (decision = 'Rename') AS change_count, count(*) FILTER (decision = 'Ignore') AS ignore_count, count(*) FILTER (decision = 'Keep') AS keep_count,
@@ -52,9 +53,9 @@ def usage_payloads(spark, sf_dir):
     """The usage report that each session of commands sends."""
     c = _candidates(spark, sf_dir)
     covered, _ = written(_covered(spark, sf_dir, c))  # read for what is covered and for sizes
-    done, found = _figures(spark, sf_dir, c, covered)
+    done, now, found = _figures(spark, sf_dir, c, covered)
     sizes = covered.groupBy("session_id").agg(F.count("*").alias("items"), F.sum("n").alias("occurrences"))
-    return tracker.payloads(done, sizes, found)
+    return tracker.payloads(done, sizes, found, now)
 
 
 _USAGE = """count(*) AS n_events, count(*) FILTER (event_type = 'purchase') AS n_purchases, round(count(*) FILTER (event_type = 'purchase') * 100.0::DOUBLE / count(*), 1) AS purchase_percent, count(DISTINCT ts::DATE) AS active_days"""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from test_commands import context
 
 from __spark_entry__ import queries
-from lectern.operators import commands
+from lectern.operators import commands, workflow
 
 
 def _plan(df):
@@ -31,15 +31,22 @@ def test_writes_read_their_rows_once(spark):
     }
 
 
-def test_expanded_deals_out_no_lists(spark):
-    """A write doesn't carry the members of its command's group."""
-    plan = _plan(commands.expanded(spark.createDataFrame([command("A", 1, "confirmGroup", group="g1")], commands.COMMANDS), *context(spark)))
-    (dealt,) = [line for line in plan.splitlines() if "posexplode(" in line]
-    assert "members" not in dealt.split("], ")[-1]
-
-
 def test_audit_reports_reads_a_report_once(spark, sf):
     got = queries()["audit_reports"](spark, sf)
     plan = _plan(got)
     assert "get_json_object" not in plan and plan.count("from_json(") + plan.count("JsonToStructs") <= 2
     assert got.filter("n_groups > 0 AND first_candidate IS NULL").count() == 0
+
+
+def test_usage_payloads_shares_what_it_counts(spark, sf):
+    """usage_payloads: lines of orders and current decisions are derived once, not for each figure."""
+    got = queries()["usage_payloads"](spark, sf)
+    assert "l_orderkey" not in _plan(got) and "max_by" not in _plan(got)
+    assert got.count() > 0
+
+
+def test_settling_has_no_row_for_nothing(spark):
+    events = spark.createDataFrame([("A", 1, "decided", "a"), ("B", 1, "decided", "b")], "session_id string, seq long, kind string, candidate_key string")
+    resolved = spark.createDataFrame([("A", "a")], "session_id string, candidate_key string")
+    assert [tuple(r) for r in workflow.settling(events, resolved).collect()] == [("A", 1)]
+    assert sorted(map(tuple, workflow.gestures(events, resolved).collect())) == [("A", 1), ("B", 0)]
