@@ -25,7 +25,7 @@ _values = lambda rows: ", ".join(str(tuple(r)) for r in rows)
 def _ruled(spark, sf_dir):
     """Names of the documents with rules in order, each with its polarity."""
     rows = _named(spark, sf_dir)
-    n, words = F.col("n_occurrences"), F.split(F.lower("display_value"), " ")
+    n, words = F.col("n_occurrences"), F.split(F.substr("candidate_key", F.lit(len("person:") + 1)), " ")  # not of the display value, which many don't need
     rule = lambda c, name, polarity: F.when(c, F.struct(F.lit(name).alias("category"), F.lit(polarity).alias("polarity")))
     told = F.array_compact(F.array(
         rule(n == 1, "single-occurrence", "neutral"), rule(n == 2, "small-frequency-bonus", "positive"), rule((n > 2) & (n <= 5), "moderate-frequency-bonus", "positive"), rule(n > 5, "frequency-saturated", "positive"),

@@ -85,3 +85,11 @@ def test_reuse_reads_its_tables_once(spark):
     assert sorted((r.doc_id, r.candidate_key, r.tier, r.decision, r.confidence) for r in got.collect()) == [
         (1, "person:a. berg", "grouped-alias", "Redact", 90), (1, "person:anna maria berg", "exact-key", "Redact", 100), (2, "person:anna maria bergh", "similarity-threshold", "Redact", 97),
     ]
+
+
+def test_ambiguity_queue_gathers_counts_alone(spark, tmp_path):
+    """ambiguity_queue: texts are read once, and no display values are sorted to find the least."""
+    spark.createDataFrame([(1, "The cat met Anna berg. Anna Berg"), (2, "none")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = queries()["ambiguity_queue"](spark, str(tmp_path))
+    assert "Union" not in _plan(got) and "min(" not in _plan(got)
+    assert sorted((r.doc_id, r.candidate_key) for r in got.collect()) == [(1, f"person:{k}") for k in ("anna", "anna berg", "berg", "the", "the cat")]
