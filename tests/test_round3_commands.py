@@ -45,6 +45,12 @@ def test_usage_payloads_shares_what_it_counts(spark, sf):
     assert got.count() > 0
 
 
+def test_decision_tracker_shares_decisions(spark, sf):
+    """decision_tracker: current decisions are derived once; of results only those of batches are asked for, once."""
+    plan = _plan(queries()["decision_tracker"](spark, sf))
+    assert "max_by" not in plan and plan.count("first(type") + plan.count("first(why") <= 2
+
+
 def test_settling_has_no_row_for_nothing(spark):
     events = spark.createDataFrame([("A", 1, "decided", "a"), ("B", 1, "decided", "b")], "session_id string, seq long, kind string, candidate_key string")
     resolved = spark.createDataFrame([("A", "a")], "session_id string, candidate_key string")
